@@ -1,0 +1,5 @@
+"""No streaming operators: the work covered here is batch only.
+
+Parsing, encoding with a broadcast dictionary and scoring are narrow, so they also accept
+a streaming DataFrame as they are.
+"""
