@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clicktide.functions.numbering import number_rows, number_within
+from clicktide.functions.scalar import format_unsigned
 from clicktide.operators.encode import encode
 
 # One order's lines in a fixed order; unique together with l_orderkey.
@@ -53,9 +54,9 @@ def impressions(spark: SparkSession, sf: str) -> DataFrame:
 def log_lines(imps: DataFrame) -> DataFrame:
     """Impressions as log text: `(req, line, value)` with at most SLOTS_PER_LINE slots per line."""
 
-    def tokens(ids: str) -> F.Column:
+    def tokens(ids: str) -> Column:
         return F.array_join(
-            F.transform(ids, lambda f: F.concat(F.conv(f.cast("string"), 10, 10), F.lit(":s"))), " "
+            F.transform(ids, lambda f: F.concat(format_unsigned(f), F.lit(":s"))), " "
         )
 
     slot = F.concat_ws(" ", F.col("show").cast("string"), F.col("click").cast("string"), tokens("feats"))

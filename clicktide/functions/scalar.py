@@ -56,4 +56,7 @@ def parse_unsigned(text: Column) -> Column:
 
 def format_unsigned(bits: Column) -> Column:
     """BIGINT (two's complement) to unsigned decimal text."""
-    return F.conv(bits.cast("string"), 10, 10)
+    # Not `conv`, which saturates at -2^63.
+    wrap = F.lit("18446744073709551616").cast("decimal(20,0)")
+    high = (bits.cast("decimal(20,0)") + wrap).cast("string")
+    return F.when(bits >= 0, bits.cast("string")).otherwise(high)

@@ -67,10 +67,12 @@ def parse_requests(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     keep = [c for c in lines.columns if c != "value"]
-    trimmed = F.regexp_replace("value", "\t+$", "")
+    # Trailing TABs make no segment and trailing blanks no token; then the slot names go, which
+    # must not turn a missing id into a trailing blank.
+    trimmed = F.regexp_replace(F.regexp_replace("value", "\t+$", ""), " +(?=\t|$)", "")
     plain = lines.withColumn("_text", F.regexp_replace(trimmed, ":[^ \t]*", ""))
     tokens = plain.withColumn(
-        "_tokens", F.transform(F.split("_text", "\t"), lambda s: F.split(F.rtrim(s), " "))
+        "_tokens", F.transform(F.split("_text", "\t"), lambda s: F.split(s, " "))
     )
     raw = tokens.withColumn("_raw", F.transform("_tokens", _segment))
     parsed = raw.withColumn("_segs", F.transform("_raw", _features))
