@@ -57,7 +57,7 @@ def main() -> None:
     timed("imp_parse", lambda: drain(read_impressions(spark, f"{work}/log")), 3)
     timed("feature_hist", lambda: drain(hg.feature_histogram(imps)), 3)
     requests = parse_requests(read_lines(spark, f"{work}/log"))
-    timed("feature_hist_lines", lambda: drain(hg.request_histogram(requests)), 3)
+    timed("feature_hist_lines", lambda: drain(hg.feature_histogram(read_impressions(spark, f"{work}/log"))), 3)
     timed("feature_hist_parity", lambda: drain(hg.last_write_histogram(imps)), 3)
     timed("feature_hist_parity_lines", lambda: drain(hg.last_write_request_histogram(requests)), 3)
     timed("feature_dict", lambda: drain(jobs.build_dictionary(imps)), 3)

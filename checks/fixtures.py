@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def impressions(spark: SparkSession, sf: str) -> DataFrame:
-    """`(req, seg, show, click, feats, common)`: an order is a request, its lines are slots."""
+def impressions(spark: SparkSession, sf: str, numbered: bool = True) -> DataFrame:
+    """`(req, seg, show, click, feats, common)`: an order is a request, its lines are slots.
+
+    Without `numbered` there is no `seg`, which spares sorting the slots of each order.
+    """
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", *SLOT_ORDER, "l_discount", "l_returnflag"
     )
-    slots = number_within(lines, ["l_orderkey"], SLOT_ORDER, "seg")
+    slots = number_within(lines, ["l_orderkey"], SLOT_ORDER, "seg") if numbered else lines
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     parts = table(spark, sf, "part").select("p_partkey", "p_size")
     joined = slots.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
@@ -37,7 +40,7 @@ def impressions(spark: SparkSession, sf: str) -> DataFrame:
     ids = lambda *cols: F.array(*(c.cast("bigint") for c in cols))
     return joined.select(
         F.col("l_orderkey").alias("req"),
-        "seg",
+        *(["seg"] if numbered else []),
         show.alias("show"),
         click.alias("click"),
         ids(

@@ -332,7 +332,9 @@ SELECT id % 4 AS batch, CAST(count(*) AS BIGINT) AS n FROM doc GROUP BY 1""",
         "unsigned_roundtrip": """
 WITH v AS (
   SELECT l_orderkey, l_linenumber, l_partkey,
-    CAST(18446744073709551615 AS HUGEINT) - CAST(l_orderkey AS HUGEINT) * 153722867280912 - l_partkey AS u
+    CASE WHEN l_linenumber % 2 = 1
+      THEN CAST(18446744073709551615 AS HUGEINT) - (l_orderkey * 10000000 + l_partkey)
+      ELSE CAST(l_orderkey * 10000000 + l_partkey AS HUGEINT) END AS u
   FROM lineitem
 )
 SELECT l_orderkey, l_linenumber, l_partkey,

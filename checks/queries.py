@@ -22,7 +22,7 @@ from clicktide.functions.vectors import dot, norm2
 from clicktide.operators import evaluate as ev
 from clicktide.operators import histogram as hg
 from clicktide.operators import objective as ob
-from clicktide.operators.encode import combine_segments, encode, sample_counts
+from clicktide.operators.encode import HEAD_DIMS, combine_segments, encode, sample_counts
 from clicktide.operators.samples import expanded_samples, weighted_samples
 from clicktide.operators.stats import data_stats, dictionary_dim
 from clicktide.plans import jobs
@@ -30,7 +30,7 @@ from clicktide.plans.cg import train_cg
 from clicktide.plans.minibatch import train_cg_minibatch
 from clicktide.plans.params import CGParams
 from clicktide.sources.dictionary import last_wins, parse_dictionary
-from clicktide.sources.impressions import explode_slots, parse_requests
+from clicktide.sources.impressions import explode_slots, parse_impressions, parse_requests
 from clicktide.sources.libsvm import parse_examples
 
 
@@ -66,11 +66,11 @@ def q_segment_combine(spark, sf):
 
 
 def q_feature_hist(spark, sf):
-    return hg.feature_histogram(impressions(spark, sf))
+    return hg.feature_histogram(impressions(spark, sf, numbered=False))
 
 
 def q_feature_hist_lines(spark, sf):
-    return hg.request_histogram(parse_requests(log_lines(impressions(spark, sf))))
+    return hg.feature_histogram(parse_impressions(log_lines(impressions(spark, sf))))
 
 
 def q_feature_hist_parity(spark, sf):
@@ -82,7 +82,7 @@ def q_feature_hist_parity_lines(spark, sf):
 
 
 def q_feature_dict(spark, sf):
-    return jobs.build_dictionary(impressions(spark, sf))
+    return jobs.build_dictionary(impressions(spark, sf, numbered=False))
 
 
 def _dictionary_entries(spark, sf):
@@ -102,16 +102,15 @@ def q_dict_load_reverse(spark, sf):
     return last_wins(_dictionary_entries(spark, sf), "dim")
 
 
-def _examples(spark, sf, method="auto"):
+def _examples(spark, sf, method="auto", head_dims=HEAD_DIMS):
     """(examples, dictionary) of the order-derived impressions."""
-    imps = impressions(spark, sf)
-    dictionary = jobs.build_dictionary(imps)
-    return encode(imps, dictionary, method=method), dictionary
+    dictionary = q_feature_dict(spark, sf)
+    return encode(impressions(spark, sf), dictionary, method=method, head_dims=head_dims), dictionary
 
 
-def _encoded(method):
+def _encoded(method, head_dims=HEAD_DIMS):
     def query(spark, sf):
-        examples, _ = _examples(spark, sf, method)
+        examples, _ = _examples(spark, sf, method, head_dims)
         return examples.select("req", "seg", "pos", "neg", _text("idx").alias("dims"))
 
     return query
@@ -158,7 +157,8 @@ def _margins(spark, sf):
 def _margins_join(spark, sf):
     examples, dictionary = _examples(spark, sf)
     weights = check_weights(dictionary)
-    return examples, ob.margins_join(examples, weights, sums={"w": "z", "mu": "xm"})
+    sums = {"w": "z", "mu": "xm"}
+    return examples, ob.margins_join(examples, weights, sums=sums, head_dims=50)
 
 
 def q_margin(spark, sf):
@@ -247,7 +247,7 @@ def q_auc_roc_weighted(spark, sf):
 
 
 def q_weight_norms(spark, sf):
-    weights = check_weights(jobs.build_dictionary(impressions(spark, sf)))
+    weights = check_weights(q_feature_dict(spark, sf))
     one = F.lit(1).alias("one")
     w = norm2(weights).select(_r(F.col("norm"), 9).alias("w_norm"), one)
     mu = norm2(weights, "mu").select(_r(F.col("norm"), 9).alias("mu_norm"), one)
@@ -256,7 +256,7 @@ def q_weight_norms(spark, sf):
 
 
 def q_weights_by_fid(spark, sf):
-    dictionary = jobs.build_dictionary(impressions(spark, sf))
+    dictionary = q_feature_dict(spark, sf)
     named = ev.weights_by_feature(check_weights(dictionary).select("idx", "w"), dictionary)
     return named.select("fid", _r(F.col("w"), 9).alias("w"), "is_bias")
 
@@ -317,13 +317,12 @@ def q_minibatch_fit_metrics(spark, sf):
 
 
 def q_unsigned_roundtrip(spark, sf):
-    top = F.lit("18446744073709551615").cast("decimal(38,0)")
-    u = top - F.col("l_orderkey").cast("decimal(15,0)") * F.lit(153722867280912).cast(
-        "decimal(15,0)"
-    ) - F.col("l_partkey").cast("decimal(20,0)")
-    bits = parse_unsigned(u.cast("decimal(38,0)").cast("string"))
+    # Ids from the top of the unsigned range on odd lines, small ones on even lines.
+    key = (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey")).cast("decimal(20,0)")
+    top = F.lit("18446744073709551615").cast("decimal(20,0)") - key
+    u = F.when(F.col("l_linenumber") % 2 == 1, top).otherwise(key)
     rows = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", bits.alias("bits")
+        "l_orderkey", "l_linenumber", "l_partkey", parse_unsigned(u.cast("string")).alias("bits")
     )
     return rows.withColumn("text", format_unsigned(F.col("bits")))
 
@@ -349,7 +348,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **named,
         "encode_examples": _encoded("broadcast"),
-        "encode_examples_join": _encoded("join"),
+        "encode_examples_join": _encoded("join", head_dims=50),
         "cg_iter1": _weights_after(1, "packed"),
         "cg_iter1_join": _weights_after(1, "join"),
         "cg_iter2": _weights_after(2, "packed"),

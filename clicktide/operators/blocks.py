@@ -118,6 +118,16 @@ def block_stats(blocks: DataFrame) -> tuple[int, int]:
     return int(n), int(top) + 1
 
 
+def few_tasks(blocks: DataFrame, most: int = 16) -> DataFrame:
+    """Cached blocks with partitions merged, not moved, towards one task per core.
+
+    A task sends one partial gradient however many partitions it folds, so fewer tasks mean less
+    to shuffle. At most `most` partitions are merged, in case few cores are up yet.
+    """
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    return blocks.coalesce(max(1, cores, -(-blocks.rdd.getNumPartitions() // most)))
+
+
 def padded(vector: np.ndarray) -> np.ndarray:
     """`vector` with a zero at the end, where dimensions beyond the model are sent."""
     return np.append(vector, 0.0)

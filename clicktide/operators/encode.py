@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Dictionaries up to this many entries (12 bytes each) travel to every task as two arrays.
 BROADCAST_MAX_ENTRIES = 5_000_000
+# Dims up to this one form the head of a larger dictionary.
+HEAD_DIMS = 1_000_000
 
 
 def combine_segments(impressions: DataFrame) -> DataFrame:
@@ -46,12 +48,14 @@ def encode(
     keys: Sequence[str] = ("req", "seg"),
     method: str = "auto",
     max_entries: int = BROADCAST_MAX_ENTRIES,
+    head_dims: int = HEAD_DIMS,
 ) -> DataFrame:
     """Counted examples. Features missing in `dictionary(fid, dim)` are dropped; a row without
     any known feature stays as a bias-only example.
 
-    `broadcast` looks features up in place: no shuffle. `join` works for any dictionary size.
-    `auto` counts the dictionary against `max_entries` to choose.
+    `broadcast` looks features up in place: no shuffle. `join` does so for dims up to `head_dims`
+    and joins the rest by id; it works for any dictionary size and needs unique `keys`. `auto`
+    counts the dictionary against `max_entries` to choose.
     """
     if method == "auto":
         method = "broadcast" if fits_broadcast(dictionary, max_entries) else "join"
@@ -64,18 +68,32 @@ def encode(
     if method == "broadcast":
         return _encode_broadcast(rows, dictionary)
     if method == "join":
-        return _encode_join(rows, dictionary, list(keys))
+        return _encode_join(rows, dictionary, list(keys), head_dims)
     raise ValueError("method must be 'auto', 'broadcast' or 'join'")
 
 
-def _encode_join(rows: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
-    # A feature may sit in a large share of all rows: the left side of this join is what AQE
-    # splits. Grouping back gathers the features of one example only.
+def _encode_join(
+    rows: DataFrame, dictionary: DataFrame, keys: list[str], head_dims: int
+) -> DataFrame:
+    # Dims follow frequency, so the head covers most tokens and all hot ones. It is looked up in
+    # place; only tokens outside it are shuffled by id. Grouping back gathers the features of one
+    # example only.
     per_row = [*keys, "pos", "neg"]
-    long = rows.select(*per_row, F.explode_outer("fids").alias("fid"))
-    known = long.join(dictionary.select("fid", "dim"), "fid", "left")
-    return known.groupBy(*per_row).agg(
-        F.concat(F.array(F.lit(0)), F.array_sort(F.collect_list("dim"))).alias("idx")
+    in_head = F.col("dim") <= head_dims
+    if not fits_broadcast(dictionary.filter(in_head)):
+        in_head = F.lit(False)  # many ids share low dims: no bounded head
+    head, tail = dictionary.filter(in_head), dictionary.filter(~in_head)
+    near = _encode_broadcast(rows, head)
+    tokens = rows.select(*per_row, F.explode_outer("fids").alias("fid")).filter("fid is not null")
+    far = (
+        tokens.join(F.broadcast(head.select("fid")), "fid", "left_anti")
+        .join(tail.select("fid", "dim"), "fid")
+        .select(*per_row, F.array("dim").alias("idx"))
+    )
+    return (
+        near.unionByName(far)
+        .groupBy(*per_row)
+        .agg(F.array_sort(F.flatten(F.collect_list("idx"))).alias("idx"))
     )
 
 

@@ -5,36 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from clicktide.functions.numbering import number_rows
+from clicktide.session import materialise
+from clicktide.sources.impressions import segment_features, shared_features, slot_segments
 
 DEFAULT_THRESHOLD = 1000
 
+# Pairs (request, feature) of three numbers each that may travel to every task.
+BROADCAST_MAX_PAIRS = 1_000_000
+
 
 def feature_histogram(impressions: DataFrame) -> DataFrame:
     """`(fid, n)`: how often each feature was shown, summed over slots and repeats.
 
     One shuffle of partial sums; a hot feature arrives as one row per task.
     """
-    shown = impressions.select("show", F.explode(F.concat("feats", "common")).alias("fid"))
+    fids = F.explode_outer(F.concat("feats", "common")).alias("fid")
+    shown = impressions.select("show", fids).filter(F.col("fid").isNotNull())
     return shown.groupBy("fid").agg(F.sum(F.col("show").cast("bigint")).alias("n"))
 
 
-def request_histogram(requests: DataFrame) -> DataFrame:
-    """`feature_histogram` on one row per line: shared features are unfolded once per line."""
-    total = F.aggregate("slots", F.lit(0).cast("bigint"), lambda s, x: s + x["show"])
-    shared = F.transform("common", lambda f: F.struct(f.alias("fid"), F.col("_total").alias("n")))
-    own = F.flatten(
-        F.transform(
-            "slots",
-            lambda s: F.transform(
-                s["feats"],
-                lambda f: F.struct(f.alias("fid"), s["show"].cast("bigint").alias("n")),
-            ),
-        )
-    )
-    counts = requests.withColumn("_total", total).select(F.explode(F.concat(shared, own)).alias("c"))
-    return counts.groupBy(F.col("c.fid").alias("fid")).agg(F.sum("c.n").alias("n"))
-
-
 def last_write_histogram(impressions: DataFrame, request: str = "req") -> DataFrame:
     """`(fid, n)` under the rule that, within a request, a slot's own feature replaces the count
     reached so far while a shared feature adds to it.
@@ -42,44 +31,58 @@ def last_write_histogram(impressions: DataFrame, request: str = "req") -> DataFr
     With c occurrences in the shared part and L the last slot that owns the feature, a request
     counts c * (shows after slot L) + show of slot L. In a lone segment every distinct feature
     counts once, which is the same formula with c = 0.
+
+    Shared features are first summed over all slots. Shows up to slot L are taken back for the
+    features a request both shares and owns; those can be told from single rows and are few.
     """
-    own = impressions.select(request, "seg", "show", F.explode("feats").alias("fid"))
-    last = own.groupBy(request, "fid").agg(
-        F.max("seg").alias("last_seg"), F.max_by("show", "seg").alias("last_show")
-    )
-    shared = impressions.select(request, "seg", "show", F.explode("common").alias("fid"))
-    after = (
-        shared.join(last, [request, "fid"], "left")
-        .filter(F.col("last_seg").isNull() | (F.col("seg") > F.col("last_seg")))
-        .select("fid", F.col("show").cast("bigint").alias("n"))
+
+    # Outer, then filtered: the inner form has the optimizer test the arrays below a parse again.
+    def unfold(ids):
+        rows = impressions.select(request, "seg", "show", F.explode_outer(ids).alias("fid"))
+        return rows.filter(F.col("fid").isNotNull())
+
+    shown = F.col("show").cast("bigint").alias("n")
+    last = unfold("feats").groupBy(request, "fid").agg(F.max_by("show", "seg").alias("show"))
+    parts = unfold("common").select("fid", shown).unionAll(last.select("fid", shown))
+    both = materialise(
+        unfold(F.array_intersect("feats", "common"))
+        .groupBy(request, "fid")
+        .agg(F.max("seg").alias("last_seg"))
     )
-    kept = last.select("fid", F.col("last_show").cast("bigint").alias("n"))
-    return kept.unionAll(after).groupBy("fid").agg(F.sum("n").alias("n"))
+    pairs = both.limit(BROADCAST_MAX_PAIRS + 1).count()
+    if pairs:
+        side = F.broadcast(both) if pairs <= BROADCAST_MAX_PAIRS else both
+        early = unfold("common").join(side, [request, "fid"]).filter("seg <= last_seg")
+        parts = parts.unionAll(early.select("fid", -shown))
+    return parts.groupBy("fid").agg(F.sum("n").alias("n"))
 
 
 def last_write_request_histogram(requests: DataFrame) -> DataFrame:
-    """`last_write_histogram` on one row per line, without grouping by line first.
+    """`last_write_histogram` on parsed lines `(segs)`, without grouping by line first.
 
-    Inside a line, sorting (feature, slot, show) puts the last owner of each feature at the end
-    of its run. A line then contributes its total shows per shared occurrence and, per owned
-    feature, show(L) - c * shows(1..L); both parts simply add up.
+    Inside a line, sorting (feature, slot) puts the last owner of each feature at the end of its
+    run. A line then contributes its total shows per shared occurrence and, per owned feature,
+    show(L) - c * shows(1..L); both parts simply add up.
     """
-    owned = F.array_sort(
-        F.flatten(
-            F.transform(
-                "slots",
-                lambda s, i: F.transform(
-                    s["feats"], lambda f: F.struct(f.alias("fid"), i.alias("seg"))
-                ),
-            )
+
+    def shows(slots):
+        return F.aggregate(slots, F.lit(0).cast("bigint"), lambda total, s: total + F.get(s, 0))
+
+    owned = F.flatten(
+        F.transform(
+            "slots",
+            lambda s, i: F.transform(
+                segment_features(s), lambda f: F.struct(f.alias("fid"), i.alias("seg"))
+            ),
         )
     )
-    lines = requests.filter(F.size("slots") > 0).select(
-        "common", "slots", owned.alias("owned")
-    )
+    lines = requests.select(
+        shared_features(F.col("segs")).alias("common"), slot_segments(F.col("segs")).alias("slots")
+    ).select("common", "slots", F.array_sort(owned).alias("owned"))
     lasts = lines.select(
         "common",
         "slots",
+        shows(F.col("slots")).alias("total"),
         F.filter(
             "owned",
             lambda e, i: F.coalesce(F.get("owned", i + 1)["fid"] != e["fid"], F.lit(True)),
@@ -87,23 +90,17 @@ def last_write_request_histogram(requests: DataFrame) -> DataFrame:
         F.arrays_overlap("common", F.transform("owned", lambda e: e["fid"])).alias("mixed"),
     )
 
-    def shows(slots):
-        return F.aggregate(slots, F.lit(0).cast("bigint"), lambda total, s: total + s["show"])
-
     def contribution(e):
-        shown = F.get("slots", e["seg"])["show"].cast("bigint")
+        shown = F.get(F.get("slots", e["seg"]), 0)
         # Few lines share a feature between segment 0 and a slot; the rest skip this part.
         repeats = F.size(F.filter("common", lambda f: f == e["fid"]))
         upto = shows(F.slice("slots", 1, e["seg"] + 1))
         n = F.when(F.col("mixed"), shown - repeats * upto).otherwise(shown)
         return F.struct(e["fid"].alias("fid"), n.alias("n"))
 
-    counted = lasts.withColumn("total", shows(F.col("slots")))
     own = F.transform("lasts", contribution)
-    shared = F.transform(
-        "common", lambda f: F.struct(f.alias("fid"), F.col("total").alias("n"))
-    )
-    parts = counted.select(F.explode(F.concat(own, shared)).alias("c"))
+    shared = F.transform("common", lambda f: F.struct(f.alias("fid"), F.col("total").alias("n")))
+    parts = lasts.select(F.explode_outer(F.concat(own, shared)).alias("c")).filter("c is not null")
     return parts.groupBy(F.col("c.fid").alias("fid")).agg(F.sum("c.n").alias("n"))
 
 

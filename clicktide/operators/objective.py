@@ -26,12 +26,10 @@ from clicktide.operators.blocks import (
     read_blocks,
     row_sums,
 )
+from clicktide.operators.encode import HEAD_DIMS
 
 # Longest weight vector that travels to tasks and driver: 80 MB of doubles.
 PACKED_MAX_DIM = 10_000_000
-# Dictionaries number features from the most frequent down, so the dimensions below this bound
-# hold the hot join keys. That slice of a weight table is small enough to broadcast.
-HEAD_DIMS = 100_000
 
 
 # --- weight vectors and tables ------------------------------------------------------------
@@ -73,8 +71,9 @@ def margins_join(
     """`(keys.., pos, neg, z)`: sum of weights over the active dimensions of each example.
 
     `sums` maps weight columns to result columns, `{"w": "z"}` unless given. Dimensions without a
-    weight count as zero. Hot dimensions meet the broadcast head, so the shuffle by dimension
-    only moves the tail, and the shuffle by key moves partial sums.
+    weight count as zero. Dictionaries number features from the most frequent down, so hot
+    dimensions meet the broadcast head (at most `head_dims` rows, one per index); the shuffle by
+    dimension moves the tail only, and the shuffle by key moves partial sums.
     """
     sums = dict(sums or {"w": "z"})
     per_row = [*keys, "pos", "neg"]
@@ -132,9 +131,10 @@ class PackedObjective:
     def __init__(self, data: DataFrame, d: int):
         if d > PACKED_MAX_DIM:
             raise ValueError(f"{d} dimensions exceed {PACKED_MAX_DIM}, use the join form")
-        self.data = data.select("pos", "neg", *(c for c in ("sizes",) if c in data.columns), "idx")
-        self.d = d
         self._context = data.sparkSession.sparkContext
+        packed = [c for c in ("sizes",) if c in data.columns]
+        self.data = data.select("pos", "neg", *packed, "idx")
+        self.d = d
 
     def gradient_rows(self, vector) -> DataFrame:
         """`(idx, v)`: gradient entries, and the total loss under `LOSS_ROW`. `vector` is a

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from clicktide.operators.blocks import block_stats, pack
+from clicktide.operators.blocks import block_stats, few_tasks, pack
 from clicktide.operators.objective import PACKED_MAX_DIM, PackedObjective, weights_table
 from clicktide.plans.params import CGParams
 from clicktide.session import cached
@@ -115,7 +115,8 @@ def trace_table(spark: SparkSession, rows: list[dict], schema: str = TRACE_SCHEM
 def train_blocks(blocks: DataFrame, n: int, d: int, params: CGParams) -> Fit:
     """`train_cg` on packed blocks of known size, which the caller keeps cached."""
     spark = blocks.sparkSession
-    w, rows = minimise(PackedObjective(blocks, d), np.zeros(d), params, params.max_iter, n)
+    passes = PackedObjective(few_tasks(blocks), d)
+    w, rows = minimise(passes, np.zeros(d), params, params.max_iter, n)
     return Fit(weights_table(spark, w), trace_table(spark, rows), n, d)
 
 

@@ -83,8 +83,13 @@ def train_cg_join(examples: DataFrame, params: CGParams, keys: Sequence[str]) ->
                 F.sum(h * F.col("xm") * F.col("xm")).alias("curvature"),
                 F.sum(counted_loss(F.col("pos"), F.col("neg"), F.col("z"))).alias("loss"),
             ).first()
+            at0 = F.col("idx") == 0
             m = turned.agg(
-                _dot("mu", "g").alias("gtd"), _dot("mu", "mu").alias("mu2")
+                _dot("mu", "g").alias("gtd"),
+                _dot("mu", "mu").alias("mu2"),
+                _dot("w", "mu").alias("w_mu"),
+                F.sum(F.when(at0, F.col("w"))).alias("w0"),
+                F.sum(F.when(at0, F.col("mu"))).alias("mu0"),
             ).first()
             uhu = (data.curvature + params.lam * m.mu2) / scale
             alpha = quadratic_step(m.gtd, uhu)
@@ -97,9 +102,6 @@ def train_cg_join(examples: DataFrame, params: CGParams, keys: Sequence[str]) ->
                 "mu",
                 F.col("g").alias("g_old"),
             )
-            end = state.agg(
-                _dot("w", "w").alias("ww"), F.sum(F.when(F.col("idx") == 0, F.col("w"))).alias("w0")
-            ).first()
             moved = abs(alpha) * m.mu2**0.5
             trace.append(
                 {
@@ -108,9 +110,9 @@ def train_cg_join(examples: DataFrame, params: CGParams, keys: Sequence[str]) ->
                     "rtime": time.monotonic() - began,
                     "alpha": alpha,
                     "beta": beta or 0.0,
-                    "w_norm": end.ww**0.5,
+                    "w_norm": max(0.0, s.ww + 2 * alpha * m.w_mu + alpha**2 * m.mu2) ** 0.5,
                     "w_diff_norm": moved,
-                    "w0": end.w0,
+                    "w0": m.w0 + alpha * m.mu0,
                     "grad_norm": s.gg**0.5,
                     "gtd": m.gtd,
                     "uhu": uhu,

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clicktide.operators.batches import batch_count, batch_of
-from clicktide.operators.blocks import block_stats, pack
+from clicktide.operators.blocks import block_stats, few_tasks, pack
 from clicktide.operators.objective import PackedObjective, weights_table
 from clicktide.plans.cg import TRACE_SCHEMA, Fit, minimise, trace_table
 from clicktide.plans.params import CGParams
@@ -60,7 +60,7 @@ def train_cg_minibatch(
     )
     with cached(pack(placed)) as blocks:
         n, d = block_stats(blocks)
-        whole = PackedObjective(blocks, d)
+        whole = PackedObjective(few_tasks(blocks), d)
         w, total, done, trace = np.zeros(d), np.zeros(d), 0, []
         for sweep in range(params.max_iter):
             for b in range(n_batches):

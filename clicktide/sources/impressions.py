@@ -26,84 +26,96 @@ def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None
     return lines
 
 
-def _no_nulls(array: Column) -> Column:
-    return F.size(F.array_compact(array)) == F.size(array)
+def _clean(value: Column) -> Column:
+    """Line text without trailing TABs (no segment), trailing blanks (no token), slot names."""
+    text = F.rtrim(value, F.lit("\t"))
+    loose = F.contains(text, F.lit(" \t")) | F.endswith(text, F.lit(" "))
+    text = F.when(loose, F.regexp_replace(text, " +(?=\t|$)", "")).otherwise(text)
+    return F.regexp_replace(text, ":[^ \t]*", "")
 
 
-def _segment(tokens: Column) -> Column:
-    ids = F.slice(tokens, 3, F.greatest(F.size(tokens) - 2, F.lit(0)))
-    return F.struct(
-        F.get(tokens, 0).try_cast("int").alias("show"),
-        F.get(tokens, 1).try_cast("int").alias("click"),
-        ids.alias("ids"),
-        ids.try_cast("array<bigint>").alias("fast"),
-    )
-
+def _any_token(segments: str, test) -> Column:
+    return F.exists(segments, lambda s: F.exists(s, test))
 
-def _features(segment: Column) -> Column:
-    # Ids below 2^63 convert as a whole array; only others need the decimal detour.
-    return F.struct(
-        segment["show"].alias("show"),
-        segment["click"].alias("click"),
-        F.when(_no_nulls(segment["fast"]), segment["fast"])
-        .otherwise(F.transform(segment["ids"], parse_unsigned))
-        .alias("feats"),
-    )
 
-
-def _segment_ok(segment: Column) -> Column:
-    return (
-        segment["show"].isNotNull() & segment["click"].isNotNull() & _no_nulls(segment["feats"])
-    )
+def _counts_ok(segment: Column) -> Column:
+    """Show and click are there and fit 32 bits."""
+    fits = lambda c: c.between(-(2**31), 2**31 - 1)
+    return (F.size(segment) >= 2) & fits(F.get(segment, 0)) & fits(F.get(segment, 1))
 
 
 def parse_requests(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
-    """Parse `value`: one row per line with `common ARRAY<BIGINT>` and
-    `slots ARRAY<STRUCT<show, click, feats>>`; other columns pass through.
+    """Parse `value`: one row per line with `segs ARRAY<ARRAY<BIGINT>>`, each segment being
+    `[show, click, id, id, ..]`; other columns pass through.
 
     FAILFAST stops the job at a malformed line, DROPMALFORMED leaves such lines out, PERMISSIVE
-    keeps them with NULL `common` and `slots` and the text in `_corrupt_record`.
+    keeps them with NULL `segs` and the text in `_corrupt_record`.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     keep = [c for c in lines.columns if c != "value"]
-    # Trailing TABs make no segment and trailing blanks no token; then the slot names go, which
-    # must not turn a missing id into a trailing blank.
-    trimmed = F.regexp_replace(F.regexp_replace("value", "\t+$", ""), " +(?=\t|$)", "")
-    plain = lines.withColumn("_text", F.regexp_replace(trimmed, ":[^ \t]*", ""))
-    tokens = plain.withColumn(
+    split = lines.withColumn("_text", _clean(F.col("value"))).withColumn(
         "_tokens", F.transform(F.split("_text", "\t"), lambda s: F.split(s, " "))
     )
-    raw = tokens.withColumn("_raw", F.transform("_tokens", _segment))
-    parsed = raw.withColumn("_segs", F.transform("_raw", _features))
-    # A minus sign is legal in counts only; the scan over ids runs just for lines that have one.
+    # One array cast converts all tokens of a line. NULLs mean ids from 2^63 up, or junk; only
+    # such lines are read again token by token.
+    fast = split.withColumn("_fast", F.col("_tokens").try_cast("array<array<bigint>>"))
+    number = lambda t: F.coalesce(t.try_cast("bigint"), parse_unsigned(t))
+    parsed = fast.withColumn(
+        "_segs",
+        F.when(
+            _any_token("_fast", lambda x: x.isNull()),
+            F.transform("_tokens", lambda s: F.transform(s, number)),
+        ).otherwise(F.col("_fast")),
+    )
+    # A minus sign is legal in counts only; tokens are searched just in lines that have one.
     signed_id = F.contains("_text", F.lit("-")) & F.exists(
-        "_raw", lambda s: F.exists(s["ids"], lambda t: F.startswith(t, F.lit("-")))
+        "_tokens",
+        lambda s: F.exists(
+            F.slice(s, 3, F.greatest(F.size(s) - 2, F.lit(0))),
+            lambda t: F.startswith(t, F.lit("-")),
+        ),
+    )
+    ok = (
+        ~F.col("_text").rlike("[^0-9+\\- \t]")
+        & ~_any_token("_segs", lambda x: x.isNull())
+        & F.forall("_segs", _counts_ok)
+        & ~signed_id
     )
-    ok = ~F.col("_text").rlike("[^0-9+\\- \t]") & F.forall("_segs", _segment_ok) & ~signed_id
     checked = parsed.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    if mode == "DROPMALFORMED":
-        checked = checked.filter("_ok")
-    elif mode == "FAILFAST":
+    if mode == "FAILFAST":
         message = F.concat(F.lit("malformed impression line: "), F.coalesce("value", F.lit("")))
-        checked = checked.filter(
-            F.when(F.col("_ok"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-        )
-    several = F.size("_segs") > 1
-    common = F.when(several, F.get("_segs", F.lit(0))["feats"]).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    rest = F.slice("_segs", 2, F.greatest(F.size("_segs") - 1, F.lit(0)))
-    slots = F.when(several, rest).otherwise(F.col("_segs"))
+        stop = F.raise_error(message).cast("array<array<bigint>>")
+        return checked.select(*keep, F.when(F.col("_ok"), F.col("_segs")).otherwise(stop).alias("segs"))
     if mode == "PERMISSIVE":
-        corrupt = F.when(~F.col("_ok"), F.col("value")).alias(CORRUPT)
         return checked.select(
             *keep,
-            F.when(F.col("_ok"), common).alias("common"),
-            F.when(F.col("_ok"), slots).alias("slots"),
-            corrupt,
+            F.when(F.col("_ok"), F.col("_segs")).alias("segs"),
+            F.when(~F.col("_ok"), F.col("value")).alias(CORRUPT),
         )
-    return checked.select(*keep, common.alias("common"), slots.alias("slots"))
+    # Dropping through a generated column: a plain filter would be pushed below the projections
+    # above and parse every line once more.
+    good = F.when(F.col("_ok"), F.array("_segs"))
+    return checked.select(*keep, F.explode_outer(good).alias("segs")).filter(
+        F.col("segs").isNotNull()
+    )
+
+
+def shared_features(segs: Column) -> Column:
+    """Ids of segment 0 if more segments follow, else none."""
+    head = F.get(segs, F.lit(0))
+    return F.when(F.size(segs) > 1, segment_features(head)).otherwise(
+        F.array().cast("array<bigint>")
+    )
+
+
+def segment_features(segment: Column) -> Column:
+    return F.slice(segment, 3, F.size(segment) - 2)
+
+
+def slot_segments(segs: Column) -> Column:
+    """The segments that are slots: all but segment 0, or the only one."""
+    return F.when(F.size(segs) > 1, F.slice(segs, 2, F.size(segs) - 1)).otherwise(segs)
 
 
 def explode_slots(requests: DataFrame) -> DataFrame:
@@ -111,14 +123,22 @@ def explode_slots(requests: DataFrame) -> DataFrame:
 
     Corrupt lines kept by PERMISSIVE have no slots and so yield no rows.
     """
-    keep = [c for c in requests.columns if c not in ("common", "slots", CORRUPT)]
-    slots = requests.select(*keep, "common", F.posexplode("slots").alias("_pos", "_slot"))
+    keep = [c for c in requests.columns if c not in ("segs", CORRUPT)]
+    segs = F.col("segs")
+    # The outer form, because the inner one makes the optimizer test the parsed array a second
+    # time below the parse.
+    slots = requests.select(
+        *keep,
+        shared_features(segs).alias("common"),
+        F.posexplode_outer(slot_segments(segs)).alias("_pos", "_slot"),
+    ).filter(F.col("_slot").isNotNull())
+    slot = F.col("_slot")
     return slots.select(
         *keep,
         (F.col("_pos") + 1).alias("seg"),
-        F.col("_slot.show").alias("show"),
-        F.col("_slot.click").alias("click"),
-        F.col("_slot.feats").alias("feats"),
+        F.get(slot, F.lit(0)).cast("int").alias("show"),
+        F.get(slot, F.lit(1)).cast("int").alias("click"),
+        segment_features(slot).alias("feats"),
         "common",
     )
 

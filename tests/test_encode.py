@@ -60,8 +60,15 @@ def test_dictionary_size_decides(imps, dictionary):
     assert fits_broadcast(dictionary, 4) and not fits_broadcast(dictionary, 3)
     with pytest.raises(ValueError):
         encode(imps, dictionary, method="broadcast", max_entries=3)
-    plan = encode(imps, dictionary, max_entries=3)._jdf.queryExecution().toString()
-    assert "MapInArrow" not in plan
+    for entries, joined in ((3, True), (4, False)):
+        plan = encode(imps, dictionary, max_entries=entries)._jdf.queryExecution().toString()
+        assert ("Join" in plan) == joined
+
+
+@pytest.mark.parametrize("head", [0, 2, 3, 100])
+def test_encode_with_head_and_tail(imps, dictionary, head):
+    rows = encode(imps, dictionary, method="join", head_dims=head).collect()
+    assert {(r.req, r.seg): (r.pos, r.neg, r.idx) for r in rows} == EXPECTED
 
 
 def test_negative_show_fails(spark, dictionary):

@@ -9,7 +9,6 @@ from clicktide.operators.histogram import (
     feature_histogram,
     last_write_histogram,
     last_write_request_histogram,
-    request_histogram,
 )
 from clicktide.sources.impressions import (
     explode_slots,
@@ -63,7 +62,7 @@ def test_other_modes(spark):
     kept = parse_requests(mixed, "PERMISSIVE")
     corrupt = kept.filter("_corrupt_record is not null").orderBy("req").collect()
     assert [r._corrupt_record for r in corrupt] == BAD
-    assert all(r.slots is None for r in corrupt)
+    assert all(r.segs is None for r in corrupt)
     assert explode_slots(kept).count() == 2
 
 
@@ -117,7 +116,6 @@ def test_histograms_match_replay(spark, seed):
     requests = parse_requests(lines(spark, texts)).cache()
     imps = explode_slots(requests)
     assert as_dict(feature_histogram(imps)) == plain
-    assert as_dict(request_histogram(requests)) == plain
     assert as_dict(last_write_histogram(imps)) == replacing
     assert as_dict(last_write_request_histogram(requests)) == replacing
 
