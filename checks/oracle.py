@@ -113,8 +113,20 @@ def acc(margins: str) -> str:
     )
 
 
-def cg_rounds(plan: list[tuple[str, bool, str]], lam: str = "1e-1") -> str:
-    """CTEs of conjugate gradient rounds 1.. over the document examples.
+CLICKS = (
+    FEAT
+    + """,
+dfeat AS MATERIALIZED (
+  SELECT struct_pack(r := req, s := seg) AS id, pos, neg, dim FROM feat JOIN ex USING (req, seg)
+),
+dwt AS (SELECT dim FROM wt)"""
+)
+
+
+def cg_rounds(
+    plan: list[tuple[str, bool, str]], lam: str = "1e-1", examples: str = DOC
+) -> str:
+    """CTEs of conjugate gradient rounds 1.. over `examples`, which define dfeat and dwt.
 
     `plan` has one entry per round: row predicate, whether the direction starts afresh, and the
     weight table the penalty is centred on. Tables: w{k}, g{k}, m{k}, s{k} (scalars).
@@ -157,11 +169,12 @@ def cg_rounds(plan: list[tuple[str, bool, str]], lam: str = "1e-1") -> str:
             f"w{k} AS MATERIALIZED (SELECT w.dim, w.v + s.alpha * m.mu AS v"
             f" FROM w{p} w JOIN m{k} m USING (dim), s{k} s)"
         )
-    return DOC + ",\n" + ",\n".join(parts)
+    return examples + ",\n" + ",\n".join(parts)
 
 
-def full_batch(rounds: int) -> str:
-    return cg_rounds([("TRUE", k == 0, "zero") for k in range(rounds)]).replace(
+def full_batch(rounds: int, examples: str = DOC) -> str:
+    plan = [("TRUE", k == 0, "zero") for k in range(rounds)]
+    return cg_rounds(plan, examples=examples).replace(
         "w0 AS", "zero AS (SELECT dim, 0e0 AS v FROM dwt),\nw0 AS", 1
     )
 
@@ -326,6 +339,7 @@ FROM wt LEFT JOIN dict USING (dim)""",
         "cg_trace": f"WITH {full_batch(5)} "
         + " UNION ALL ".join(f"({_trace(k)})" for k in range(1, 6)),
         "cg_fit_metrics": f"WITH {full_batch(5)}, {_final('w5')} {_metrics('w5')}",
+        "cg_fit_clicks": f"WITH {full_batch(3, CLICKS)}, {_final('w3')} {_metrics('w3')}",
         "minibatch_sizes": f"""WITH {DOC}
 SELECT id % 4 AS batch, CAST(count(*) AS BIGINT) AS n FROM doc GROUP BY 1""",
         "minibatch_fit_metrics": f"WITH {mini_batch(1, 3, 2)}, {average}, {_final('avg_w')} {_metrics('avg_w')}",

@@ -29,6 +29,7 @@ from clicktide.plans import jobs
 from clicktide.plans.cg import train_cg
 from clicktide.plans.minibatch import train_cg_minibatch
 from clicktide.plans.params import CGParams
+from clicktide.session import cached
 from clicktide.sources.dictionary import last_wins, parse_dictionary
 from clicktide.sources.impressions import explode_slots, parse_impressions, parse_requests
 from clicktide.sources.libsvm import parse_examples
@@ -276,8 +277,8 @@ def q_cg_trace(spark, sf):
     return fit.trace.select("iter", *(_r(F.col(c), 5).alias(c) for c in columns))
 
 
-def _fit_metrics(examples, weights):
-    margins = jobs.margins_of(examples, weights, ["id"])
+def _fit_metrics(examples, weights, keys=("id",)):
+    margins = jobs.margins_of(examples, weights, keys)
     one = F.lit(1).alias("one")
     rows = (
         ev.accuracy(margins)
@@ -298,6 +299,12 @@ def q_cg_fit_metrics(spark, sf):
     return _fit_metrics(examples, train_cg(examples, CGParams(max_iter=5), keys=["id"]).weights)
 
 
+def q_cg_fit_clicks(spark, sf):
+    with cached(_examples(spark, sf)[0]) as examples:
+        weights = train_cg(examples, CGParams(max_iter=3)).weights
+    return _fit_metrics(_examples(spark, sf)[0], weights, ["req", "seg"])
+
+
 def q_minibatch_sizes(spark, sf):
     rows = document_examples(spark, sf).withColumn("batch", F.pmod("id", F.lit(4)))
     return rows.groupBy("batch").agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))

@@ -118,14 +118,17 @@ def block_stats(blocks: DataFrame) -> tuple[int, int]:
     return int(n), int(top) + 1
 
 
-def few_tasks(blocks: DataFrame, most: int = 16) -> DataFrame:
-    """Cached blocks with partitions merged, not moved, towards one task per core.
+def few_tasks(blocks: DataFrame, most: int = 16) -> tuple[DataFrame, int]:
+    """Cached blocks with partitions merged, not moved, towards one task per core; and the
+    number of tasks.
 
     A task sends one partial gradient however many partitions it folds, so fewer tasks mean less
     to shuffle. At most `most` partitions are merged, in case few cores are up yet.
     """
+    now = blocks.rdd.getNumPartitions()
     cores = blocks.sparkSession.sparkContext.defaultParallelism
-    return blocks.coalesce(max(1, cores, -(-blocks.rdd.getNumPartitions() // most)))
+    tasks = min(now, max(1, cores, -(-now // most)))
+    return blocks.coalesce(max(1, tasks)), tasks
 
 
 def padded(vector: np.ndarray) -> np.ndarray:

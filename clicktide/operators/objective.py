@@ -73,20 +73,32 @@ def margins_join(
     `sums` maps weight columns to result columns, `{"w": "z"}` unless given. Dimensions without a
     weight count as zero. Dictionaries number features from the most frequent down, so hot
     dimensions meet the broadcast head (at most `head_dims` rows, one per index); the shuffle by
-    dimension moves the tail only, and the shuffle by key moves partial sums.
+    dimension moves the tail only. Sums by key then move partial sums, or nothing for the head if
+    `examples` are already partitioned by `keys`, which must be unique.
     """
     sums = dict(sums or {"w": "z"})
-    per_row = [*keys, "pos", "neg"]
+    keys = list(keys)
     table = weights.select("idx", *sums)
-    long = examples.select(*per_row, F.explode("idx").alias("idx"))
-    head = long.filter(F.col("idx") < head_dims).join(
-        F.broadcast(table.filter(F.col("idx") < head_dims)), "idx", "left"
+    long = examples.select(*keys, "pos", "neg", F.explode("idx").alias("idx"))
+
+    def by_key(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy(*keys).agg(
+            F.max("pos").alias("pos"),
+            F.max("neg").alias("neg"),
+            *(F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(out) for c, out in sums.items()),
+        )
+
+    in_head = F.col("idx") < head_dims
+    head = by_key(long.filter(in_head).join(F.broadcast(table.filter(in_head)), "idx", "left"))
+    tail = by_key(long.filter(~in_head).join(table.filter(~in_head), "idx", "left"))
+    h, t = head.alias("h"), tail.alias("t")
+    same = [F.col(f"h.{k}") == F.col(f"t.{k}") for k in keys]
+    either = lambda c: F.coalesce(F.col(f"h.{c}"), F.col(f"t.{c}"))
+    both = lambda c: sum(F.coalesce(F.col(f"{side}.{c}"), F.lit(0.0)) for side in "ht")
+    return h.join(t, same, "full").select(
+        *(either(k).alias(k) for k in [*keys, "pos", "neg"]),
+        *(both(out).alias(out) for out in sums.values()),
     )
-    tail = long.filter(F.col("idx") >= head_dims).join(
-        table.filter(F.col("idx") >= head_dims), "idx", "left"
-    )
-    totals = [F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(out) for c, out in sums.items()]
-    return head.unionByName(tail).groupBy(*per_row).agg(*totals)
 
 
 def loss_join(margins: DataFrame) -> DataFrame:
@@ -111,6 +123,9 @@ def curvature_join(margins: DataFrame) -> DataFrame:
 
 # --- packed form --------------------------------------------------------------------------
 
+# Up to this many partial gradient entries are added up on the driver, which saves a shuffle.
+DIRECT_ENTRIES = 1_000_000
+
 # Under this index a gradient pass also carries the total loss.
 LOSS_ROW = -1
 
@@ -124,21 +139,26 @@ def _entries(idx: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
 class PackedObjective:
     """Passes over `data` (packed blocks, or example rows) for weight vectors of length `d`.
 
-    Every pass is one Spark job: tasks fold their blocks, and a map-side combined group-by adds
-    up what they send.
+    Every pass is one Spark job: tasks fold their blocks, and a group-by adds up the gradient
+    entries they send. If `data` is known to run in `tasks` tasks and these send few entries in
+    total, the driver adds them up itself.
     """
 
-    def __init__(self, data: DataFrame, d: int):
+    def __init__(self, data: DataFrame, d: int, tasks: int | None = None):
         if d > PACKED_MAX_DIM:
             raise ValueError(f"{d} dimensions exceed {PACKED_MAX_DIM}, use the join form")
         self._context = data.sparkSession.sparkContext
         packed = [c for c in ("sizes",) if c in data.columns]
         self.data = data.select("pos", "neg", *packed, "idx")
         self.d = d
+        self.direct = tasks is not None and tasks * (d + 1) <= DIRECT_ENTRIES
 
     def gradient_rows(self, vector) -> DataFrame:
         """`(idx, v)`: gradient entries, and the total loss under `LOSS_ROW`. `vector` is a
         broadcast weight vector."""
+        return self._partials(vector).groupBy("idx").agg(F.sum("v").alias("v"))
+
+    def _partials(self, vector) -> DataFrame:
         d = self.d
 
         def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +176,18 @@ class PackedObjective:
             at = np.flatnonzero(g[:d])
             yield _entries(np.append(at, LOSS_ROW), np.append(g[at], loss))
 
-        rows = self.data.mapInArrow(fold, "idx INT, v DOUBLE")
-        return rows.groupBy("idx").agg(F.sum("v").alias("v"))
+        return self.data.mapInArrow(fold, "idx INT, v DOUBLE")
 
     def gradient(self, w: np.ndarray) -> tuple[np.ndarray, float]:
         """(gradient, total loss) at `w` in one pass."""
         vector = self._context.broadcast(np.asarray(w, np.float64))
         try:
-            table = self.gradient_rows(vector).toArrow()
+            rows = self._partials(vector) if self.direct else self.gradient_rows(vector)
+            table = rows.toArrow()
         finally:
             vector.destroy()
         idx, v = table.column("idx").to_numpy(), table.column("v").to_numpy()
-        g = np.zeros(self.d)
-        g[idx[idx >= 0]] = v[idx >= 0]
+        g = np.bincount(idx[idx >= 0], weights=v[idx >= 0], minlength=self.d)
         return g, float(v[idx == LOSS_ROW].sum())
 
     def _total(self, fold, *vectors: np.ndarray) -> float:
@@ -184,8 +203,9 @@ class PackedObjective:
             yield _entries(np.array([0]), np.array([total]))
 
         try:
+            # One number per task: adding them up here needs no second stage.
             rows = self.data.mapInArrow(one_row, "idx INT, v DOUBLE")
-            return float(rows.agg(F.sum("v")).first()[0] or 0.0)
+            return float(rows.toArrow().column("v").to_numpy().sum())
         finally:
             shared.destroy()
 

@@ -115,7 +115,8 @@ def trace_table(spark: SparkSession, rows: list[dict], schema: str = TRACE_SCHEM
 def train_blocks(blocks: DataFrame, n: int, d: int, params: CGParams) -> Fit:
     """`train_cg` on packed blocks of known size, which the caller keeps cached."""
     spark = blocks.sparkSession
-    passes = PackedObjective(few_tasks(blocks), d)
+    merged, tasks = few_tasks(blocks)
+    passes = PackedObjective(merged, d, tasks)
     w, rows = minimise(passes, np.zeros(d), params, params.max_iter, n)
     return Fit(weights_table(spark, w), trace_table(spark, rows), n, d)
 

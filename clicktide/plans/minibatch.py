@@ -60,11 +60,12 @@ def train_cg_minibatch(
     )
     with cached(pack(placed)) as blocks:
         n, d = block_stats(blocks)
-        whole = PackedObjective(few_tasks(blocks), d)
+        merged, tasks = few_tasks(blocks)
+        whole = PackedObjective(merged, d, tasks)
         w, total, done, trace = np.zeros(d), np.zeros(d), 0, []
         for sweep in range(params.max_iter):
             for b in range(n_batches):
-                part = PackedObjective(blocks.filter(F.col("batch") == b), d)
+                part = PackedObjective(merged.filter(F.col("batch") == b), d, tasks)
                 began = time.monotonic()
                 w, rounds = minimise(
                     part, w, params, params.inner_iter, n, w if anchor == "previous" else None

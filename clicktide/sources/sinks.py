@@ -54,9 +54,10 @@ def write_trace(trace: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "parquet":
         trace.write.mode("overwrite").parquet(path)
         return
+    order = [c for c in ("pass", "batch", "iter") if c in trace.columns]
     for column in TRACE_COLUMNS:
         # One value per training round, so a single line holds them all.
-        rounds = F.sort_array(F.collect_list(F.struct("iter", F.col(column).alias("v"))))
+        rounds = F.sort_array(F.collect_list(F.struct(*order, F.col(column).alias("v"))))
         line = F.array_join(F.transform(rounds, lambda r: r["v"].cast("string")), ", ")
         trace.agg(line.alias("value")).write.mode("overwrite").text(f"{path}/{column}")
 

@@ -59,7 +59,10 @@ def test_passes_match_numpy(clicks, parts, packed):
     rng = np.random.default_rng(3)
     w, mu = rng.normal(0, 0.3, x.shape[1]), rng.normal(0, 1, x.shape[1])
     data = clicks.repartition(parts)
-    passes = ob.PackedObjective(pack(data) if packed else data, len(w))
+    passes = ob.PackedObjective(pack(data) if packed else data, len(w), parts)
+    assert passes.direct
+    shuffled, _ = ob.PackedObjective(data, len(w)).gradient(w)
+    assert np.allclose(passes.gradient(w)[0], shuffled, atol=1e-10)
     g, loss = passes.gradient(w)
     assert np.allclose(g, grad_of(x, pos, neg, w), rtol=1e-10, atol=1e-9)
     assert loss == pytest.approx(loss_of(x, pos, neg, w), rel=1e-12)
@@ -150,8 +153,13 @@ def test_tie_counts_as_positive(spark):
     assert ev.accuracy(rows).first().accuracy == 1.0
 
 
-def test_converges_to_the_optimum(spark, docs):
-    fit = train_cg(docs, CGParams(max_iter=300), keys=["id"])
+@pytest.fixture(scope="module")
+def optimum(docs):
+    return train_cg(docs, CGParams(max_iter=300), keys=["id"])
+
+
+def test_converges_to_the_optimum(docs, optimum):
+    fit = optimum
     x, pos, neg = dense(docs)
     w = ob.weights_vector(fit.weights)
     objective = loss_of(x, pos, neg, w) + 0.05 * w @ w
@@ -165,7 +173,7 @@ def test_converges_to_the_optimum(spark, docs):
     assert auc == pytest.approx(0.772196, abs=1e-4)
 
 
-def test_same_optimum_as_mllib(spark, docs):
+def test_same_optimum_as_mllib(spark, docs, optimum):
     # MLlib pins constant columns to zero. The loss does not change under (x, y) -> (-x, -y), so
     # flipping every other row lets the bias column vary.
     x, pos, neg = dense(docs)
@@ -179,7 +187,7 @@ def test_same_optimum_as_mllib(spark, docs):
         regParam=0.1 / len(x), fitIntercept=False, standardization=False, tol=1e-12, maxIter=500
     )
     theirs = lr.fit(data).coefficients.toArray()
-    ours = ob.weights_vector(train_cg(docs, CGParams(max_iter=300), keys=["id"]).weights)
+    ours = ob.weights_vector(optimum.weights)
     assert np.abs(ours - theirs).max() < 1e-4
 
 
