@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+# Samples written out at a time.
+EXPAND_PIECE = 100_000
+
+
 def weighted_samples(examples: DataFrame) -> DataFrame:
     """At most two rows per example: `y` in {-1, +1} with weight `wt` = number of samples."""
     keep = [c for c in examples.columns if c not in ("pos", "neg")]
@@ -23,10 +27,15 @@ def expanded_samples(examples: DataFrame) -> DataFrame:
     """One row per sample, `k` = 1, 2, ..; the positive ones come first."""
     keep = [c for c in examples.columns if c not in ("pos", "neg")]
     total = F.col("pos") + F.col("neg")
-    return (
-        examples.filter(total > 0)
-        .select(*keep, "pos", F.explode(F.sequence(F.lit(1).cast("bigint"), total)).alias("k"))
-        .select(*keep, "k", F.when(F.col("k") <= F.col("pos"), 1.0).otherwise(-1.0).alias("y"))
+    size = F.lit(EXPAND_PIECE).cast("bigint")
+    # In two steps, so that a slot with very many shows never becomes one huge array.
+    first = F.sequence(F.lit(1).cast("bigint"), total, size)
+    pieces = examples.filter(total > 0).select(
+        *keep, "pos", total.alias("_total"), F.explode(first).alias("_from")
+    )
+    piece = F.sequence("_from", F.least(F.col("_from") + size - 1, F.col("_total")))
+    return pieces.select(*keep, "pos", F.explode(piece).alias("k")).select(
+        *keep, "k", F.when(F.col("k") <= F.col("pos"), 1.0).otherwise(-1.0).alias("y")
     )
 
 

@@ -33,7 +33,8 @@ def build_dictionary(
 ) -> DataFrame:
     """`(fid, n, dim)` of features shown more than `threshold` times.
 
-    Pass `histogram=last_write_histogram` for the replacing count rule.
+    For the replacing count rule pass `histogram=last_write_histogram`, or better, for logs, the
+    result of `parse_requests` with `histogram=last_write_request_histogram`.
     """
     return number_features(frequent(histogram(impressions), threshold))
 

@@ -94,6 +94,14 @@ def test_samples(imps, dictionary):
     assert data_stats(examples.filter("false")).first().d is None
 
 
+def test_expansion_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr("clicktide.operators.samples.EXPAND_PIECE", 4)
+    for pos, neg in ((3, 7), (0, 4), (5, 0), (9, 1)):
+        rows = spark.createDataFrame([(1, pos, neg)], "id LONG, pos LONG, neg LONG")
+        got = [(r.k, r.y) for r in expanded_samples(rows).orderBy("k").collect()]
+        assert got == [(k, 1.0 if k <= pos else -1.0) for k in range(1, pos + neg + 1)]
+
+
 def test_other_labels_fail(spark):
     rows = spark.createDataFrame([(0.0, [0])], "y DOUBLE, idx ARRAY<INT>")
     with pytest.raises(Exception, match="label must be"):

@@ -127,3 +127,33 @@ def test_replacing_rule_property(spark, seeds):
     requests = parse_requests(lines(spark, texts))
     _, replacing = replay(texts)
     assert as_dict(last_write_request_histogram(requests)) == replacing
+
+
+def test_histograms_with_a_hot_request_and_a_hot_feature(spark):
+    # Request 0 has a third of the slots; feature 9 is in every slot, owned and shared.
+    rng = random.Random(5)
+    requests = {0: 400, **{r: 2 for r in range(1, 401)}}
+    rows, texts = [], []
+    for req, slots in requests.items():
+        common = [9, rng.randint(10, 14)]
+        segs = [(rng.randint(0, 5), [9, rng.randint(10, 40)]) for _ in range(slots)]
+        rows += [(req, i, show, 0, own, common) for i, (show, own) in enumerate(segs, 1)]
+        texts.append(
+            "\t".join(
+                ["0 0 " + " ".join(map(str, common))]
+                + [f"{show} 0 " + " ".join(map(str, own)) for show, own in segs]
+            )
+        )
+    schema = "req LONG, seg INT, show INT, click INT, feats ARRAY<LONG>, common ARRAY<LONG>"
+    imps = spark.createDataFrame(rows, schema)
+    plain, replacing = replay(texts)
+    assert as_dict(feature_histogram(imps)) == plain
+    assert as_dict(last_write_histogram(imps)) == replacing
+
+
+def test_replacing_histogram_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("clicktide.operators.histogram.BROADCAST_MAX_PAIRS", 1)
+    rng = random.Random(6)
+    texts = [random_line(rng) for _ in range(200)]
+    imps = explode_slots(parse_requests(lines(spark, texts)))
+    assert as_dict(last_write_histogram(imps)) == replay(texts)[1]
