@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clicktide.llm.licenses import OP10_SQL, op10_licenses
 from clicktide.llm.mixing import OP9_SQL, op9_mix
+from clicktide.llm.packing import op5_pack
+from clicktide.llm.pages import op8_html
 from clicktide.llm.quality import OP3_SQL, op3_quality
 from clicktide.llm.simhash import op2_simhash
+from clicktide.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_simhash, op3_quality, op9_mix]
+    named = [op2_simhash, op3_quality, op5_pack, op7_toxicity, op8_html, op9_mix, op10_licenses]
     return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3_SQL, "op9_mix": OP9_SQL}
+    return {"op3_quality": OP3_SQL, "op9_mix": OP9_SQL, "op10_licenses": OP10_SQL}

@@ -171,6 +171,8 @@ def measured(
                     new.append(pa.array([], kind))
                 elif isinstance(arrays[0], np.ndarray):
                     new.append(pa.array(np.concatenate(arrays)).cast(kind))
+                elif isinstance(arrays[0], pa.Array):
+                    new.append(pa.concat_arrays(arrays).cast(kind))
                 else:
                     new.append(pa.array([x for a in arrays for x in a], kind))
             names = [f.name for f in keep] + [f.name for f in added]
