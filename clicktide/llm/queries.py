@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clicktide.llm.embeddings import op1_embeddings
 from clicktide.llm.licenses import OP10_SQL, op10_licenses
 from clicktide.llm.mixing import OP9_SQL, op9_mix
 from clicktide.llm.packing import op5_pack
 from clicktide.llm.pages import op8_html
 from clicktide.llm.quality import OP3_SQL, op3_quality
 from clicktide.llm.simhash import op2_simhash
+from clicktide.llm.substrings import op6_substrings
+from clicktide.llm.tokens import op4_token_counts
 from clicktide.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_simhash, op3_quality, op5_pack, op7_toxicity, op8_html, op9_mix, op10_licenses]
+    named = [
+        op1_embeddings, op2_simhash, op3_quality, op4_token_counts, op5_pack,
+        op6_substrings, op7_toxicity, op8_html, op9_mix, op10_licenses,
+    ]
     return {q.__name__: q for q in named}
 
 
