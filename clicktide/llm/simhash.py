@@ -240,6 +240,20 @@ def links(fps: DataFrame, distance: int = DISTANCE, pair_rows: int = PAIR_ROWS)
     return pairs.unionAll(chained.select("a", F.col("fp").alias("b")))
 
 
+def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """`docs` without text, with `fp, component, component_id`: linked rows share `component`."""
+    marked = stored(fingerprints(docs, shingle))
+    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comps = components(links(fps.select("fp"), distance))
+    named = fps.join(comps.withColumnRenamed("node", "_fp"), F.col("fp") == F.col("_fp"), "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
+    )
+    named = stored(named)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = named.join(least, "component").select(F.col("fp").alias("_fp"), "component", "component_id")
+    return marked.join(labels, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """`(doc_id, fp, component_id)`: one row per row of `docs` (doc_id, text).
 
@@ -249,16 +263,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     only if no linked row has a doc_id. An empty table gives an empty table; columns other than
     doc_id and text are ignored.
     """
-    marked = stored(fingerprints(docs.select("doc_id", "text"), shingle))
-    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comps = components(links(fps.select("fp"), distance))
-    named = fps.join(comps.withColumnRenamed("node", "_fp"), F.col("fp") == F.col("_fp"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    named = stored(named)
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(labels, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    rows = classes(docs.select("doc_id", "text"), shingle, distance)
+    return rows.select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of `docs` for each class of near duplicates: that of the smallest doc_id.
+
+    Of several texts with that doc_id the one with the smallest hash stays, of equal rows one. A row
+    without doc_id stays only if its class has no doc_id. All columns are kept.
+    """
+    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    rows = stored(classes(slim, shingle, distance).select("doc_id", "_hash", "component"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")
+    first = rows.groupBy("component").agg(F.min(rank).alias("one"))
+    kept = first.select(F.col("one.doc_id").alias("_id"), F.col("one._hash").alias("_h"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    found = docs.join(kept, same, "left_semi")
+    again = rows.groupBy("doc_id", "_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
+    if again.isEmpty():
+        return found
+    # Rows that repeat: one of each doc_id and text.
+    return found.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def op2_simhash(spark, sf: str) -> DataFrame:
