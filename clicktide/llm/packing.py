@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from clicktide.llm.storage import numbered, stored
-from clicktide.llm.text import slices
+from clicktide.llm.text import LOWER, WHITE, Slice, slices
 
 CAPACITY = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 # Bounds of the table of known words in each Python worker.
-CACHED_WORDS = 1 << 18
-CACHED_BYTES = 64
+CACHED_WORDS = 1 << 20
+CACHED_BYTES = 32
+# New words that are encoded as one text.
+JOINED = 1000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -30,6 +32,28 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def separated(part: Slice) -> list[bytes]:
+    """Texts of a slice with A-Z in lower case, and a blank before a stop or comma that ends a word.
+
+    The tokenizer lower-cases anyway and starts a new piece at such a stop, so ids stay the same, but
+    fewer different words are left. Texts that may hold special tokens are left alone.
+    """
+    raw, bounds = part.raw, part.bounds
+    if b"<|" not in raw.tobytes():
+        raw = LOWER[raw]
+        last = np.append(WHITE[raw[1:]], True)
+        last[bounds[1:][bounds[1:] > 0] - 1] = True
+        stop = ((raw == ord(".")) | (raw == ord(","))) & last
+        letter = (raw >= ord("a")) & (raw <= ord("z"))
+        stop[1:] &= letter[:-1]
+        stop[bounds[:-1][bounds[:-1] < len(raw)]] = False
+        at = np.flatnonzero(stop)
+        raw = np.insert(raw, at, 32)
+        bounds = bounds + np.searchsorted(at, bounds)
+    flat, bounds = raw.tobytes(), bounds.tolist()
+    return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 class WordEncoder:
     """Ids of texts for a tokenizer that drops white space: words are encoded once and remembered.
 
@@ -42,26 +66,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        size = self._tokenizer.get_vocab_size()
+        names = [self._tokenizer.id_to_token(i) or "" for i in range(size)]
+        self._ends = np.array([name.endswith("</w>") for name in names])
         self._known: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words. Words of a-z are one piece each: many are encoded as one text."""
+        plain = [w for w in words if w.isalpha() and w.islower()]
+        mixed = [w for w in words if not (w.isalpha() and w.islower())]
+        ids = self._encode([w.decode("utf-8", "replace") for w in mixed])
+        fresh = {w: i.tobytes() for w, i in zip(mixed, ids)}
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups])):
+            cuts = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(cuts) != len(group):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            flat, at = ids.tobytes(), 0
+            for word, cut in zip(group, cuts):
+                fresh[word] = flat[at:cut]
+                at = cut
+        return fresh
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text as unsigned 32-bit little-endian numbers."""
-        known = self._known
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        fresh = dict(zip(new, self._encode(new)))
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_BYTES)
-        look = known if all(len(w) <= CACHED_BYTES for w in new) else known | fresh
+        every = set().union(*split) if split else set()
+        new = [w for w in every if w not in self._known]
+        fresh = self._fresh(new)
+        if len(self._known) + len(fresh) > CACHED_WORDS:
+            # What these texts share with earlier ones is kept: frequent words are in most slices.
+            self._known = {w: self._known[w] for w in every if w in self._known}
+        self._known.update(fresh)
+        look = self._known.__getitem__
         for words in split:
-            yield b"".join([look[w] for w in words])
+            yield b"".join(map(look, words))
+        for w in fresh:
+            if len(w) > CACHED_BYTES:
+                del self._known[w]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -90,9 +136,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for batch in batches:
             docs_at, starts, lengths, crcs, totals, parts = [], [], [], [], [], []
             for part in slices(batch.column(at_text)):
-                raw, at = part.raw.tobytes(), part.bounds.tolist()
-                texts = [raw[a:b] for a, b in zip(at, at[1:])]
-                for i, ids in enumerate(encode.ids(texts)):
+                for i, ids in enumerate(encode.ids(separated(part))):
                     view = memoryview(ids + end)
                     total = len(view) // 4
                     for start in range(0, total, capacity):
