@@ -222,7 +222,8 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
     sites = pages.select(host(F.col("url")).alias("host"), "html").filter("host is not null")
     seen = sites.mapInArrow(hash_elements, "host string, digest long, context long")
     counts = seen.groupBy("host", "digest", "context").agg(F.lit(1).alias("one"))
-    counts = counts.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    counts = counts.groupBy("host", "digest").agg(F.count("*").alias("n"))
+    counts = stored(counts.filter(F.col("n") >= least_pages))
     totals = counts.filter("digest = 0").select(F.col("host").alias("_host"), F.col("n").alias("total"))
     often = counts.filter("digest <> 0").join(totals, F.col("host") == F.col("_host"))
     often = often.filter(F.col("n") >= share * F.col("total"))
