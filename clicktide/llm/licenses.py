@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -15,6 +17,8 @@ BAND = 4
 COVERED = 0.6
 # A template's k-grams are the bits of one number.
 MOST_GRAMS = 62
+# Of a template with numbers, as in "version 3", a span must hold a k-gram with a number.
+NUMBER = re.compile(r"\b[0-9]+\b")
 
 # Phrases that count wherever their words stand next to each other.
 PHRASES = {
@@ -43,6 +47,14 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 
+
+def numbers(words: str) -> int:
+    """Bits of the k-grams of a template that have a number; all bits if none has."""
+    w = words.split()
+    grams = [" ".join(w[i : i + GRAM]) for i in range(len(w) - GRAM + 1)]
+    return sum(1 << i for i, g in enumerate(grams) if NUMBER.search(g)) or (1 << len(grams)) - 1
+
+
 # The one position of every document that each document votes for, so that none is lost.
 EVERY = -1
 
@@ -84,7 +96,7 @@ def _by_template(values: list) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """`(_row, doc_id, n_words, template, first, last, covered, exact)`: merged diagonals with votes.
+    """`(_row, doc_id, n_words, template, first, last, covered, numbered, exact)`: merged diagonals with votes.
 
     All k-grams of all documents meet the templates' in a map-side join. A diagonal is the place in
     the document minus the place in the template; votes on it are the template's k-grams that
@@ -115,12 +127,14 @@ def spans(docs: DataFrame) -> DataFrame:
     sizes = [len(words.split()) - GRAM + 1 for _, words, _, _ in templates()]
     size = F.when(F.col("template") == EVERY, 1).otherwise(_by_template(sizes))
     whole = F.when(F.bit_count("bits") == size, F.col("diagonal"))
+    number = F.when(F.col("template") == EVERY, 1).otherwise(_by_template([numbers(t[1]) for t in templates()]))
     return merged.groupBy("_row", "template", "_span").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.min(whole).alias("first"),
         F.max(whole).alias("last"),
         (F.bit_count(F.bit_or("bits")) / F.first(size)).alias("covered"),
+        (F.bit_or("bits").bitwiseAND(F.first(number)) != 0).alias("numbered"),
         F.count(whole).alias("exact"),
     )
 
@@ -130,7 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     `n_base` counts the places where all words of one of PHRASES stand consecutively, and
     `base_labels` are theirs. `labels` has besides the labels of spans that hold at least COVERED
-    of a template's k-grams. `score` is the largest share found. Words are compared by 64-bit hashes.
+    of a template's k-grams, and a number of it if it has one. `score` is the largest share found. Words are compared by 64-bit hashes.
 
     Null and empty texts have no words: 0, null, empty labels, score 0. Repeated rows get a row
     each, a null doc_id is kept. An empty table gives an empty table. Columns other than doc_id and
@@ -139,7 +153,8 @@ def scan(docs: DataFrame) -> DataFrame:
     known = templates()
     label = _by_template([t[2] for t in known])
     phrase = (F.col("template") != EVERY) & _by_template([t[3] for t in known])
-    any_label = (F.col("template") != EVERY) & ((F.col("covered") >= COVERED) | (F.col("exact") > 0))
+    close = (F.col("covered") >= COVERED) & F.col("numbered")
+    any_label = (F.col("template") != EVERY) & (close | (F.col("exact") > 0))
     base = phrase & (F.col("exact") > 0)
     found = spans(docs).withColumns({"_label": F.when(F.col("template") != EVERY, label)})
     names = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("_label")))), ",")
@@ -164,19 +179,19 @@ def _sql_templates() -> str:
     for i, words, label, phrase in templates():
         w = words.split()
         grams = [" ".join(w[j : j + GRAM]) for j in range(len(w) - GRAM + 1)]
-        rows += [f"({i}, {at}, '{g}', '{label}', {phrase}, {len(grams)})" for at, g in enumerate(grams)]
+        rows += [f"({i}, {at}, '{g}', '{label}', {phrase}, {len(grams)}, {numbers(words)})" for at, g in enumerate(grams)]
     return ", ".join(rows)
 
 
 OP10_SQL = f"""
-WITH t(template, pos, gram, label, phrase, size) AS (VALUES {_sql_templates()}),
+WITH t(template, pos, gram, label, phrase, size, number) AS (VALUES {_sql_templates()}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS l FROM documents),
 w AS (SELECT r, unnest(l) AS word, unnest(range(0, len(l))) AS i FROM d),
 g AS (SELECT r, i, word || ' ' || lead(word) OVER q || ' ' || lead(word, 2) OVER q AS gram
       FROM w WINDOW q AS (PARTITION BY r ORDER BY i)),
-v AS (SELECT r, template, label, phrase, size, i - pos AS diagonal, count(*) AS votes,
+v AS (SELECT r, template, label, phrase, size, number, i - pos AS diagonal, count(*) AS votes,
              bit_or(CAST(1 AS BIGINT) << pos) AS bits
       FROM g JOIN t USING (gram) GROUP BY ALL),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS span
@@ -185,12 +200,12 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS
 m AS (SELECT r, template, label, phrase, min(CASE WHEN votes = size THEN diagonal END) AS first,
              max(CASE WHEN votes = size THEN diagonal END) AS last,
              count(CASE WHEN votes = size THEN 1 END) AS exact,
-             bit_count(bit_or(bits)) / CAST(size AS DOUBLE) AS covered
-      FROM s GROUP BY r, template, label, phrase, size, span),
+             bit_count(bit_or(bits)) / CAST(size AS DOUBLE) AS covered, (bit_or(bits) & number) <> 0 AS numbered
+      FROM s GROUP BY r, template, label, phrase, size, number, span),
 f AS (SELECT r, CAST(sum(CASE WHEN phrase THEN exact ELSE 0 END) AS BIGINT) AS n_base,
              min(CASE WHEN phrase THEN first END) AS first_word, max(CASE WHEN phrase THEN last END) AS last_word,
              list_sort(list(DISTINCT label) FILTER (phrase AND exact > 0)) AS b,
-             list_sort(list(DISTINCT label) FILTER ((NOT phrase AND covered >= {COVERED}) OR exact > 0)) AS a,
+             list_sort(list(DISTINCT label) FILTER ((NOT phrase AND covered >= {COVERED} AND numbered) OR exact > 0)) AS a,
              max(covered) AS score FROM m GROUP BY r)
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(a, ','), '') AS labels,
