@@ -13,9 +13,6 @@ SLOT_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
 ]
 
-# Slots per rendered log line; a longer request continues on the next line.
-SLOTS_PER_LINE = 64
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -55,7 +52,7 @@ def impressions(spark: SparkSession, sf: str, numbered: bool = True) -> DataFram
 
 
 def log_lines(imps: DataFrame) -> DataFrame:
-    """Impressions as log text: `(req, line, value)` with at most SLOTS_PER_LINE slots per line."""
+    """Impressions as log text: `(req, value)`, all slots of a request in one line."""
 
     def tokens(ids: str) -> Column:
         return F.array_join(
@@ -65,13 +62,12 @@ def log_lines(imps: DataFrame) -> DataFrame:
     slot = F.concat_ws(" ", F.col("show").cast("string"), F.col("click").cast("string"), tokens("feats"))
     texts = imps.select(
         "req",
-        F.floor((F.col("seg") - 1) / SLOTS_PER_LINE).cast("bigint").alias("line"),
         F.concat(F.lit("0 0 "), tokens("common")).alias("head"),
         F.struct("seg", slot.alias("text")).alias("slot"),
     )
-    lines = texts.groupBy("req", "line", "head").agg(F.sort_array(F.collect_list("slot")).alias("s"))
+    lines = texts.groupBy("req", "head").agg(F.sort_array(F.collect_list("slot")).alias("s"))
     body = F.array_join(F.transform("s", lambda x: x["text"]), "\t")
-    return lines.select("req", "line", F.concat("head", F.lit("\t"), body).alias("value"))
+    return lines.select("req", F.concat("head", F.lit("\t"), body).alias("value"))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

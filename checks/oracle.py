@@ -228,6 +228,36 @@ def _trace(k: int) -> str:
     return f"SELECT {k - 1} AS iter, {cells} FROM s{k}, b{k}"
 
 
+def _averages() -> str:
+    """CTEs a1..a3: mean of the weights after the first batches, in mini_batch(1, 3, 2)."""
+    parts = ["a1 AS MATERIALIZED (SELECT dim, v FROM w2)"]
+    parts.append("a2 AS MATERIALIZED (SELECT a.dim, (a.v + b.v) / 2e0 AS v FROM w2 a JOIN w4 b USING (dim))")
+    parts.append(
+        "a3 AS MATERIALIZED (SELECT a.dim, (a.v + b.v + c.v) / 3e0 AS v FROM w2 a"
+        " JOIN w4 b USING (dim) JOIN w6 c USING (dim))"
+    )
+    for k in (1, 2, 3):
+        parts.append(_final(f"a{k}").replace("fin AS", f"fin{k} AS"))
+    return ", ".join(parts)
+
+
+def _batch_trace() -> str:
+    rows = []
+    for b in range(3):
+        for i in range(2):
+            k = 2 * b + i + 1
+            apart = f"(SELECT sum((n.v - o.v) * (n.v - o.v)) FROM w{k - 1} n JOIN w{2 * b} o USING (dim))"
+            own = f"(5e-2 * {apart} + (SELECT sum({counted_loss()}) FROM z{k})) / (SELECT sum(pos + neg) FROM z{k})"
+            whole = (
+                f"(5e-2 * (SELECT sum(v * v) FROM a{b + 1}) + (SELECT sum({counted_loss()}) FROM fin{b + 1}))"
+                f" / (SELECT sum(pos + neg) FROM fin{b + 1})"
+            )
+            rows.append(
+                f"SELECT {b} AS batch, {i} AS iter, {rounded(own, 6)} AS loglik, {rounded(whole, 6)} AS avg_objective"
+            )
+    return " UNION ALL ".join(f"({r})" for r in rows)
+
+
 TEXT_SOURCE = f"""
 src AS (
   SELECT 4000000 + l_suppkey AS fid, CAST(l_partkey AS INTEGER) AS dim, l_orderkey, {SLOT_ORDER}
@@ -254,7 +284,30 @@ part AS (
 SELECT fid, CAST(sum(n) AS BIGINT) AS n FROM part GROUP BY fid"""
 
 
+LINES = f"""
+li AS (
+  SELECT row_number() OVER () AS id, CASE WHEN l_linenumber <> 7 THEN l_orderkey END AS req,
+    CAST(l_linenumber AS INTEGER) AS seg, l_partkey % 3 AS pos, 3 - l_partkey % 3 AS neg,
+    1152921504606846976 + l_suppkey AS f1,
+    CASE WHEN l_linenumber > 2 THEN 5000000 + l_linenumber END AS f2 FROM lineitem
+),
+llong AS (SELECT id, pos, neg, unnest([f1, f2]) AS fid FROM li),
+ldict AS (
+  SELECT fid, CAST(row_number() OVER (ORDER BY fid) AS INTEGER) AS dim
+  FROM (SELECT DISTINCT fid FROM llong WHERE fid % 2 = 0)
+),
+dfeat AS MATERIALIZED (
+  SELECT id, pos, neg, dim FROM llong JOIN ldict USING (fid) UNION ALL SELECT id, pos, neg, 0 FROM li
+),
+dwt AS (SELECT dim FROM ldict UNION ALL SELECT 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    line_rows = f"""WITH {LINES},
+l AS (SELECT id, string_agg(CAST(dim AS VARCHAR), ' ' ORDER BY dim) AS dims FROM dfeat GROUP BY id)
+SELECT req, seg, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, dims, count(*) AS n
+FROM li JOIN l USING (id) GROUP BY ALL"""
+    line_weights = f"WITH {full_batch(2, LINES)} SELECT dim AS idx, {rounded('v', 6)} AS w FROM w2"
     impressions = f"""WITH {IMP}
 SELECT req, seg, "show", click, concat_ws(' ', f1, f2, f3) AS feats, concat_ws(' ', c1, c2) AS common FROM imp"""
     hist = f"WITH {LONG} SELECT fid, n FROM hist"
@@ -276,6 +329,7 @@ SELECT dim AS idx, {rounded('sum(r)', 4)} AS g FROM feat JOIN res USING (req, se
         "avg_w AS MATERIALIZED (SELECT a.dim, (a.v + b.v + c.v) / 3e0 AS v FROM w2 a"
         " JOIN w4 b USING (dim) JOIN w6 c USING (dim))"
     )
+    batches = f"WITH {mini_batch(1, 3, 2)}, {average}, {_final('avg_w')} {_metrics('avg_w')}"
     z = "((l_quantity - 25.5e0) * 2)"
     return {
         "impressions": impressions,
@@ -285,7 +339,7 @@ SELECT req, seg, "show", click, concat_ws(' ', f1, f2, f3, c1, c2) AS fids FROM
         "feature_hist": hist,
         "feature_hist_lines": hist,
         "feature_hist_parity": parity("0"),
-        "feature_hist_parity_lines": parity("(seg - 1) // 64"),
+        "feature_hist_parity_lines": parity("0"),
         "feature_dict": f"WITH {DICT} SELECT fid, n, dim FROM dict",
         "dict_load": f"""WITH {TEXT_SOURCE}
 SELECT fid, dim FROM src QUALIFY row_number() OVER (PARTITION BY fid ORDER BY
@@ -341,8 +395,34 @@ FROM wt LEFT JOIN dict USING (dim)""",
         "cg_fit_metrics": f"WITH {full_batch(5)}, {_final('w5')} {_metrics('w5')}",
         "cg_fit_clicks": f"WITH {full_batch(3, CLICKS)}, {_final('w3')} {_metrics('w3')}",
         "minibatch_sizes": f"""WITH {DOC}
-SELECT id % 4 AS batch, CAST(count(*) AS BIGINT) AS n FROM doc GROUP BY 1""",
-        "minibatch_fit_metrics": f"WITH {mini_batch(1, 3, 2)}, {average}, {_final('avg_w')} {_metrics('avg_w')}",
+SELECT count(*) AS n, count(DISTINCT id) AS n_ids, CAST(0 AS BIGINT) AS n_outside,
+  CAST(sum(pos + neg) // 100 + 1 AS BIGINT) AS n_batches FROM doc""",
+        "minibatch_fit_metrics": batches,
+        "minibatch_fit_metrics_join": batches,
+        "minibatch_trace": f"WITH {mini_batch(1, 3, 2)}, {_averages()} " + _batch_trace(),
+        "encode_line_keys": line_rows,
+        "encode_line_keys_join": line_rows,
+        "cg_iter2_line_keys": line_weights,
+        "cg_iter2_line_keys_join": line_weights,
+        "score_beyond_model": f"""WITH {FEAT}
+SELECT req, seg, {rounded('coalesce(sum(w) FILTER (dim < 10), 0)', 6)} AS z
+FROM feat LEFT JOIN wt USING (dim) GROUP BY req, seg""",
+        "imp_parse_dropmalformed": impressions + " WHERE req % 5 <> 0",
+        "imp_parse_permissive": f"""WITH {IMP}
+SELECT req, req % 5 = 0 AS corrupt, CASE WHEN req % 5 <> 0 THEN CAST(count(*) + 1 AS INTEGER) END AS n_segments
+FROM imp GROUP BY req""",
+        "libsvm_minibatch": """
+SELECT count(*) AS n, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+  CAST(sum(CASE WHEN l_discount > 0.05 THEN 0 ELSE 1 END) AS BIGINT) AS neg, CAST(4 AS BIGINT) AS n_batches
+FROM lineitem WHERE l_linenumber <> 7""",
+        "jobs_fit": f"""WITH {full_batch(5)}, {_final('w5')}
+SELECT {rounded(acc('fin'), 6)} AS accuracy, {rounded(auc('fin', 12), 6)} AS auc""",
+        "jobs_test": f"""WITH {full_batch(5)}, {_final('w5')}, half AS (SELECT * FROM fin WHERE id % 2 = 0)
+SELECT {rounded(acc('half'), 6)} AS accuracy, {rounded(auc('half', 12), 6)} AS auc""",
+        "export_tables": f"""WITH {full_batch(2)}
+SELECT CAST(fid AS VARCHAR) AS fid, {rounded('v', 6)} AS w, dim = 0 AS is_bias
+FROM w2 LEFT JOIN ddict USING (dim)""",
+        "cg_stops": "SELECT CAST(1 AS BIGINT) AS rounds FROM documents LIMIT 1",
         "unsigned_roundtrip": """
 WITH v AS (
   SELECT l_orderkey, l_linenumber, l_partkey,
@@ -356,5 +436,5 @@ SELECT l_orderkey, l_linenumber, l_partkey,
   CAST(u AS VARCHAR) AS text FROM v""",
         "libsvm_binary_load": f"""
 SELECT l_orderkey AS id, CASE WHEN l_discount > 0.05 THEN 1e0 ELSE -1e0 END AS y,
-  concat_ws(' ', 0, l_partkey, l_suppkey, l_linenumber) AS idx FROM lineitem""",
+  concat_ws(' ', 0, l_partkey, l_suppkey, l_linenumber) AS idx FROM lineitem WHERE l_linenumber <> 7""",
     }

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks.fixtures import (
     SLOT_ORDER,
-    SLOTS_PER_LINE,
     check_weights,
     document_dictionary,
     document_examples,
@@ -17,13 +16,15 @@ from checks.fixtures import (
     log_lines,
     table,
 )
+from clicktide.functions.numbering import number_rows
 from clicktide.functions.scalar import format_unsigned, log_loss, parse_unsigned, sigmoid
 from clicktide.functions.vectors import dot, norm2
 from clicktide.operators import evaluate as ev
 from clicktide.operators import histogram as hg
 from clicktide.operators import objective as ob
 from clicktide.operators.encode import HEAD_DIMS, combine_segments, encode, sample_counts
-from clicktide.operators.samples import expanded_samples, weighted_samples
+from clicktide.operators.batches import assign_batches, batch_count
+from clicktide.operators.samples import count_samples, expanded_samples, weighted_samples
 from clicktide.operators.stats import data_stats, dictionary_dim
 from clicktide.plans import jobs
 from clicktide.plans.cg import train_cg
@@ -56,9 +57,7 @@ def q_impressions(spark, sf):
 
 
 def q_imp_parse(spark, sf):
-    requests = parse_requests(log_lines(impressions(spark, sf)))
-    seg = (F.col("line") * SLOTS_PER_LINE + F.col("seg")).cast("int")
-    return _show_impressions(explode_slots(requests).withColumn("seg", seg))
+    return _show_impressions(explode_slots(parse_requests(log_lines(impressions(spark, sf)))))
 
 
 def q_segment_combine(spark, sf):
@@ -157,6 +156,7 @@ def _margins(spark, sf):
 
 def _margins_join(spark, sf):
     examples, dictionary = _examples(spark, sf)
+    examples = ob.with_rows(examples)
     weights = check_weights(dictionary)
     sums = {"w": "z", "mu": "xm"}
     return examples, ob.margins_join(examples, weights, sums=sums, head_dims=50)
@@ -200,7 +200,7 @@ def q_gradient(spark, sf):
     w = ob.weights_vector(check_weights(dictionary))
     shared = spark.sparkContext.broadcast(w)
     rows = ob.PackedObjective(examples, len(w)).gradient_rows(shared)
-    return rows.filter(F.col("idx") != ob.LOSS_ROW).select("idx", _r(F.col("v"), 4).alias("g"))
+    return rows.filter(F.col("idx") >= 0).select("idx", _r(F.col("v"), 4).alias("g"))
 
 
 def q_gradient_join(spark, sf):
@@ -212,9 +212,10 @@ def q_curvature(spark, sf):
     docs = documents(spark, sf)
     dictionary = document_dictionary(docs)
     weights = check_weights(dictionary)
-    packed = ob.PackedObjective(encode(docs, dictionary, ["id"]), dictionary.count() + 1)
-    value = packed.curvature(ob.weights_vector(weights), ob.weights_vector(weights, "mu"))
-    return spark.range(1).select(_r(F.lit(value), 6).alias("curvature"))
+    examples = ob.with_margin(encode(docs, dictionary, ["id"]).withColumn("x", F.col("idx")), ob.weights_vector(weights))
+    along = examples.withColumnsRenamed({"z": "z0", "x": "idx"})
+    both = ob.with_margin(along, ob.weights_vector(weights, "mu")).withColumnsRenamed({"z": "xm", "z0": "z"})
+    return ob.curvature_join(both).select(_r(F.col("curvature"), 6).alias("curvature"))
 
 
 def q_curvature_join(spark, sf):
@@ -306,21 +307,152 @@ def q_cg_fit_clicks(spark, sf):
 
 
 def q_minibatch_sizes(spark, sf):
-    rows = document_examples(spark, sf).withColumn("batch", F.pmod("id", F.lit(4)))
-    return rows.groupBy("batch").agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))
+    """What a seeded split must keep: each sample once, batch numbers in range."""
+    docs = document_examples(spark, sf)
+    total = docs.agg(F.sum(F.col("pos") + F.col("neg"))).first()[0]
+    batches = batch_count(int(total or 0), 100)
+    split = assign_batches(docs, batches, ["id"], seed=3)
+    return split.agg(
+        F.count("*").alias("n"),
+        F.countDistinct("id").alias("n_ids"),
+        F.count(F.when(~F.col("batch").between(0, batches - 1), 1)).alias("n_outside"),
+        F.lit(batches).cast("bigint").alias("n_batches"),
+    )
 
 
-def q_minibatch_fit_metrics(spark, sf):
-    examples = document_examples(spark, sf)
-    fit = train_cg_minibatch(
-        examples,
+def _minibatch(spark, sf, method, track=False):
+    return train_cg_minibatch(
+        document_examples(spark, sf),
         CGParams(max_iter=1, inner_iter=2),
         keys=["id"],
         batch=F.pmod("id", F.lit(3)),
         n_batches=3,
-        track_objective=False,
+        track_objective=track,
+        method=method,
+    )
+
+
+def q_minibatch_fit_metrics(spark, sf):
+    return _fit_metrics(document_examples(spark, sf), _minibatch(spark, sf, "packed").weights)
+
+
+def q_minibatch_fit_metrics_join(spark, sf):
+    return _fit_metrics(document_examples(spark, sf), _minibatch(spark, sf, "join").weights)
+
+
+def q_minibatch_trace(spark, sf):
+    trace = _minibatch(spark, sf, "packed", True).trace
+    return trace.select("batch", "iter", *(_r(F.col(c), 6).alias(c) for c in ("loglik", "avg_objective")))
+
+
+def _line_impressions(spark, sf):
+    """Impressions under keys that repeat, and with ids that are NULL or close to each other."""
+    lines = table(spark, sf, "lineitem")
+    near = F.lit(2**60).cast("bigint") + F.col("l_suppkey")
+    return lines.select(
+        F.when(F.col("l_linenumber") != 7, F.col("l_orderkey")).alias("req"),
+        F.col("l_linenumber").cast("int").alias("seg"),
+        F.lit(3).alias("show"),
+        (F.col("l_partkey") % 3).cast("int").alias("click"),
+        F.array(near, F.when(F.col("l_linenumber") > 2, 5000000 + F.col("l_linenumber")).cast("bigint")).alias("feats"),
+        F.array().cast("array<bigint>").alias("common"),
+    )
+
+
+def _line_examples(spark, sf, method):
+    imps = _line_impressions(spark, sf)
+    fids = imps.select(F.explode("feats").alias("fid")).filter("fid is not null and fid % 2 = 0").distinct()
+    dictionary = number_rows(fids, [F.col("fid")], "dim").select("fid", F.col("dim").cast("int"))
+    return encode(imps, dictionary, method=method, head_dims=5)
+
+
+def _line_encoded(method):
+    def query(spark, sf):
+        rows = _line_examples(spark, sf, method).select("req", "seg", "pos", "neg", _text("idx").alias("dims"))
+        return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+    return query
+
+
+def _line_weights(method):
+    def query(spark, sf):
+        fit = train_cg(_line_examples(spark, sf, "broadcast"), CGParams(max_iter=2), method)
+        return fit.weights.select("idx", _r(F.col("w"), 6).alias("w"))
+
+    return query
+
+
+def q_score_beyond_model(spark, sf):
+    """Dimensions that the model does not have count nothing."""
+    examples, dictionary = _examples(spark, sf)
+    known = check_weights(dictionary).filter("idx < 10")
+    margins = ob.with_margin(examples, ob.weights_vector(known))
+    return margins.select("req", "seg", _r(F.col("z"), 6).alias("z"))
+
+
+def _damaged_lines(spark, sf):
+    """Log lines of which every fifth request is damaged, in one of three ways."""
+    lines = log_lines(impressions(spark, sf))
+    kind = F.pmod("req", F.lit(15))
+    value = (
+        F.when(kind == 0, F.concat(F.lit("x "), F.col("value")))
+        .when(kind == 5, F.concat(F.lit("1:5 "), F.col("value")))
+        .when(kind == 10, F.lit("1"))
+        .otherwise(F.col("value"))
+    )
+    return lines.select("req", value.alias("value"))
+
+
+def q_imp_parse_dropmalformed(spark, sf):
+    return _show_impressions(explode_slots(parse_requests(_damaged_lines(spark, sf), "DROPMALFORMED")))
+
+
+def q_imp_parse_permissive(spark, sf):
+    rows = parse_requests(_damaged_lines(spark, sf), "PERMISSIVE")
+    return rows.select("req", F.col("_corrupt_record").isNotNull().alias("corrupt"), F.size("segs").alias("n_segments"))
+
+
+def q_libsvm_minibatch(spark, sf):
+    """Text examples to counted samples to batches."""
+    samples = parse_examples(_libsvm_lines(spark, sf))
+    batches = assign_batches(count_samples(samples.select("id", "y", "idx")), 4, ["id"], seed=1)
+    return batches.agg(
+        F.count("*").alias("n"),
+        F.sum("pos").alias("pos"),
+        F.sum("neg").alias("neg"),
+        F.countDistinct("batch").alias("n_batches"),
     )
-    return _fit_metrics(examples, fit.weights)
+
+
+def _document_model(spark, sf, **params):
+    docs = documents(spark, sf)
+    dictionary = document_dictionary(docs)
+    return docs, dictionary, jobs.fit(docs, dictionary, CGParams(**params), keys=["id"])
+
+
+def _shown_metrics(metrics):
+    return metrics.select(*(_r(F.col(c), 6).alias(c) for c in ("accuracy", "auc")))
+
+
+def q_jobs_fit(spark, sf):
+    return _shown_metrics(_document_model(spark, sf, max_iter=5)[2].metrics)
+
+
+def q_jobs_test(spark, sf):
+    docs, dictionary, model = _document_model(spark, sf, max_iter=5)
+    return _shown_metrics(jobs.test(docs.filter("id % 2 = 0"), dictionary, model.fit.weights, ["id"]))
+
+
+def q_export_tables(spark, sf):
+    _, dictionary, model = _document_model(spark, sf, max_iter=2)
+    rows = jobs.named_weights(model.fit.weights, dictionary)
+    return rows.select("fid", _r(F.col("w"), 6).alias("w"), "is_bias")
+
+
+def q_cg_stops(spark, sf):
+    """Ends by the stop test, not by the number of rounds; with scaled sums."""
+    fit = train_cg(document_examples(spark, sf), CGParams(max_iter=50, eps=1e9, scale=0), keys=["id"])
+    return fit.trace.agg(F.count("*").alias("rounds"))
 
 
 def q_unsigned_roundtrip(spark, sf):
@@ -334,16 +466,21 @@ def q_unsigned_roundtrip(spark, sf):
     return rows.withColumn("text", format_unsigned(F.col("bits")))
 
 
-def q_libsvm_binary_load(spark, sf):
+def _libsvm_lines(spark, sf):
+    """Example lines with TABs and blanks around them, and blank ones in between."""
     y = F.when(F.col("l_discount") > 0.05, F.lit("+1")).otherwise(F.lit("-1"))
     pairs = [
         F.concat(F.col(c).cast("string"), F.lit(":0.5"))
         for c in ("l_partkey", "l_suppkey", "l_linenumber")
     ]
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.concat(F.lit(" "), F.concat_ws(" ", y, *pairs)).alias("value")
-    )
-    return parse_examples(lines).select("id", "y", _text("idx").alias("idx"))
+    around = F.when(F.col("l_linenumber") % 2 == 0, F.lit("\t")).otherwise(F.lit(" "))
+    full = F.concat(around, F.concat_ws(" ", y, *pairs), around)
+    value = F.when(F.col("l_linenumber") == 7, F.concat(around, around)).otherwise(full)
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), value.alias("value"))
+
+
+def q_libsvm_binary_load(spark, sf):
+    return parse_examples(_libsvm_lines(spark, sf)).select("id", "y", _text("idx").alias("idx"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -356,6 +493,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **named,
         "encode_examples": _encoded("broadcast"),
         "encode_examples_join": _encoded("join", head_dims=50),
+        "encode_line_keys": _line_encoded("broadcast"),
+        "encode_line_keys_join": _line_encoded("join"),
+        "cg_iter2_line_keys": _line_weights("packed"),
+        "cg_iter2_line_keys_join": _line_weights("join"),
         "cg_iter1": _weights_after(1, "packed"),
         "cg_iter1_join": _weights_after(1, "join"),
         "cg_iter2": _weights_after(2, "packed"),

@@ -59,13 +59,14 @@ def number_within(
     if hot.isEmpty():
         return df.withColumn(name, F.row_number().over(window))
     hot = materialise(hot)
+    hot = F.broadcast(hot)  # at most one group in `hot_rows` rows
     cold = df.join(hot, group, "left_anti").withColumn(name, F.row_number().over(window))
     spread = number_rows(
         df.join(hot, group, "left_semi"), [F.col(c) for c in group + order], "_number"
     )
     first = spread.groupBy(*group).agg(F.min("_number").alias("_first"))
     shifted = (
-        spread.join(first, group)
+        spread.join(F.broadcast(first), group)
         .withColumn(name, (F.col("_number") - F.col("_first") + 1).cast("int"))
         .drop("_number", "_first")
     )

@@ -22,8 +22,3 @@ def assign_batches(
 ) -> DataFrame:
     """Adds `batch`. Unlike a random split this is one column, not one scan per batch."""
     return examples.withColumn("batch", batch_of(n_batches, keys, seed))
-
-
-def split_batches(examples: DataFrame, n_batches: int, seed: int = 0) -> list[DataFrame]:
-    """Spark's own seeded random split with equal weights, one DataFrame per batch."""
-    return examples.randomSplit([1.0] * n_batches, seed)

@@ -13,15 +13,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from clicktide.session import materialise
+
 # Dictionaries up to this many entries (12 bytes each) travel to every task as two arrays.
 BROADCAST_MAX_ENTRIES = 5_000_000
-# Dims up to this one form the head of a larger dictionary.
+# So many frequent features form the head of a larger dictionary.
 HEAD_DIMS = 1_000_000
 
 
 def combine_segments(impressions: DataFrame) -> DataFrame:
-    """Adds `fids`: a slot's own features followed by the shared ones of its request."""
-    return impressions.withColumn("fids", F.concat("feats", "common"))
+    """Adds `fids`: a slot's own features followed by the shared ones of its request.
+
+    NULL ids, and NULL lists, are no features.
+    """
+    none = F.array().cast("array<bigint>")
+    both = F.concat(F.coalesce("feats", none), F.coalesce("common", none))
+    return impressions.withColumn("fids", F.filter(both, lambda f: f.isNotNull()))
 
 
 def sample_counts(show: Column, click: Column) -> tuple[Column, Column]:
@@ -42,6 +49,12 @@ def fits_broadcast(dictionary: DataFrame, max_entries: int = BROADCAST_MAX_ENTRI
     return dictionary.limit(max_entries + 1).count() <= max_entries
 
 
+def check_unique(dictionary: DataFrame) -> None:
+    """Fails if a feature id has several dims; `last_wins` makes a dictionary unique."""
+    if not dictionary.groupBy("fid").count().filter("count > 1").isEmpty():
+        raise ValueError("the dictionary has repeated feature ids, see last_wins")
+
+
 def encode(
     impressions: DataFrame,
     dictionary: DataFrame,
@@ -53,72 +66,99 @@ def encode(
     """Counted examples. Features missing in `dictionary(fid, dim)` are dropped; a row without
     any known feature stays as a bias-only example.
 
-    `broadcast` looks features up in place: no shuffle. `join` does so for dims up to `head_dims`
-    and joins the rest by id; it works for any dictionary size and needs unique `keys`. `auto`
-    counts the dictionary against `max_entries` to choose.
+    `broadcast` looks features up in place: no shuffle. `join` does so for the `head_dims` most
+    frequent features and joins the rest by id; it works for any dictionary size. `auto` counts the
+    dictionary against `max_entries` to choose. All give the same rows: one for each impression, so
+    `keys` are carried along and may be NULL or repeat. A repeated feature id fails the job.
     """
-    if method == "auto":
-        method = "broadcast" if fits_broadcast(dictionary, max_entries) else "join"
-    elif method == "broadcast" and not fits_broadcast(dictionary, max_entries):
+    if method not in ("auto", "broadcast", "join"):
+        raise ValueError("method must be 'auto', 'broadcast' or 'join'")
+    fits = fits_broadcast(dictionary, max_entries) if method != "join" else False
+    if method == "broadcast" and not fits:
         raise ValueError(f"dictionary has more than {max_entries} entries, use method='join'")
     pos, neg = sample_counts(F.col("show"), F.col("click"))
     rows = combine_segments(impressions).select(
         *keys, pos.alias("pos"), neg.alias("neg"), "fids"
     )
-    if method == "broadcast":
-        return _encode_broadcast(rows, dictionary)
-    if method == "join":
-        return _encode_join(rows, dictionary, list(keys), head_dims)
-    raise ValueError("method must be 'auto', 'broadcast' or 'join'")
+    check_unique(dictionary)
+    if fits:
+        return _encode_broadcast(rows, dictionary).drop("_open")
+    return _encode_join(rows, dictionary, head_dims)
 
 
-def _encode_join(
-    rows: DataFrame, dictionary: DataFrame, keys: list[str], head_dims: int
-) -> DataFrame:
-    # Dims follow frequency, so the head covers most tokens and all hot ones. It is looked up in
-    # place; only tokens outside it are shuffled by id. Grouping back gathers the features of one
-    # example only.
-    per_row = [*keys, "pos", "neg"]
-    in_head = F.col("dim") <= head_dims
-    if not fits_broadcast(dictionary.filter(in_head)):
-        in_head = F.lit(False)  # many ids share low dims: no bounded head
-    head, tail = dictionary.filter(in_head), dictionary.filter(~in_head)
+def most_frequent(rows: DataFrame, dictionary: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """`dictionary` as (at most `most` frequent entries, the others).
+
+    Counts `n` of the dictionary tell what is frequent, else one pass over the features of `rows`.
+    """
+    entries = dictionary.select("fid", "dim", *(["n"] if "n" in dictionary.columns else []))
+    if "n" not in entries.columns:
+        seen = rows.select(F.explode("fids").alias("_fid")).groupBy("_fid").agg(F.count("*").alias("n"))
+        joined = entries.join(seen, F.col("fid") == F.col("_fid"), "left")
+        entries = materialise(joined.select("fid", "dim", F.coalesce("n", F.lit(0)).alias("n")))
+    size = entries.count()
+    if size <= most:
+        return entries, entries.limit(0)
+    # The cut is exact where counts differ; entries that tie with it stay outside the head.
+    cut = entries.approxQuantile("n", [1 - most / size], 0.1 * most / size)[0]
+    head = F.col("n") > cut
+    if not fits_broadcast(entries.filter(head), 2 * most):
+        head = F.lit(False)
+    return entries.filter(head), entries.filter(~head)
+
+
+def _encode_join(rows: DataFrame, dictionary: DataFrame, head_dims: int) -> DataFrame:
+    # Frequent features are looked up in place. Only rows with a feature left over go on, each under
+    # a number that is written once, and only their left-over features are shuffled by id.
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+    head, tail = most_frequent(rows, dictionary, head_dims)
     near = _encode_broadcast(rows, head)
-    tokens = rows.select(*per_row, F.explode_outer("fids").alias("fid")).filter("fid is not null")
+    tokens = rows.select("_row", F.explode("fids").alias("fid"))
     far = (
         tokens.join(F.broadcast(head.select("fid")), "fid", "left_anti")
         .join(tail.select("fid", "dim"), "fid")
-        .select(*per_row, F.array("dim").alias("idx"))
+        .groupBy("_row")
+        .agg(F.collect_list("dim").alias("_more"))
+        .withColumnRenamed("_row", "_at")
     )
-    return (
-        near.unionByName(far)
-        .groupBy(*per_row)
-        .agg(F.array_sort(F.flatten(F.collect_list("idx"))).alias("idx"))
+    done = near.filter("_open = 0").drop("_open", "_row")
+    left = near.filter("_open > 0").join(far, F.col("_row") == F.col("_at"), "left")
+    more = F.coalesce("_more", F.array().cast("array<int>"))
+    return done.unionByName(
+        left.withColumn("idx", F.array_sort(F.concat("idx", more))).select(*done.columns)
     )
 
 
 def _encode_broadcast(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """`rows` with `idx` for `fids`, and `_open`, the number of features not in `dictionary`."""
     table = dictionary.select("fid", "dim").orderBy("fid").toArrow()
     fids = table.column("fid").to_numpy().astype(np.int64)
     dims = table.column("dim").to_numpy().astype(np.int32)
     shared = rows.sparkSession.sparkContext.broadcast((fids, dims))
     carried = [f for f in rows.schema.fields if f.name != "fids"]
-    schema = T.StructType([*carried, T.StructField("idx", T.ArrayType(T.IntegerType(), False))])
+    added = [T.StructField("idx", T.ArrayType(T.IntegerType(), False)), T.StructField("_open", T.IntegerType())]
+    schema = T.StructType([*carried, *added])
+    names = [f.name for f in schema]
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, dim = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("fids"))
-            idx = _encode_lists(column, known, dim)
+            idx, left = _encode_lists(column, known, dim)
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in carried]
-            yield pa.RecordBatch.from_arrays([*arrays, idx], [*(f.name for f in carried), "idx"])
+            yield pa.RecordBatch.from_arrays([*arrays, idx, left], names)
 
     return rows.mapInArrow(lookup, schema)
 
 
-def _encode_lists(column: pa.ListArray, known: np.ndarray, dim: np.ndarray) -> pa.ListArray:
+def _encode_lists(
+    column: pa.ListArray, known: np.ndarray, dim: np.ndarray
+) -> tuple[pa.ListArray, pa.Array]:
     lengths = np.diff(column.offsets.to_numpy())
-    values = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("NULL feature ids must be dropped before")
+    values = flat.to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
     if len(known):
         at = np.minimum(np.searchsorted(known, values), len(known) - 1)
@@ -126,12 +166,14 @@ def _encode_lists(column: pa.ListArray, known: np.ndarray, dim: np.ndarray) -> p
         row, dims = row[hit], dim[at[hit]]
     else:
         row, dims = row[:0], np.empty(0, np.int32)
+    left = lengths - np.bincount(row, minlength=len(lengths))
     # The bias joins as dim 0, so one sort by (row, dim) puts it first in every row.
     row = np.concatenate([row, np.arange(len(lengths), dtype=np.int64)])
     dims = np.concatenate([dims, np.zeros(len(lengths), np.int32)])
     key = np.sort((row << 32) | dims)
     sizes = np.bincount(key >> 32, minlength=len(lengths))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(
+    lists = pa.ListArray.from_arrays(
         pa.array(offsets), pa.array((key & 0xFFFFFFFF).astype(np.int32))
     )
+    return lists, pa.array(left.astype(np.int32))

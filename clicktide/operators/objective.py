@@ -27,6 +27,7 @@ from clicktide.operators.blocks import (
     row_sums,
 )
 from clicktide.operators.encode import HEAD_DIMS
+from clicktide.session import materialise
 
 # Longest weight vector that travels to tasks and driver: 80 MB of doubles.
 PACKED_MAX_DIM = 10_000_000
@@ -61,43 +62,66 @@ def collect_vector(entries: DataFrame, d: int) -> np.ndarray:
 # --- join form ----------------------------------------------------------------------------
 
 
+def with_rows(examples: DataFrame) -> DataFrame:
+    """`examples` with `_row`, a number of each row that is written once and so never changes."""
+    return materialise(examples.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def frequent_dims(examples: DataFrame, most: int = HEAD_DIMS) -> DataFrame:
+    """`(idx)`: at most `most` dimensions, among them all that more than 1 / `most` of tokens have."""
+    counts = examples.select(F.explode("idx").alias("idx")).groupBy("idx").agg(F.count("*").alias("n"))
+    counts = materialise(counts)
+    size = counts.count()
+    if size <= most:
+        return counts.select("idx")
+    # Of dimensions with a share above 1 / most there are fewer than `most`.
+    total = counts.agg(F.sum("n")).first()[0]
+    return counts.filter(F.col("n") > total / max(most, 1)).select("idx")
+
+
 def margins_join(
     examples: DataFrame,
     weights: DataFrame,
     keys: Sequence[str] = ("req", "seg"),
     sums: Mapping[str, str] | None = None,
     head_dims: int = HEAD_DIMS,
+    head: DataFrame | None = None,
 ) -> DataFrame:
-    """`(keys.., pos, neg, z)`: sum of weights over the active dimensions of each example.
+    """`(keys.., pos, neg, _row, z)`: sum of weights over the active dimensions of each example.
 
     `sums` maps weight columns to result columns, `{"w": "z"}` unless given. Dimensions without a
-    weight count as zero. Dictionaries number features from the most frequent down, so hot
-    dimensions meet the broadcast head (at most `head_dims` rows, one per index); the shuffle by
-    dimension moves the tail only. Sums by key then move partial sums, or nothing for the head if
-    `examples` are already partitioned by `keys`, which must be unique.
+    weight count as zero, and so does an example without dimensions. Examples are told apart by
+    `_row` of `with_rows`, which is added if they lack it; `keys` are carried and may be NULL or
+    repeat. Frequent dimensions (`head`, or `frequent_dims` of the examples) are broadcast; the
+    shuffle by dimension moves the others only.
     """
     sums = dict(sums or {"w": "z"})
-    keys = list(keys)
-    table = weights.select("idx", *sums)
-    long = examples.select(*keys, "pos", "neg", F.explode("idx").alias("idx"))
-
-    def by_key(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy(*keys).agg(
-            F.max("pos").alias("pos"),
-            F.max("neg").alias("neg"),
-            *(F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(out) for c, out in sums.items()),
-        )
-
-    in_head = F.col("idx") < head_dims
-    head = by_key(long.filter(in_head).join(F.broadcast(table.filter(in_head)), "idx", "left"))
-    tail = by_key(long.filter(~in_head).join(table.filter(~in_head), "idx", "left"))
-    h, t = head.alias("h"), tail.alias("t")
-    same = [F.col(f"h.{k}") == F.col(f"t.{k}") for k in keys]
-    either = lambda c: F.coalesce(F.col(f"h.{c}"), F.col(f"t.{c}"))
-    both = lambda c: sum(F.coalesce(F.col(f"{side}.{c}"), F.lit(0.0)) for side in "ht")
-    return h.join(t, same, "full").select(
-        *(either(k).alias(k) for k in [*keys, "pos", "neg"]),
-        *(both(out).alias(out) for out in sums.values()),
+    if "_row" not in examples.columns:
+        examples = with_rows(examples)
+    carried = list(dict.fromkeys([*keys, "pos", "neg", "_row"]))
+    hot = (frequent_dims(examples, head_dims) if head is None else head).select(F.col("idx").alias("_hot"))
+    table = weights.select("idx", *sums).join(
+        F.broadcast(hot), F.col("idx") == F.col("_hot"), "left"
+    )
+    long = examples.select("_row", F.explode("idx").alias("_idx"))
+    near = long.join(F.broadcast(hot), F.col("_idx") == F.col("_hot"), "left")
+
+    def by_row(pairs: DataFrame, side: str) -> DataFrame:
+        return pairs.groupBy("_row").agg(
+            *(F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(f"_{side}_{out}") for c, out in sums.items())
+        ).withColumnRenamed("_row", f"_{side}")
+
+    common = table.filter("_hot is not null").drop("_hot")
+    rare = table.filter("_hot is null").drop("_hot")
+    same = F.col("_idx") == F.col("idx")
+    h = by_row(near.filter("_hot is not null").join(F.broadcast(common), same), "h")
+    t = by_row(near.filter("_hot is null").join(rare, same), "t")
+    rows = examples.select(*carried)
+    both = rows.join(h, F.col("_row") == F.col("_h"), "left").join(t, F.col("_row") == F.col("_t"), "left")
+    zero = F.lit(0.0)
+    return both.select(
+        *carried,
+        *((F.coalesce(F.col(f"_h_{out}"), zero) + F.coalesce(F.col(f"_t_{out}"), zero)).alias(out) for out in sums.values()),
     )
 
 
@@ -106,12 +130,13 @@ def loss_join(margins: DataFrame) -> DataFrame:
     return margins.agg(F.sum(counted_loss(F.col("pos"), F.col("neg"), F.col("z"))).alias("loss"))
 
 
-def gradient_join(
-    examples: DataFrame, margins: DataFrame, keys: Sequence[str] = ("req", "seg")
-) -> DataFrame:
-    """`(idx, g)`: gradient of the total log loss, from margins of the same examples."""
+def gradient_join(examples: DataFrame, margins: DataFrame) -> DataFrame:
+    """`(idx, g)`: gradient of the total log loss, from margins of the same examples.
+
+    Both sides have `_row`, see `with_rows`.
+    """
     residual = counted_residual(F.col("pos"), F.col("neg"), F.col("z")).alias("r")
-    rows = examples.select(*keys, "idx").join(margins.select(*keys, residual), list(keys))
+    rows = examples.select("_row", "idx").join(margins.select("_row", residual), "_row")
     return rows.select(F.explode("idx").alias("idx"), "r").groupBy("idx").agg(F.sum("r").alias("g"))
 
 
@@ -126,8 +151,8 @@ def curvature_join(margins: DataFrame) -> DataFrame:
 # Up to this many partial gradient entries are added up on the driver, which saves a shuffle.
 DIRECT_ENTRIES = 1_000_000
 
-# Under this index a gradient pass also carries the total loss.
-LOSS_ROW = -1
+# Under these indices a gradient pass also carries the total loss and the number of samples.
+LOSS_ROW, COUNT_ROW = -1, -2
 
 
 def _entries(idx: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -151,18 +176,19 @@ class PackedObjective:
         packed = [c for c in ("sizes",) if c in data.columns]
         self.data = data.select("pos", "neg", *packed, "idx")
         self.d = d
+        self.n_samples = 0.0
         self.direct = tasks is not None and tasks * (d + 1) <= DIRECT_ENTRIES
 
     def gradient_rows(self, vector) -> DataFrame:
-        """`(idx, v)`: gradient entries, and the total loss under `LOSS_ROW`. `vector` is a
-        broadcast weight vector."""
+        """`(idx, v)`: gradient entries, and loss and samples under `LOSS_ROW` and `COUNT_ROW`.
+        `vector` is a broadcast weight vector."""
         return self._partials(vector).groupBy("idx").agg(F.sum("v").alias("v"))
 
     def _partials(self, vector) -> DataFrame:
         d = self.d
 
         def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, g, loss = padded(vector.value), np.zeros(d + 1), 0.0
+            w, g, loss, count = padded(vector.value), np.zeros(d + 1), 0.0, 0.0
             for block in read_blocks(batches):
                 idx = clip(block.idx, d)
                 z = row_sums(w[idx], block.sizes)
@@ -173,13 +199,14 @@ class PackedObjective:
                 else:
                     np.add.at(g, idx, r)
                 loss += block_loss(block, z)
+                count += float(block.pos.sum() + block.neg.sum())
             at = np.flatnonzero(g[:d])
-            yield _entries(np.append(at, LOSS_ROW), np.append(g[at], loss))
+            yield _entries(np.append(at, [LOSS_ROW, COUNT_ROW]), np.append(g[at], [loss, count]))
 
         return self.data.mapInArrow(fold, "idx INT, v DOUBLE")
 
     def gradient(self, w: np.ndarray) -> tuple[np.ndarray, float]:
-        """(gradient, total loss) at `w` in one pass."""
+        """(gradient, total loss) at `w` in one pass, which also sets `n_samples`."""
         vector = self._context.broadcast(np.asarray(w, np.float64))
         try:
             rows = self._partials(vector) if self.direct else self.gradient_rows(vector)
@@ -188,6 +215,7 @@ class PackedObjective:
             vector.destroy()
         idx, v = table.column("idx").to_numpy(), table.column("v").to_numpy()
         g = np.bincount(idx[idx >= 0], weights=v[idx >= 0], minlength=self.d)
+        self.n_samples = float(v[idx == COUNT_ROW].sum())
         return g, float(v[idx == LOSS_ROW].sum())
 
     def _total(self, fold, *vectors: np.ndarray) -> float:

@@ -59,14 +59,13 @@ def minimise(
     start: np.ndarray,
     params: CGParams,
     rounds: int,
-    n: int,
+    n: int | None,
     anchor: np.ndarray | None = None,
 ) -> tuple[np.ndarray, list[dict]]:
     """Up to `rounds` rounds from `start` on total loss + lam/2 |w - anchor|^2 (anchor None = 0).
 
-    Returns the weights and one trace row per round, the last one included.
+    `n` is the number of samples, None for that of `objective`'s own data. Returns the weights and one trace row per round, the last one included.
     """
-    scale = float(params.scale or n)
     w = np.array(start, np.float64)
     centre = np.zeros_like(w) if anchor is None else np.array(anchor, np.float64)
     mu, g_old = np.zeros_like(w), np.zeros_like(w)
@@ -74,6 +73,8 @@ def minimise(
     for i in range(rounds):
         began = time.monotonic()
         data_g, loss = objective.gradient(w)
+        samples = max(objective.n_samples if n is None else n, 1)
+        scale = float(params.scale or samples)
         g = (data_g + params.lam * (w - centre)) / scale
         gtold, g_old2 = float(g_old @ mu), float(g_old @ g_old)
         tol = restart_bound(params, g_old2, float(mu @ mu))
@@ -89,7 +90,7 @@ def minimise(
         trace.append(
             {
                 "iter": i,
-                "loglik": (penalty + loss) / n,
+                "loglik": (penalty + loss) / samples,
                 "rtime": time.monotonic() - began,
                 "alpha": alpha,
                 "beta": beta or 0.0,

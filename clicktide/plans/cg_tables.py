@@ -2,7 +2,8 @@
 
 For models too long for one array. Margins are carried along: after a step z becomes
 z + alpha * (x . mu), so a round needs one join by dimension instead of two. Every round ends in
-written tables, which keeps plans flat and survives lost executors.
+written tables, which keeps plans flat and survives lost executors; tables of earlier rounds are
+dropped as soon as the next ones are written.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from clicktide.functions.scalar import counted_curvature, counted_loss, counted_residual
-from clicktide.operators.objective import margins_join
+from clicktide.operators.objective import frequent_dims, margins_join, with_rows
 from clicktide.operators.stats import data_stats
 from clicktide.plans.cg import (
     Fit,
@@ -23,65 +24,79 @@ from clicktide.plans.cg import (
     trace_table,
 )
 from clicktide.plans.params import CGParams
-from clicktide.session import cached, materialise
-
+from clicktide.session import Written, cached
 
 def _dot(a: str, b: str):
     return F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0))
 
 
-def train_cg_join(examples: DataFrame, params: CGParams, keys: Sequence[str]) -> Fit:
-    """`train_cg(method="join")`. `keys` must be unique."""
-    keys = list(keys)
-    spark = examples.sparkSession
-    # Sorted by key once; per-round tables of the same keys then meet it without moving it again.
-    placed = examples.select(*keys, "pos", "neg", "idx").repartition(*keys)
-    with cached(placed) as rows:
-        n, d = data_stats(rows).first()
-        if d is None:
-            raise ValueError("no examples")
-        n, d = int(n), int(d)
-        scale = float(params.scale or n)
-        margins = rows.select(*keys, "pos", "neg", F.lit(0.0).alias("z"))
-        zero = F.lit(0.0)
-        state = spark.range(d).select(
-            F.col("id").cast("int").alias("idx"),
-            zero.alias("w"),
-            zero.alias("mu"),
-            zero.alias("g_old"),
-        )
-        trace = []
-        for i in range(params.max_iter):
+def placed_rows(examples: DataFrame, *more: str) -> DataFrame:
+    """Examples by `_row`, a number of their own: nothing of the caller's has to be unique."""
+    return with_rows(examples.select("pos", "neg", "idx", *more)).repartition("_row")
+
+
+def zero_weights(spark, d: int) -> DataFrame:
+    return spark.range(d).select(F.col("id").cast("int").alias("idx"), F.lit(0.0).alias("w"))
+
+
+def minimise_tables(
+    rows: DataFrame,
+    start: DataFrame,
+    params: CGParams,
+    rounds: int,
+    head: DataFrame,
+    anchored: bool = False,
+) -> tuple[Written, list[dict]]:
+    """Up to `rounds` rounds on `rows (_row, pos, neg, idx)` from `start (idx, w)`.
+
+    The penalty is on the weights, or with `anchored` on their distance to `start`. `head` are the
+    frequent dimensions. Returns `(idx, w)`, which the caller drops, and one trace row per round.
+    """
+    n = rows.agg(F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0))).first()[0]
+    scale = float(params.scale or n or 1)
+    at_start = {"w": F.col("w"), "centre": F.col("w") if anchored else F.lit(0.0)}
+    zero = {"mu": F.lit(0.0), "g_old": F.lit(0.0)}
+    state = start.select("idx", *(c.alias(k) for k, c in {**at_start, **zero}.items()))
+    first = Written(margins_join(rows, start, (), {"w": "z"}, head=head))
+    margins, held, trace = first.rows, [first], []
+    try:
+        for i in range(rounds):
             began = time.monotonic()
             residual = counted_residual(F.col("pos"), F.col("neg"), F.col("z"))
             per_dim = (
-                rows.select(*keys, "idx")
-                .join(margins.select(*keys, residual.alias("r")), keys)
+                rows.select("_row", "idx")
+                .join(margins.select("_row", residual.alias("r")), "_row")
                 .select(F.explode("idx").alias("idx"), "r")
                 .groupBy("idx")
                 .agg(F.sum("r").alias("r"))
             )
-            g = (F.coalesce(F.col("r"), zero) + params.lam * F.col("w")) / scale
-            state = materialise(
-                state.join(per_dim, "idx", "left").select("idx", "w", "mu", "g_old", g.alias("g"))
+            apart = F.col("w") - F.col("centre")
+            g = (F.coalesce(F.col("r"), F.lit(0.0)) + params.lam * apart) / scale
+            turned_from = Written(
+                state.join(per_dim, "idx", "left").select("idx", "w", "centre", "mu", "g_old", g.alias("g"))
             )
-            s = state.withColumn("dg", F.col("g") - F.col("g_old")).agg(
+            held.append(turned_from)
+            s = turned_from.rows.withColumns(
+                {"dg": F.col("g") - F.col("g_old"), "off": F.col("w") - F.col("centre")}
+            ).agg(
                 _dot("g_old", "mu").alias("gtold"),
                 _dot("g_old", "g_old").alias("g_old2"),
                 _dot("mu", "mu").alias("mu2"),
                 _dot("g", "g").alias("gg"),
                 _dot("mu", "dg").alias("mu_dg"),
                 _dot("w", "w").alias("ww"),
+                _dot("off", "off").alias("off2"),
             ).first()
             tol = restart_bound(params, s.g_old2, s.mu2)
             beta = dai_yuan(i == 0, s.gtold, s.gg, s.mu_dg, s.g_old2, tol)
-            turned = state.withColumn("mu", F.lit(beta or 0.0) * F.col("mu") - F.col("g"))
-            along = margins_join(rows, turned, keys, {"mu": "xm"}).select(*keys, "xm")
-            passed = materialise(margins.join(along, keys))
+            turned = turned_from.rows.withColumn("mu", F.lit(beta or 0.0) * F.col("mu") - F.col("g"))
+            along = margins_join(rows, turned, (), {"mu": "xm"}, head=head).select("_row", "xm")
+            passed = Written(margins.join(along, "_row").select("_row", "pos", "neg", "z", "xm"))
+            held.append(passed)
             h = counted_curvature(F.col("pos"), F.col("neg"), F.col("z"))
-            data = passed.agg(
-                F.sum(h * F.col("xm") * F.col("xm")).alias("curvature"),
-                F.sum(counted_loss(F.col("pos"), F.col("neg"), F.col("z"))).alias("loss"),
+            data = passed.rows.agg(
+                F.coalesce(F.sum(h * F.col("xm") * F.col("xm")), F.lit(0.0)).alias("curvature"),
+                F.coalesce(F.sum(counted_loss(F.col("pos"), F.col("neg"), F.col("z"))), F.lit(0.0)).alias("loss"),
             ).first()
             at0 = F.col("idx") == 0
             m = turned.agg(
@@ -93,20 +108,22 @@ def train_cg_join(examples: DataFrame, params: CGParams, keys: Sequence[str]) ->
             ).first()
             uhu = (data.curvature + params.lam * m.mu2) / scale
             alpha = quadratic_step(m.gtd, uhu)
-            margins = passed.select(
-                *keys, "pos", "neg", (F.col("z") + F.lit(alpha) * F.col("xm")).alias("z")
+            step = F.lit(alpha)
+            margins = passed.rows.select(
+                "_row", "pos", "neg", (F.col("z") + step * F.col("xm")).alias("z")
             )
             state = turned.select(
-                "idx",
-                (F.col("w") + F.lit(alpha) * F.col("mu")).alias("w"),
-                "mu",
-                F.col("g").alias("g_old"),
+                "idx", (F.col("w") + step * F.col("mu")).alias("w"), "centre", "mu", F.col("g").alias("g_old")
             )
+            # What this round wrote holds all that the next one needs.
+            for table in held[:-2]:
+                table.drop()
+            held = held[-2:]
             moved = abs(alpha) * m.mu2**0.5
             trace.append(
                 {
                     "iter": i,
-                    "loglik": (params.lam / 2 * s.ww + data.loss) / n,
+                    "loglik": (params.lam / 2 * s.off2 + data.loss) / max(n, 1),
                     "rtime": time.monotonic() - began,
                     "alpha": alpha,
                     "beta": beta or 0.0,
@@ -121,4 +138,20 @@ def train_cg_join(examples: DataFrame, params: CGParams, keys: Sequence[str]) ->
             )
             if moved < params.eps:
                 break
-        return Fit(state.select("idx", "w"), trace_table(spark, trace), n, d)
+        return Written(state.select("idx", "w")), trace
+    finally:
+        for table in held:
+            table.drop()
+
+
+def train_cg_join(examples: DataFrame, params: CGParams, keys: Sequence[str] = ()) -> Fit:
+    """`train_cg(method="join")`. Examples are told apart by a number of their own."""
+    spark = examples.sparkSession
+    with cached(placed_rows(examples)) as rows:
+        n, d = data_stats(rows).first()
+        if d is None:
+            raise ValueError("no examples")
+        n, d = int(n), int(d)
+        head = frequent_dims(rows)
+        weights, trace = minimise_tables(rows, zero_weights(spark, d), params, params.max_iter, head)
+        return Fit(weights.rows, trace_table(spark, trace), n, d)

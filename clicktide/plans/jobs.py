@@ -22,12 +22,18 @@ from clicktide.operators.objective import (
     weights_vector,
     with_margin,
 )
+from clicktide.operators.stats import dictionary_dim
 from clicktide.plans.cg import Fit, train_blocks, train_cg
 from clicktide.plans.params import CGParams
 from clicktide.session import cached
+from clicktide.sources.dictionary import last_wins
 from clicktide.sources.sinks import write_feature_weights, write_weights
 
 
+# Digits of a score that do not depend on the order in which weights were added up.
+SCORE_DIGITS = 12
+
+
 def build_dictionary(
     impressions: DataFrame, threshold: int = DEFAULT_THRESHOLD, histogram=feature_histogram
 ) -> DataFrame:
@@ -57,9 +63,13 @@ def evaluate(
     examples: DataFrame,
     weights: DataFrame,
     keys: Sequence[str] = ("req", "seg"),
-    digits: int | None = None,
+    digits: int | None = SCORE_DIGITS,
 ) -> DataFrame:
-    """One row: `accuracy` and `auc` of a model on counted examples or packed blocks."""
+    """One row: `accuracy` and `auc` of a model on counted examples or packed blocks.
+
+    Scores that agree in `digits` digits tie. Sums in another order differ in the last bits, so
+    without rounding the AUC would not be repeatable.
+    """
     with cached(margins_of(examples, weights, keys).select("pos", "neg", "z")) as margins:
         a = accuracy(margins).first()["accuracy"]
         u = auc_roc(margins, digits).first()["auc"]
@@ -79,14 +89,19 @@ def fit(
     method: str = "auto",
     keys: Sequence[str] = ("req", "seg"),
 ) -> Trained:
-    """Encode once, train, and measure on the training data."""
+    """Encode once, train, and measure on the training data. `method` as in `train_cg`."""
+    if method not in ("auto", "packed", "join"):
+        raise ValueError("method must be 'auto', 'packed' or 'join'")
     examples = encode(impressions, dictionary, keys)
-    if method != "join":
+    # No example has a dimension that the dictionary has not.
+    fits = dictionary_dim(dictionary).first()["dict_d"] <= PACKED_MAX_DIM
+    if method == "packed" and not fits:
+        raise ValueError(f"more than {PACKED_MAX_DIM} dimensions, use method='join'")
+    if method != "join" and fits:
         with cached(pack(examples)) as blocks:
             n, d = block_stats(blocks)
-            if d <= PACKED_MAX_DIM:
-                trained = train_blocks(blocks, n, d, params)
-                return Trained(trained, evaluate(blocks, trained.weights))
+            trained = train_blocks(blocks, n, d, params)
+            return Trained(trained, evaluate(blocks, trained.weights))
     with cached(examples):
         trained = train_cg(examples, params, "join", keys)
         return Trained(trained, evaluate(examples, trained.weights, keys))
@@ -105,4 +120,14 @@ def test(
 def export_model(weights: DataFrame, dictionary: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Writes `<path>/model` by index and `<path>/modelMap` by feature id."""
     write_weights(weights, f"{path}/model", fmt)
-    write_feature_weights(weights_by_feature(weights, dictionary), f"{path}/modelMap", fmt)
+    write_feature_weights(named_weights(weights, dictionary), f"{path}/modelMap", fmt)
+
+
+def named_weights(weights: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """`weights_by_feature` with one id per dimension: of several the one that comes last.
+
+    Last is by `place` if the dictionary has it, as parsed text has, else the largest id.
+    """
+    place = "place" if "place" in dictionary.columns else "fid"
+    entries = dictionary.select("fid", "dim", F.col(place).alias("place"))
+    return weights_by_feature(weights, last_wins(entries, "dim"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,16 +9,49 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clicktide.operators.batches import batch_count, batch_of
 from clicktide.operators.blocks import block_stats, few_tasks, pack
-from clicktide.operators.objective import PackedObjective, weights_table
+from clicktide.operators.evaluate import objective
+from clicktide.operators.objective import (
+    PACKED_MAX_DIM,
+    PackedObjective,
+    frequent_dims,
+    margins_join,
+    weights_table,
+)
 from clicktide.plans.cg import TRACE_SCHEMA, Fit, minimise, trace_table
+from clicktide.plans.cg_tables import minimise_tables, placed_rows, zero_weights
 from clicktide.plans.params import CGParams
-from clicktide.session import cached
+from clicktide.session import Written, cached
 
 BATCH_TRACE_SCHEMA = "pass INT, batch INT, " + TRACE_SCHEMA + ", avg_objective DOUBLE"
 
 # Rows of one batch that share a task before the batch is spread over more tasks.
 ROWS_PER_PIECE = 1_000_000
 
+# Trace rows held on the driver before they are written out.
+TRACE_ROWS = 10_000
+
+
+class _Trace:
+    """Trace rows, moved to a table whenever there are many."""
+
+    def __init__(self, spark):
+        self._spark, self._rows, self._tables = spark, [], []
+
+    def add(self, rounds: list[dict], sweep: int, batch: int, value: float | None) -> None:
+        self._rows += [{**r, "pass": sweep, "batch": batch, "avg_objective": value} for r in rounds]
+        if len(self._rows) >= TRACE_ROWS:
+            self._tables.append(Written(self._table()).rows)
+            self._rows = []
+
+    def _table(self) -> DataFrame:
+        return trace_table(self._spark, self._rows, BATCH_TRACE_SCHEMA)
+
+    def table(self) -> DataFrame:
+        all_rows = self._table()
+        for part in self._tables:
+            all_rows = all_rows.unionByName(part)
+        return all_rows
+
 
 def train_cg_minibatch(
     examples: DataFrame,
@@ -30,24 +62,39 @@ def train_cg_minibatch(
     batch: Column | None = None,
     n_batches: int | None = None,
     track_objective: bool = True,
+    method: str = "auto",
+    packed_max_dim: int = PACKED_MAX_DIM,
 ) -> Fit:
     """`params.max_iter` passes over all batches, `params.inner_iter` rounds on each.
 
     Each batch starts from the weights of the one before. `anchor="previous"` penalises the
     distance to those, `anchor="zero"` the weights themselves. The result is the mean of the
     weights after each batch. `avg_objective` is `(lam/2 |a|^2 + total loss(a)) / n` over all
-    examples for the mean `a` so far; it costs one full pass per batch.
+    examples for the mean `a` so far; it costs one full pass per batch. The trace's `loglik` is the
+    mean objective of the batch, and `rtime` the seconds of the round.
 
-    Batches come from a seeded hash of `keys`, or from `batch` with numbers in [0, `n_batches`).
+    Batches come from a seeded hash of `keys`, or from `batch` with numbers in [0, `n_batches`). On
+    large data give `n_batches`: batches follow each other, so their number sets the time.
+    `packed` keeps weights on the driver, `join` in tables, `auto` takes `packed` up to
+    `packed_max_dim` dimensions; the result does not depend on it.
     """
     if anchor not in ("previous", "zero"):
         raise ValueError("anchor must be 'previous' or 'zero'")
-    spark = examples.sparkSession
-    rows, n = examples.agg(F.count("*"), F.sum(F.col("pos") + F.col("neg"))).first()
+    if method not in ("auto", "packed", "join"):
+        raise ValueError("method must be 'auto', 'packed' or 'join'")
+    rows, n, d = examples.agg(
+        F.count("*"), F.sum(F.col("pos") + F.col("neg")), F.max(F.array_max("idx")) + 1
+    ).first()
+    if d is None:
+        raise ValueError("no examples")
+    if method == "packed" and d > packed_max_dim:
+        raise ValueError(f"{d} dimensions exceed {packed_max_dim}, use method='join'")
     if n_batches is None:
-        n_batches = batch_count(int(n or 0), params.batch_size)
+        n_batches = batch_count(int(n), params.batch_size)
     number = batch if batch is not None else batch_of(n_batches, keys, seed)
     numbered = examples.select(*keys, "pos", "neg", "idx", number.cast("int").alias("batch"))
+    if method == "join" or d > packed_max_dim:
+        return _in_tables(numbered, params, n_batches, anchor, track_objective, int(n), int(d))
     # Rows of a batch sit together, so the cache skips the other batches by their min and max;
     # a batch of many rows is spread over several pieces.
     pieces = rows // n_batches // ROWS_PER_PIECE + 1
@@ -58,27 +105,60 @@ def train_cg_minibatch(
         .sortWithinPartitions("batch")
         .drop("_piece")
     )
+    spark = examples.sparkSession
     with cached(pack(placed)) as blocks:
         n, d = block_stats(blocks)
         merged, tasks = few_tasks(blocks)
         whole = PackedObjective(merged, d, tasks)
-        w, total, done, trace = np.zeros(d), np.zeros(d), 0, []
+        w, total, done, trace = np.zeros(d), np.zeros(d), 0, _Trace(spark)
         for sweep in range(params.max_iter):
             for b in range(n_batches):
                 part = PackedObjective(merged.filter(F.col("batch") == b), d, tasks)
-                began = time.monotonic()
                 w, rounds = minimise(
-                    part, w, params, params.inner_iter, n, w if anchor == "previous" else None
+                    part, w, params, params.inner_iter, None, w if anchor == "previous" else None
                 )
-                spent = time.monotonic() - began
                 total, done = total + w, done + 1
                 average = total / done
                 value = None
                 if track_objective:
                     value = (params.lam / 2 * float(average @ average) + whole.loss(average)) / n
-                trace += [
-                    {**r, "pass": sweep, "batch": b, "rtime": spent, "avg_objective": value}
-                    for r in rounds
-                ]
-        table = trace_table(spark, trace, BATCH_TRACE_SCHEMA)
-        return Fit(weights_table(spark, total / max(done, 1)), table, n, d)
+                trace.add(rounds, sweep, b, value)
+        return Fit(weights_table(spark, total / max(done, 1)), trace.table(), n, d)
+
+
+def _in_tables(
+    numbered: DataFrame,
+    params: CGParams,
+    n_batches: int,
+    anchor: str,
+    track_objective: bool,
+    n: int,
+    d: int,
+) -> Fit:
+    """The same with weights, their sum and all vectors of a round in tables."""
+    spark = numbered.sparkSession
+    with cached(placed_rows(numbered, "batch")) as rows:
+        head = frequent_dims(rows)
+        trace, done = _Trace(spark), 0
+        w = Written(zero_weights(spark, d))
+        total = Written(zero_weights(spark, d))
+        for sweep in range(params.max_iter):
+            for b in range(n_batches):
+                part = rows.filter(F.col("batch") == b)
+                after, rounds = minimise_tables(
+                    part, w.rows, params, params.inner_iter, head, anchor == "previous"
+                )
+                added = total.rows.select("idx", F.col("w").alias("_sum")).join(after.rows, "idx")
+                summed = Written(added.select("idx", (F.col("_sum") + F.col("w")).alias("w")))
+                w.drop()
+                total.drop()
+                w, total, done = after, summed, done + 1
+                value = None
+                if track_objective:
+                    mean = total.rows.select("idx", (F.col("w") / done).alias("w"))
+                    margins = margins_join(rows, mean, (), {"w": "z"}, head=head)
+                    value = objective(margins, mean, params.lam).first()["objective"]
+                trace.add(rounds, sweep, b, value)
+        mean = total.rows.select("idx", (F.col("w") / max(done, 1)).alias("w"))
+        w.drop()
+        return Fit(mean, trace.table(), n, d)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -17,7 +18,7 @@ def local_session(cpus: int | str = 8, app: str = "clicktide", **conf: str) -> S
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
@@ -32,8 +33,8 @@ def local_session(cpus: int | str = 8, app: str = "clicktide", **conf: str) -> S
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Point the context at the shared folder named in `spark.checkpoint.dir`.
 
-    Only a local master may fall back to a temporary folder; on a cluster such a folder would
-    be lost together with its machine.
+    Only a master of one process may fall back to a temporary folder; on a cluster, be it one
+    started locally, other executors would not find such a folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         named = tempfile.mkdtemp(prefix="clicktide-checkpoint-")
     sc.setCheckpointDir(named)
@@ -58,6 +59,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Written:
+    """A table written once to the checkpoint folder, which can be dropped when it is superseded."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        self._context = spark.sparkContext
+        self.path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+        df.write.parquet(self.path)
+        self.rows = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        place = self._context._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self._context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
     """Persist `df` for the body of a `with` block and always release it."""

@@ -13,6 +13,8 @@ from clicktide.functions.scalar import parse_unsigned
 
 MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 CORRUPT = "_corrupt_record"
+# A slot name behind one of the first two tokens of a segment, which are counts.
+NAMED_COUNT = "(?:^|\t)[^ \t:]*(?: [^ \t:]*)?:"
 
 
 def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
@@ -78,6 +80,7 @@ def parse_requests(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     )
     ok = (
         ~F.col("_text").rlike("[^0-9+\\- \t]")
+        & ~F.col("value").rlike(NAMED_COUNT)
         & ~_any_token("_segs", lambda x: x.isNull())
         & F.forall("_segs", _counts_ok)
         & ~signed_id

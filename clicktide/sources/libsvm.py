@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clicktide.sources.impressions import read_lines
 
 
+AROUND = r"^[\x00-\x20]+|[\x00-\x20]+$"
+
+
 def parse_examples(lines: DataFrame) -> DataFrame:
     """`value` to `y DOUBLE, idx ARRAY<INT>`: bias 0 first, then indices in file order.
 
-    Blank lines are skipped. A malformed number fails the job.
+    White space around a line, TABs included, does not count, and lines of nothing else are
+    skipped. A malformed number fails the job.
     """
     keep = [c for c in lines.columns if c != "value"]
-    text = lines.withColumn("_text", F.trim("value")).filter(F.col("_text") != "")
+    text = lines.withColumn("_text", F.regexp_replace("value", AROUND, "")).filter(F.col("_text") != "")
     tokens = text.withColumn("_tokens", F.split("_text", "[ \t\n]"))
     pairs = F.slice("_tokens", 2, F.size("_tokens") - 1)
     idx = F.transform(pairs, lambda t: F.split(t, ":")[0].cast("int"))

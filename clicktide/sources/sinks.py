@@ -39,7 +39,18 @@ def write_histogram(histogram: DataFrame, path: str, fmt: str = "parquet") -> No
 
 def write_weights(weights: DataFrame, path: str, fmt: str = "parquet") -> None:
     """By index; in text one weight per line, line number = index."""
-    _write(weights.select("idx", "w"), path, fmt, ["idx"], F.col("w").cast("string"))
+    table = weights.select("idx", "w") if fmt == "parquet" else every_index(weights)
+    _write(table, path, fmt, ["idx"], F.col("w").cast("string"))
+
+
+def every_index(weights: DataFrame) -> DataFrame:
+    """`(idx, w)` for all indices up to the highest; those without a row weigh zero."""
+    top = weights.agg(F.max("idx")).first()[0]
+    every = weights.sparkSession.range(0 if top is None else int(top) + 1)
+    given = weights.select(F.col("idx").alias("_idx"), "w")
+    return every.join(given, F.col("id") == F.col("_idx"), "left").select(
+        F.col("id").cast("int").alias("idx"), F.coalesce("w", F.lit(0.0)).alias("w")
+    )
 
 
 def write_feature_weights(weights: DataFrame, path: str, fmt: str = "parquet") -> None:

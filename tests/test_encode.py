@@ -71,6 +71,40 @@ def test_encode_with_head_and_tail(imps, dictionary, head):
     assert {(r.req, r.seg): (r.pos, r.neg, r.idx) for r in rows} == EXPECTED
 
 
+@pytest.mark.parametrize("method, head", [("broadcast", 0), ("join", 0), ("join", 1), ("join", 100)])
+def test_forms_agree_on_odd_rows(spark, method, head):
+    big = 2**60
+    rows = [
+        (None, 1, 2, 1, [big + 3, None], [7]), (1, 1, 1, 0, [big + 1], []), (1, 1, 1, 0, [5], [7, 7]),
+        (2, 1, 1, 1, [], []), (3, 1, 1, 1, None, [5]), (4, 1, 1, 0, [99], [98]),
+    ]
+    imps = spark.createDataFrame(
+        rows, "req LONG, seg INT, show INT, click INT, feats ARRAY<LONG>, common ARRAY<LONG>"
+    )
+    dictionary = spark.createDataFrame([(big + 1, 1), (5, 2), (7, 3)], "fid LONG, dim INT")
+    got = encode(imps, dictionary, method=method, head_dims=head).collect()
+    assert sorted(((r.req, r.pos, r.neg, r.idx) for r in got), key=repr) == sorted(
+        [(None, 1, 1, [0, 3]), (1, 0, 1, [0, 1]), (1, 0, 1, [0, 2, 3, 3]), (2, 1, 0, [0]), (3, 1, 0, [0, 2]), (4, 0, 1, [0])],
+        key=repr,
+    )
+
+
+@pytest.mark.parametrize("method", ["broadcast", "join"])
+def test_repeated_feature_ids_fail(imps, spark, method):
+    twice = spark.createDataFrame([(11, 1), (11, 2)], "fid LONG, dim INT")
+    with pytest.raises(ValueError, match="repeated feature ids"):
+        encode(imps, twice, method=method)
+
+
+def test_hot_features_are_in_the_head_whatever_their_dim(spark):
+    from clicktide.operators.encode import most_frequent
+
+    rows = spark.createDataFrame([([9, 1],), ([9, 2],), ([9, 3],), ([9, 4],)], "fids ARRAY<LONG>")
+    dictionary = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4), (9, 5)], "fid LONG, dim INT")
+    head, tail = most_frequent(rows, dictionary, 1)
+    assert [r.fid for r in head.collect()] == [9] and tail.count() == 4
+
+
 def test_negative_show_fails(spark, dictionary):
     bad = parse_impressions(spark.createDataFrame([(0, "-1 0 11")], "req LONG, value STRING"))
     with pytest.raises(Exception, match="negative number of shows"):

@@ -48,7 +48,7 @@ def test_broadcast_encoding_and_scoring_do_not_shuffle(spark, log):
 
 
 def test_join_encoding_moves_tail_tokens_and_examples(spark, log):
-    dictionary = spark.createDataFrame([(11, 1), (22, 2)], "fid LONG, dim INT")
+    dictionary = spark.createDataFrame([(11, 1, 9), (22, 2, 1)], "fid LONG, dim INT, n LONG")
     text = plan(encode(read_impressions(spark, log), dictionary, method="join", head_dims=1))
     assert "LeftAnti" in text and "BroadcastHashJoin" in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

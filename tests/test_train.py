@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import document_examples, impressions
 from clicktide.operators import evaluate as ev
 from clicktide.operators import objective as ob
-from clicktide.operators.batches import assign_batches, batch_count, split_batches
+from clicktide.operators.batches import assign_batches, batch_count
 from clicktide.operators.blocks import pack
 from clicktide.operators.encode import encode
 from clicktide.operators.samples import count_samples, expanded_samples
@@ -81,11 +81,12 @@ def test_join_form_matches_packed(spark, clicks, head):
     x, _, _ = dense(clicks)
     w = np.random.default_rng(4).normal(0, 0.3, x.shape[1])
     table = ob.weights_table(spark, w)
-    joined = ob.margins_join(clicks, table, head_dims=head)
+    rows = ob.with_rows(clicks)
+    joined = ob.margins_join(rows, table, head_dims=head)
     a = {(r.req, r.seg): r.z for r in joined.collect()}
     b = {(r.req, r.seg): r.z for r in ob.with_margin(clicks, w).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
-    g = ob.collect_vector(ob.gradient_join(clicks, joined).withColumnRenamed("g", "v"), len(w))
+    g = ob.collect_vector(ob.gradient_join(rows, joined).withColumnRenamed("g", "v"), len(w))
     assert np.allclose(g, ob.PackedObjective(clicks, len(w)).gradient(w)[0], atol=1e-9)
 
 
@@ -200,6 +201,64 @@ def test_join_training_follows_packed(docs):
     assert np.allclose(np.array(ta, float), np.array(tb, float), rtol=1e-7, atol=1e-9)
 
 
+def odd_examples(spark):
+    """NULL and repeated keys, an example without dimensions, a repeated dimension."""
+    rows = [
+        (None, 1, 3, 1, [0, 1, 2]), (1, 1, 0, 2, []), (2, 1, 1, 0, [0, 2, 2]), (2, 1, 0, 4, [0, 1]), (3, None, 2, 2, [0, 3]),
+    ]
+    return spark.createDataFrame(rows, "req LONG, seg INT, pos LONG, neg LONG, idx ARRAY<INT>")
+
+
+def test_forms_agree_on_odd_examples(spark):
+    rows, params = odd_examples(spark), CGParams(max_iter=3)
+    fits = [train_cg(rows, params, m) for m in ("packed", "join")]
+    a, b = (ob.weights_vector(f.weights) for f in fits)
+    assert np.allclose(a, b, atol=1e-10)
+    ta, tb = (f.trace.drop("rtime").orderBy("iter").collect() for f in fits)
+    assert np.allclose(np.array(ta, float), np.array(tb, float), rtol=1e-7, atol=1e-9)
+    limits = [train_cg(rows, params, packed_max_dim=d).weights for d in (3, 4)]
+    assert np.allclose(*(ob.weights_vector(w) for w in limits), atol=1e-10)
+    z = sorted(r.z for r in ob.margins_join(rows, fits[0].weights).collect())
+    assert np.allclose(z, sorted(r.z for r in ob.with_margin(rows, a).collect()), atol=1e-12)
+
+
+def test_minibatch_limit_does_not_change_the_result(spark):
+    rows = odd_examples(spark)
+    batch = F.coalesce(F.col("req"), F.lit(0)) % 2
+    fits = [
+        train_cg_minibatch(rows, CGParams(max_iter=1, inner_iter=2), batch=batch, n_batches=2, packed_max_dim=d)
+        for d in (3, 4)
+    ]
+    assert np.allclose(*(ob.weights_vector(f.weights) for f in fits), atol=1e-10)
+    with pytest.raises(ValueError):
+        train_cg_minibatch(rows, method="packed", packed_max_dim=3)
+
+
+def test_table_training_leaves_little_on_storage(spark, docs):
+    import os
+
+    from clicktide.session import ensure_checkpoint_dir
+
+    place = ensure_checkpoint_dir(spark).removeprefix("file:")
+    tables = lambda: {x for x in os.listdir(place) if x.startswith("table-")}
+    before = tables()
+    fit = train_cg(docs, CGParams(max_iter=4), "join", ["id"])
+    assert len(tables() - before) == 1 and fit.weights.count() == fit.d
+
+
+def test_jobs_check_their_method(spark, small):
+    imps = impressions(spark, small)
+    with pytest.raises(ValueError):
+        jobs.fit(imps, jobs.build_dictionary(imps, 100), method="foo")
+
+
+def test_export_takes_the_last_of_two_ids(spark):
+    weights = ob.weights_table(spark, np.array([0.5, 1.0]))
+    dictionary = spark.createDataFrame([(11, 1), (22, 1)], "fid LONG, dim INT")
+    rows = jobs.named_weights(weights, dictionary).collect()
+    assert sorted((r.fid or "", r.w) for r in rows) == [("", 0.5), ("22", 1.0)]
+
+
 def test_scale_cancels(docs):
     a, b = (
         ob.weights_vector(
@@ -237,8 +296,9 @@ def numpy_minibatch(x, pos, neg, batch, batches, passes, inner, lam, anchor):
     return total / done
 
 
+@pytest.mark.parametrize("method", ["packed", "join"])
 @pytest.mark.parametrize("anchor", ["previous", "zero"])
-def test_minibatch_matches_numpy(docs, anchor):
+def test_minibatch_matches_numpy(docs, anchor, method):
     fit = train_cg_minibatch(
         docs,
         CGParams(max_iter=2, inner_iter=3),
@@ -246,6 +306,7 @@ def test_minibatch_matches_numpy(docs, anchor):
         anchor=anchor,
         batch=F.pmod("id", F.lit(3)),
         n_batches=3,
+        method=method,
     )
     x, pos, neg = dense(docs)
     batch = np.array([r.id % 3 for r in docs.collect()])
@@ -253,6 +314,9 @@ def test_minibatch_matches_numpy(docs, anchor):
     assert np.allclose(ob.weights_vector(fit.weights), expected, atol=1e-8)
     trace = fit.trace.collect()
     assert len(trace) == 18
+    # Weights start at zero, where each sample of the first batch costs ln 2.
+    start = min(trace, key=lambda r: (r["pass"], r.batch, r.iter))
+    assert start.loglik == pytest.approx(np.log(2))
     last = max(trace, key=lambda r: (r["pass"], r.batch, r.iter)).avg_objective
     assert last == pytest.approx(
         (0.05 * expected @ expected + loss_of(x, pos, neg, expected)) / 399, rel=1e-9
@@ -265,7 +329,6 @@ def test_seeded_batches(docs):
     assert sorted(a.collect()) == sorted(assign_batches(docs.repartition(5), 4, ["id"], 1).select("id", "batch").collect())
     assert a.select("batch").distinct().count() == 4
     assert a.exceptAll(assign_batches(docs, 4, ["id"], 2).select("id", "batch")).count() > 0
-    assert sum(b.count() for b in split_batches(docs, 4, 1)) == 399
     fit = train_cg_minibatch(docs, CGParams(max_iter=1, inner_iter=1, batch_size=150), keys=["id"])
     assert fit.trace.select("batch").distinct().count() == 3
 
