@@ -11,8 +11,10 @@ others would take time in proportion to documents times shards, so shards are me
    suffix automaton of its passages, with the number of occurrences of each state; the matching
    statistics give the longest sequence that ends at a word and occurs at least twice. Where it
    has `length` words or more, the window ending there is removed.
-4. Anchors with more than `crowd` passages would not fit a shard. Their windows are counted by hash
-   in Spark, partially summed before they are shuffled.
+4. Anchors with more than `crowd` passages would not fit a shard. Their passages are taken apart by
+   halves: a range of windows goes if the words that all its windows share occur once, it is done if
+   the range as a whole occurs twice, and only else it is halved. Counts are by hash in Spark,
+   partially summed before they are shuffled, and a passage has few open ranges at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from clicktide.llm.storage import stored
-from clicktide.llm.text import WORD_BASE, Slice, Spans, buffers, slices
+from clicktide.llm.text import WORD_BASE, Slice, Spans, buffers, mix, slices
 
 LENGTH = 35
 GRAM = 12
@@ -46,10 +48,10 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def passages(part: Slice, length: int = LENGTH, gram: int = GRAM):
-    """(document, first window, number of windows, anchor hash, passage hash), by position."""
+    """(document, first window, number of windows, anchor hash, passage hash, anchor's place in it)."""
     starts = part.windows(length)
     if not len(starts):
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
     spans = Spans(part.word_hashes(), WORD_BASE)
     first = np.arange(len(part.doc) - gram + 1)
     grams = spans.hashes(first, first + gram)
@@ -60,7 +62,7 @@ def passages(part: Slice, length: int = LENGTH, gram: int = GRAM):
     n = np.diff(np.append(begin, len(starts)))
     at, doc = starts[begin], part.doc[starts[begin]]
     whole = spans.hashes(at, at + n - 1 + length)
-    return doc, at - part.word_bounds[doc], n, grams[anchor[begin]], whole
+    return doc, at - part.word_bounds[doc], n, grams[anchor[begin]], whole, anchor[begin] - at
 
 
 class SuffixAutomaton:
@@ -136,13 +138,13 @@ def repeated_windows(texts: list[bytes], times: list[int], length: int = LENGTH)
     ]
 
 
-KEY = ["k1", "k2"]
+KEY = ["_k1", "_k2"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Two hashes of doc_id and text name a document; rows that repeat share them."""
     return docs.withColumns(
-        {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")}
+        {"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64("text", F.lit(1), "doc_id")}
     )
 
 
@@ -151,22 +153,22 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
             for part in slices(batch.column(2)):
-                doc, at, n, gram, whole = passages(part, length)
+                doc, at, n, gram, whole, place = passages(part, length)
                 doc = doc + part.first
                 columns = [keys[0][doc], keys[1][doc], gram.view(np.int64), whole.view(np.int64)]
-                columns += [at.astype(np.int32), n.astype(np.int32)]
+                columns += [x.astype(np.int32) for x in (at, n, place)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], ["k1", "k2", "gram", "whole", "at", "n"]
+                    [pa.array(c) for c in columns], ["_k1", "_k2", "gram", "whole", "at", "n", "place"]
                 )
 
-    rows = docs.select("k1", "k2", "text")
-    return rows.mapInArrow(run, "k1 long, k2 long, gram long, whole long, at int, n int")
+    rows = docs.select("_k1", "_k2", "text")
+    return rows.mapInArrow(run, "_k1 long, _k2 long, gram long, whole long, at int, n int, place int")
 
 
 def _excerpts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Text of the passages in `wanted` (k1, k2, places), from the documents that hold them."""
-    w = wanted.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "places")
-    rows = docs.join(w, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    """Text of the passages in `wanted` (_k1, _k2, places), from the documents that hold them."""
+    w = wanted.select(F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2"), "places")
+    rows = docs.join(w, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +180,12 @@ def _excerpts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 at, n = (fields[k].to_numpy() for k in (2, 3))
                 texts = [b" ".join(words[a : a + m - 1 + length]) for a, m in zip(at.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*(fields[k] for k in (0, 1, 3, 4, 5)), pa.array(texts, pa.binary())],
-                    ["gram", "whole", "n", "times", "crowded", "words"],
+                    [*(fields[k] for k in (0, 1, 3, 4, 5, 6)), pa.array(texts, pa.binary())],
+                    ["gram", "whole", "n", "place", "times", "crowded", "words"],
                 )
 
     return rows.select("text", "places").mapInArrow(
-        run, "gram long, whole long, n int, times long, crowded boolean, words binary"
+        run, "gram long, whole long, n int, place int, times long, crowded boolean, words binary"
     )
 
 
@@ -197,34 +199,70 @@ def _by_automaton(excerpts: DataFrame, n_shards: int, length: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(run, "gram long, whole long, bits long")
 
 
-def _by_hash(excerpts: DataFrame, length: int) -> DataFrame:
-    """The same for crowded anchors: windows are counted by two hashes."""
+OPEN = "gram long, whole long, n int, place int, times long, words binary, low int, high int"
+
+
+def _halved(open_ranges: DataFrame, length: int) -> DataFrame:
+    """Halves of ranges of windows, with hashes of what their windows share and of all their words.
+
+    A range `low .. high - 1` holds the windows that begin so many words before the anchor; `bits`
+    are those that the passage has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(3)):
-                at = part.windows(length)
-                words = part.word_hashes()
-                doc = part.doc[at]
-                hashes = [Spans(words, base).hashes(at, at + length).view(np.int64) for base in (WORD_BASE, WORD_BASE + 2)]
-                taken = batch.take(pa.array(doc + part.first))
-                bit = pa.array(np.left_shift(np.int64(1), at - part.word_bounds[doc]))
-                yield pa.RecordBatch.from_arrays(
-                    [*taken.columns[:3], pa.array(hashes[0]), pa.array(hashes[1]), bit],
-                    ["gram", "whole", "times", "w1", "w2", "bit"],
+            for part in slices(batch.column(5)):
+                rows = batch.slice(part.first, part.n)
+                n, place, low, high = (
+                    rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3, 6, 7)
                 )
-
-    windows = excerpts.select("gram", "whole", "times", "words").mapInArrow(
-        run, "gram long, whole long, times long, w1 long, w2 long, bit long"
+                words, anchor = part.word_hashes(), part.word_bounds[:-1] + place
+                spans = [Spans(words, base) for base in (WORD_BASE, WORD_BASE + 2)]
+                middle = (low + high) // 2
+                for lo, hi in ((low, middle), (middle, high)):
+                    least, most = np.maximum(lo, place - n + 1), np.minimum(hi - 1, place)
+                    i = np.flatnonzero((lo < hi) & (least <= most))
+                    a, lo_i, hi_i, least, most = anchor[i], lo[i], hi[i], least[i], most[i]
+                    salt = mix((lo_i * 64 + hi_i).astype(np.uint64))
+                    own = mix((least * 64 + most).astype(np.uint64) + np.uint64(1))
+                    core = [x.hashes(a - lo_i, a - hi_i + 1 + length) ^ salt for x in spans]
+                    range_ = [x.hashes(a - most, a - least + length) ^ salt ^ own for x in spans]
+                    one = np.int64(1)
+                    bits = (one << (place[i] - least + 1)) - (one << (place[i] - most))
+                    new = [lo_i.astype(np.int32), hi_i.astype(np.int32), bits]
+                    new += [x.view(np.int64) for x in (*core, *range_)]
+                    kept = rows.select(range(6)).take(pa.array(i))
+                    names = [*kept.schema.names, "low", "high", "bits", "c1", "c2", "r1", "r2"]
+                    yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, new)], names)
+
+    added = "bits long, c1 long, c2 long, r1 long, r2 long"
+    return open_ranges.mapInArrow(run, f"{OPEN}, {added}")
+
+
+def _by_halves(excerpts: DataFrame, length: int) -> list[DataFrame]:
+    """`(gram, whole, bits)` for crowded anchors."""
+    columns = ["gram", "whole", "n", "place", "times", "words"]
+    left = excerpts.select(
+        *columns, F.lit(0).alias("low"), F.lit(length - GRAM + 1).alias("high")
     )
-    counts = windows.groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1")
-    counts = counts.select(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"))
-    often = windows.join(counts, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")))
-    return often.groupBy("gram", "whole").agg(F.bit_or("bit").alias("bits"))
+    done = []
+    while not left.isEmpty():
+        halves = stored(_halved(left, length))
+        counts = []
+        for kind in ("c", "r"):
+            keys = [F.col(f"{kind}{i}").alias(f"_{kind}{i}") for i in (1, 2)]
+            seen = halves.groupBy(*keys).agg(F.sum("times").alias("_n"))
+            counts.append(seen.filter("_n > 1").drop("_n"))
+        met = [(F.col(f"{k}1") == F.col(f"_{k}1")) & (F.col(f"{k}2") == F.col(f"_{k}2")) for k in "cr"]
+        shared = halves.join(stored(counts[0]), met[0])
+        judged = stored(shared.join(stored(counts[1]), met[1], "left"))
+        done.append(judged.filter("_r1 is not null").select("gram", "whole", "bits"))
+        left = judged.filter("_r1 is null").select(*columns, "low", "high")
+    return done
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """`(k1, k2, spans)` of keyed `docs`: per document with repeats, its passages `(at, n, bits)`.
+    """`(_k1, _k2, spans)` of keyed `docs`: per document with repeats, its passages `(at, n, bits)`.
 
     Bit i of `bits` is set if the window that begins at word `at + i` occurs anywhere else.
     `length` must be from GRAM to GRAM + 60.
@@ -239,25 +277,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFr
         F.col("gram").alias("_gram"), (F.col("least") != F.col("most")).alias("several"),
         (F.col("n_all") > crowd).alias("crowded"),
     )
-    found = stored(anchors.join(recurring, F.col("gram") == F.col("_gram")).drop("_gram"))
+    # Stored, so that the join can be split where an anchor is hot.
+    found = stored(anchors.join(stored(recurring), F.col("gram") == F.col("_gram")).drop("_gram"))
     full = F.expr("shiftleft(1L, n) - 1")
     # All passages of these anchors are equal, so each of their windows occurs as often as they.
     alike = found.filter(~F.col("several")).select(*KEY, "at", "n", full.alias("bits"))
 
     different = found.filter("several").groupBy("gram", "whole").agg(
         F.count("*").alias("times"), F.first("crowded").alias("crowded"),
-        F.min(F.struct(*KEY, "at", "n")).alias("one"),
+        F.min(F.struct(*KEY, "at", "n", "place")).alias("one"),
     )
-    place = F.struct("gram", "whole", "one.at", "one.n", "times", "crowded")
-    wanted = different.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(
+    place = F.struct("gram", "whole", "one.at", "one.n", "one.place", "times", "crowded")
+    wanted = different.groupBy(F.col("one._k1").alias("_k1"), F.col("one._k2").alias("_k2")).agg(
         F.collect_list(place).alias("places")
     )
     excerpts = stored(_excerpts(docs.select(*KEY, "text"), wanted, length))
     words = excerpts.filter("not crowded").agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
     n_shards = max(1, -(-words // SHARD_WORDS))
-    bits = _by_automaton(excerpts.filter("not crowded"), n_shards, length).unionByName(
-        _by_hash(excerpts.filter("crowded"), length)
-    )
+    bits = _by_automaton(excerpts.filter("not crowded"), n_shards, length)
+    for more in _by_halves(excerpts.filter("crowded"), length):
+        bits = bits.unionByName(more)
     # Documents that repeat as rows give their passages more than once.
     bits = bits.groupBy("gram", "whole").agg(F.bit_or("bits").alias("bits")).filter("bits <> 0")
     bits = bits.select(F.col("gram").alias("_g"), F.col("whole").alias("_w"), "bits")
@@ -279,10 +318,10 @@ def covered(n_words: int, at: np.ndarray, bits: np.ndarray, length: int = LENGTH
 def _cut(docs: DataFrame, added: list[tuple[str, str]], make, drop=("text",), length: int = LENGTH) -> DataFrame:
     """Joins `repeats` to `docs`; `make(raw text, words, removed)` gives the added columns of a row."""
     keyed = _keyed(docs)
-    spans = repeats(keyed, length).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans")
-    rows = keyed.join(spans, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
+    spans = repeats(keyed, length).select(F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2"), "spans")
+    rows = keyed.join(spans, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left")
     names = [n for n, _ in added]
-    keep = [f for f in docs.schema.fields if f.name not in (*drop, *names)]
+    keep = [f for f in docs.schema.fields if f.name not in (*drop, *names, *KEY)]
     rows = rows.select(*(F.col(f"`{f.name}`") for f in keep), F.col("text").alias("_text"), "spans")
     new = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in added])
     kinds = to_arrow_schema(new).types
