@@ -17,8 +17,8 @@ from clicktide.llm.text import LOWER, WHITE, Slice, slices
 CAPACITY = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-# Bounds of the table of known words in each Python worker.
-CACHED_WORDS = 1 << 20
+# Bounds of the two tables of known words in each Python worker.
+CACHED_WORDS = 1 << 19
 CACHED_BYTES = 32
 # New words that are encoded as one text.
 JOINED = 1000
@@ -32,14 +32,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def separated(part: Slice) -> list[bytes]:
-    """Texts of a slice with A-Z in lower case, and a blank before a stop or comma that ends a word.
+def separated(part: Slice) -> tuple[bytes, np.ndarray]:
+    """(text of a slice, bounds of each document's words in it).
 
-    The tokenizer lower-cases anyway and starts a new piece at such a stop, so ids stay the same, but
-    fewer different words are left. Texts that may hold special tokens are left alone.
+    A blank ends each document. A-Z are in lower case and a blank stands before a stop or comma
+    that ends a word: the tokenizer lower-cases anyway and starts a new piece at such a stop, so
+    ids stay the same, but fewer different words are left. Texts that may hold special tokens are
+    left as they are.
     """
     raw, bounds = part.raw, part.bounds
-    if b"<|" not in raw.tobytes():
+    at = bounds[1:]
+    if len(raw) and b"<|" not in raw.tobytes():
         raw = LOWER[raw]
         last = np.append(WHITE[raw[1:]], True)
         last[bounds[1:][bounds[1:] > 0] - 1] = True
@@ -47,11 +50,15 @@ def separated(part: Slice) -> list[bytes]:
         letter = (raw >= ord("a")) & (raw <= ord("z"))
         stop[1:] &= letter[:-1]
         stop[bounds[:-1][bounds[:-1] < len(raw)]] = False
-        at = np.flatnonzero(stop)
-        raw = np.insert(raw, at, 32)
-        bounds = bounds + np.searchsorted(at, bounds)
-    flat, bounds = raw.tobytes(), bounds.tolist()
-    return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        at = np.sort(np.concatenate([np.flatnonzero(stop), at]))
+    raw = np.insert(raw, at, 32)
+    word = ~WHITE[raw]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    # Each document ends behind the blanks put in up to its end.
+    ends = bounds[1:] + np.searchsorted(at, bounds[1:], "right")
+    words = np.concatenate([[0], np.cumsum(first)])
+    return raw.tobytes(), words[np.concatenate([[0], ends])]
 
 
 class WordEncoder:
@@ -69,7 +76,9 @@ class WordEncoder:
         size = self._tokenizer.get_vocab_size()
         names = [self._tokenizer.id_to_token(i) or "" for i in range(size)]
         self._ends = np.array([name.endswith("</w>") for name in names])
+        # Words seen lately, and those before: words that come again move to the first.
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -92,22 +101,23 @@ class WordEncoder:
                 at = cut
         return fresh
 
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text as unsigned 32-bit little-endian numbers."""
-        split = [t.split() for t in texts]
-        every = set().union(*split) if split else set()
-        new = [w for w in every if w not in self._known]
-        fresh = self._fresh(new)
-        if len(self._known) + len(fresh) > CACHED_WORDS:
-            # What these texts share with earlier ones is kept: frequent words are in most slices.
-            self._known = {w: self._known[w] for w in every if w in self._known}
-        self._known.update(fresh)
-        look = self._known.__getitem__
-        for words in split:
-            yield b"".join(map(look, words))
-        for w in fresh:
-            if len(w) > CACHED_BYTES:
-                del self._known[w]
+    def ids(self, text: bytes, bounds: np.ndarray) -> Iterator[bytes]:
+        """Ids of documents as unsigned 32-bit little-endian numbers; see `separated`."""
+        words = text.split()
+        found = list(map(self._known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = {words[i] for i in missing}
+            fresh = {w: self._older[w] for w in new if w in self._older}
+            fresh |= self._fresh([w for w in new if w not in fresh])
+            for i in missing:
+                found[i] = fresh[words[i]]
+            if len(self._known) + len(fresh) > CACHED_WORDS:
+                self._known, self._older = {}, self._known
+            self._known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_BYTES)
+        at = bounds.tolist()
+        for a, b in zip(at, at[1:]):
+            yield b"".join(found[a:b])
 
 
 def encoder(path: str) -> WordEncoder:
@@ -136,7 +146,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for batch in batches:
             docs_at, starts, lengths, crcs, totals, parts = [], [], [], [], [], []
             for part in slices(batch.column(at_text)):
-                for i, ids in enumerate(encode.ids(separated(part))):
+                for i, ids in enumerate(encode.ids(*separated(part))):
                     view = memoryview(ids + end)
                     total = len(view) // 4
                     for start in range(0, total, capacity):
