@@ -82,10 +82,11 @@ def main() -> None:
     timed("curvature", lambda: passes.curvature(w, w), 5)
     notes["cg_round_sec"] = round(times["gradient"] + times["curvature"], 3)
     weights = ob.weights_table(spark, w)
-    joined = ob.margins_join(examples, weights)
+    rows = ob.with_rows(examples)
+    joined = ob.margins_join(rows, weights)
     timed("margin", lambda: drain(ob.with_margin(examples, w)), 3)
     timed("margin_join", lambda: drain(joined))
-    timed("gradient_join", lambda: drain(ob.gradient_join(examples, joined)))
+    timed("gradient_join", lambda: drain(ob.gradient_join(rows, joined)))
     fit = timed("cg_fit_20", lambda: train_blocks(blocks, n, d, CGParams(max_iter=20)))
     timed("cg_fit_join_2", lambda: train_cg(examples, CGParams(max_iter=2), "join"))
     timed("minibatch_fit", lambda: train_cg_minibatch(
