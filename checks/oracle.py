@@ -422,6 +422,19 @@ SELECT {rounded(acc('half'), 6)} AS accuracy, {rounded(auc('half', 12), 6)} AS a
         "export_tables": f"""WITH {full_batch(2)}
 SELECT CAST(fid AS VARCHAR) AS fid, {rounded('v', 6)} AS w, dim = 0 AS is_bias
 FROM w2 LEFT JOIN ddict USING (dim)""",
+        "dictionary_text": f"WITH {DICT} SELECT concat_ws(' ', fid, dim) AS value FROM dict",
+        "histogram_text": f"WITH {LONG} SELECT concat_ws(' ', fid, n) AS value FROM hist",
+        "weights_text": f"""WITH {DICT}, t AS (SELECT max(dim) FILTER (dim % 3 > 0) AS top FROM dict)
+SELECT CAST(CASE WHEN i % 3 > 0 THEN CAST(i % 7 AS DOUBLE) ELSE 0e0 END AS VARCHAR) AS value
+FROM (SELECT unnest(range(0, top + 1)) AS i FROM t)""",
+        "feature_weights_text": f"""WITH {DICT}
+SELECT concat_ws(' ', fid, CAST(CAST(dim % 7 AS DOUBLE) AS VARCHAR)) AS value
+FROM (SELECT fid, dim FROM dict UNION ALL SELECT 0, 0)""",
+        "samples_text": f"""WITH {FEAT},
+l AS (SELECT req, seg, string_agg(CAST(dim AS VARCHAR), ' ' ORDER BY dim) AS dims FROM feat GROUP BY req, seg)
+SELECT y || chr(10) || dims || chr(10) AS value FROM l JOIN (
+  SELECT req, seg, '1.0' AS y FROM ex WHERE pos > 0 UNION ALL SELECT req, seg, '-1.0' FROM ex WHERE neg > 0
+) USING (req, seg)""",
         "cg_stops": "SELECT CAST(1 AS BIGINT) AS rounds FROM documents LIMIT 1",
         "unsigned_roundtrip": """
 WITH v AS (

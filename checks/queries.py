@@ -31,6 +31,7 @@ from clicktide.plans.cg import train_cg
 from clicktide.plans.minibatch import train_cg_minibatch
 from clicktide.plans.params import CGParams
 from clicktide.session import cached
+from clicktide.sources import sinks
 from clicktide.sources.dictionary import last_wins, parse_dictionary
 from clicktide.sources.impressions import explode_slots, parse_impressions, parse_requests
 from clicktide.sources.libsvm import parse_examples
@@ -449,6 +450,30 @@ def q_export_tables(spark, sf):
     return rows.select("fid", _r(F.col("w"), 6).alias("w"), "is_bias")
 
 
+def q_dictionary_text(spark, sf):
+    return sinks.dictionary_lines(q_feature_dict(spark, sf))
+
+
+def q_histogram_text(spark, sf):
+    return sinks.histogram_lines(q_feature_hist(spark, sf))
+
+
+def q_weights_text(spark, sf):
+    """Two of three dimensions have a weight; the others are written as zero."""
+    dims = q_feature_dict(spark, sf).filter("dim % 3 > 0")
+    return sinks.weights_lines(dims.select(F.col("dim").alias("idx"), (F.col("dim") % 7).cast("double").alias("w")))
+
+
+def q_feature_weights_text(spark, sf):
+    dictionary = q_feature_dict(spark, sf)
+    weights = check_weights(dictionary).select("idx", (F.col("idx") % 7).cast("double").alias("w"))
+    return sinks.feature_weights_lines(ev.weights_by_feature(weights, dictionary))
+
+
+def q_samples_text(spark, sf):
+    return sinks.samples_lines(weighted_samples(_examples(spark, sf)[0]))
+
+
 def q_cg_stops(spark, sf):
     """Ends by the stop test, not by the number of rounds; with scaled sums."""
     fit = train_cg(document_examples(spark, sf), CGParams(max_iter=50, eps=1e9, scale=0), keys=["id"])

@@ -15,32 +15,35 @@ TRACE_COLUMNS = (
 )
 
 
-def _write(table: DataFrame, path: str, fmt: str, order: list[str], line: Column) -> None:
+def _write(table: DataFrame, path: str, fmt: str, lines) -> None:
     if fmt == "parquet":
         table.write.mode("overwrite").parquet(path)
     elif fmt == "text":
-        ordered = table.orderBy(*order) if order else table
-        ordered.select(line.alias("value")).write.mode("overwrite").text(path)
+        lines(table).select("value").write.mode("overwrite").text(path)
     else:
         raise ValueError("fmt must be 'parquet' or 'text'")
 
 
+def _pair(first: Column, second: str) -> Column:
+    return F.concat_ws(" ", first, F.col(second).cast("string")).alias("value")
+
+
+def dictionary_lines(dictionary: DataFrame) -> DataFrame:
+    """`value`: `fid dim`, by dim."""
+    return dictionary.orderBy("dim").select(_pair(format_unsigned(F.col("fid")), "dim"))
+
+
 def write_dictionary(dictionary: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """`fid dim`."""
-    line = F.concat_ws(" ", format_unsigned(F.col("fid")), F.col("dim").cast("string"))
-    _write(dictionary.select("fid", "dim"), path, fmt, ["dim"], line)
+    _write(dictionary.select("fid", "dim"), path, fmt, dictionary_lines)
 
 
-def write_histogram(histogram: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """`fid n`."""
-    line = F.concat_ws(" ", format_unsigned(F.col("fid")), F.col("n").cast("string"))
-    _write(histogram.select("fid", "n"), path, fmt, ["fid"], line)
+def histogram_lines(histogram: DataFrame) -> DataFrame:
+    """`value`: `fid n`, by fid."""
+    return histogram.orderBy("fid").select(_pair(format_unsigned(F.col("fid")), "n"))
 
 
-def write_weights(weights: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """By index; in text one weight per line, line number = index."""
-    table = weights.select("idx", "w") if fmt == "parquet" else every_index(weights)
-    _write(table, path, fmt, ["idx"], F.col("w").cast("string"))
+def write_histogram(histogram: DataFrame, path: str, fmt: str = "parquet") -> None:
+    _write(histogram.select("fid", "n"), path, fmt, histogram_lines)
 
 
 def every_index(weights: DataFrame) -> DataFrame:
@@ -53,29 +56,43 @@ def every_index(weights: DataFrame) -> DataFrame:
     )
 
 
-def write_feature_weights(weights: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """By feature id, from `weights_by_feature`; in text the bias has id 0."""
+def weights_lines(weights: DataFrame) -> DataFrame:
+    """`value`: one weight per line, line number = index; indices without a row weigh zero."""
+    return every_index(weights).orderBy("idx").select(F.col("w").cast("string").alias("value"))
+
+
+def write_weights(weights: DataFrame, path: str, fmt: str = "parquet") -> None:
+    _write(weights.select("idx", "w"), path, fmt, weights_lines)
+
+
+def feature_weights_lines(weights: DataFrame) -> DataFrame:
+    """`value`: `fid w` from `weights_by_feature`; the bias has id 0."""
     fid = F.when(F.col("is_bias"), F.lit("0")).otherwise(F.col("fid"))
-    line = F.concat_ws(" ", fid, F.col("w").cast("string"))
-    _write(weights.select("fid", "w", "is_bias"), path, fmt, [], line)
+    return weights.select(_pair(fid, "w"))
+
+
+def write_feature_weights(weights: DataFrame, path: str, fmt: str = "parquet") -> None:
+    _write(weights.select("fid", "w", "is_bias"), path, fmt, feature_weights_lines)
 
 
 def write_trace(trace: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Training trace; in text one folder per column with one comma-joined line."""
+    """Training trace; in text one folder per column with one value per line, in order of rounds."""
     if fmt == "parquet":
         trace.write.mode("overwrite").parquet(path)
         return
     order = [c for c in ("pass", "batch", "iter") if c in trace.columns]
     for column in TRACE_COLUMNS:
-        # One value per training round, so a single line holds them all.
-        rounds = F.sort_array(F.collect_list(F.struct(*order, F.col(column).alias("v"))))
-        line = F.array_join(F.transform(rounds, lambda r: r["v"].cast("string")), ", ")
-        trace.agg(line.alias("value")).write.mode("overwrite").text(f"{path}/{column}")
+        lines = trace.orderBy(*order).select(F.col(column).cast("string").alias("value"))
+        lines.write.mode("overwrite").text(f"{path}/{column}")
 
 
-def write_samples(samples: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Labelled rows with `y` and `idx`; in text a label line, an index line, a blank line."""
+def samples_lines(samples: DataFrame) -> DataFrame:
+    """`value`: a label line, an index line, a blank line."""
     label = F.col("y").cast("double").cast("string")
     indices = F.array_join(F.col("idx").cast("array<string>"), " ")
-    line = F.concat(label, F.lit("\n"), indices, F.lit("\n"))
-    _write(samples, path, fmt, [], line)
+    return samples.select(F.concat(label, F.lit("\n"), indices, F.lit("\n")).alias("value"))
+
+
+def write_samples(samples: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Labelled rows with `y` and `idx`."""
+    _write(samples, path, fmt, samples_lines)

@@ -85,7 +85,7 @@ def test_log_to_model(spark, small, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out2" / "model")).count() == trained.fit.d
 
     sinks.write_trace(trained.fit.trace, str(tmp_path / "trace"), "text")
-    alphas = [float(v) for v in text_of(tmp_path / "trace" / "alpha").split(", ")]
+    alphas = [float(v) for v in text_of(tmp_path / "trace" / "alpha").split()]
     assert alphas == [r.alpha for r in trained.fit.trace.orderBy("iter").collect()]
     sinks.write_trace(trained.fit.trace, str(tmp_path / "trace2"))
     assert spark.read.parquet(str(tmp_path / "trace2")).count() == 3
