@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 # Odd multipliers of the byte and word polynomials, and of the splitmix64 finaliser.
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
@@ -112,16 +112,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    kind = column.type
-    if not (pa.types.is_large_string(kind) or pa.types.is_large_binary(kind)):
-        column = column.cast(pa.large_binary() if pa.types.is_binary(kind) else pa.large_string())
     if column.null_count:
-        column = column.fill_null(b"" if pa.types.is_large_binary(column.type) else "")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    kind = np.dtype(np.int64 if wide else np.int32)
     _, at, data = column.buffers()
-    offsets = np.frombuffer(at, np.int64, n + 1, column.offset * 8)
+    offsets = np.frombuffer(at, kind, n + 1, column.offset * kind.itemsize).astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
