@@ -220,5 +220,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+OP1_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), g AS (
+  SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_inner_product(e, e) > 0
+), l AS (
+  SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {COSINE}
+), reach(r, seen) AS (
+  SELECT r, r FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.seen
+), c AS (
+  SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.seen GROUP BY reach.r
+)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.r) AS n_links, component_id,
+       coalesce(vec_id = component_id, FALSE) AS kept
+FROM v JOIN c USING (r)"""
+
+
 def op1_embeddings(spark, sf: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet"))

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clicktide.llm.embeddings import op1_embeddings
+from clicktide.llm.embeddings import OP1_SQL, op1_embeddings
 from clicktide.llm.licenses import OP10_SQL, op10_licenses
 from clicktide.llm.mixing import OP9_SQL, op9_mix
 from clicktide.llm.packing import op5_pack
 from clicktide.llm.pages import op8_html
 from clicktide.llm.quality import OP3_SQL, op3_quality
 from clicktide.llm.simhash import op2_simhash
-from clicktide.llm.substrings import op6_substrings
+from clicktide.llm.substrings import OP6_SQL, op6_substrings
 from clicktide.llm.tokens import op4_token_counts
 from clicktide.llm.toxicity import op7_toxicity
 
@@ -27,4 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3_SQL, "op9_mix": OP9_SQL, "op10_licenses": OP10_SQL}
+    return {
+        "op1_embeddings": OP1_SQL,
+        "op3_quality": OP3_SQL,
+        "op6_substrings": OP6_SQL,
+        "op9_mix": OP9_SQL,
+        "op10_licenses": OP10_SQL,
+    }

@@ -256,8 +256,18 @@ def _by_halves(excerpts: DataFrame, length: int) -> list[DataFrame]:
         met = [(F.col(f"{k}1") == F.col(f"_{k}1")) & (F.col(f"{k}2") == F.col(f"_{k}2")) for k in "cr"]
         shared = halves.join(stored(counts[0]), met[0])
         judged = stored(shared.join(stored(counts[1]), met[1], "left"))
-        done.append(judged.filter("_r1 is not null").select("gram", "whole", "bits"))
-        left = judged.filter("_r1 is null").select(*columns, "low", "high")
+        settled, still = judged.filter("_r1 is not null"), judged.filter("_r1 is null")
+        done.append(settled.select("gram", "whole", "bits"))
+        # One of each settled range goes along where an open one shares its words, to be counted.
+        met_by = still.select(F.col("c1").alias("_d1"), F.col("c2").alias("_d2")).distinct()
+        one = settled.groupBy("c1", "c2", "r1", "r2").agg(
+            F.sum("times").alias("times"),
+            F.first(F.struct(*(c for c in (*columns, "low", "high") if c != "times"))).alias("x"),
+        )
+        one = one.join(met_by, (F.col("c1") == F.col("_d1")) & (F.col("c2") == F.col("_d2")), "left_semi")
+        left = still.select(*columns, "low", "high").unionByName(
+            one.select("times", "x.*").select(*columns, "low", "high")
+        )
     return done
 
 
@@ -298,7 +308,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFr
     for more in _by_halves(excerpts.filter("crowded"), length):
         bits = bits.unionByName(more)
     # Documents that repeat as rows give their passages more than once.
-    bits = bits.groupBy("gram", "whole").agg(F.bit_or("bits").alias("bits")).filter("bits <> 0")
+    bits = stored(bits.groupBy("gram", "whole").agg(F.bit_or("bits").alias("bits")).filter("bits <> 0"))
     bits = bits.select(F.col("gram").alias("_g"), F.col("whole").alias("_w"), "bits")
     partly = found.filter("several").join(bits, (F.col("gram") == F.col("_g")) & (F.col("whole") == F.col("_w")))
     both = alike.unionByName(partly.select(*KEY, "at", "n", "bits"))
@@ -388,5 +398,26 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _cut(docs, [("text", "string")], make, length=length).select(*columns)
 
 
+OP6_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS l
+  FROM documents
+), w AS (SELECT r, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM d),
+g AS (
+  SELECT r, i, word, CASE WHEN i + {LENGTH - 1} <= n THEN md5(string_agg(word, ' ') OVER (
+    PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {LENGTH - 1} FOLLOWING)) END AS gram FROM w
+), c AS (SELECT *, gram IS NOT NULL AND count(*) OVER (PARTITION BY gram) > 1 AS twice FROM g),
+m AS (
+  SELECT *, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM c
+), a AS (
+  SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (r)"""
+
+
 def op6_substrings(spark, sf: str) -> DataFrame:
     return digest(spark.read.parquet(f"{sf}/documents.parquet"))

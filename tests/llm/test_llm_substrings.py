@@ -51,7 +51,8 @@ def test_common_passages_in_shards_and_crowds(spark, make_docs, crowd, monkeypat
         at = rng.randint(0, len(own))
         part = passage[rng.randint(0, 20) :] if i % 2 else []
         rows.append((i, " ".join(own[:at] + part + own[at:])))
-    rows += [(200, "same " * 90), (201, " ".join(passage + passage))]
+    rows += [(200, "same " * 90), (201, " ".join(passage + passage)), (202, ("same " * 70 + "q r s ") * 2)]
+    rows += [(203, "q " + "same " * 50), (204, "r s " + "same " * 36 + "t"), (205, "only " * 35)]
     keyed = substrings._keyed(make_docs(rows).select("doc_id", "text"))
     names = {(r._k1, r._k2): r.doc_id for r in keyed.collect()}
     got = {names[r._k1, r._k2]: r.spans for r in substrings.repeats(keyed, crowd=crowd).collect()}
