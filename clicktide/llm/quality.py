@@ -12,16 +12,20 @@ WINDOW = 8
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+MEASURES = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_same_words",
+]
 
 # Rule of each bit: the condition on the measures under which a document fails, in SQL.
 RULES = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    # One or two lines that come twice are no reason in a short text.
+    "duplicate_lines": "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines",
     "long_words": "word_chars > 15 * n_words",
     "short_words": "word_chars < 2 * n_words",
+    "same_words": "100 * n_same_words > 40 * n_words",
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 
@@ -52,8 +56,13 @@ def _counts(part: Slice) -> list:
     _, once = np.unique(spans.hashes(starts, ends) ^ salt[line_doc], return_index=True)
     dup_lines = lines - np.bincount(line_doc[once], minlength=part.n)
 
+    word = spans.hashes(part.starts, part.ends)
+    same_word = np.zeros(len(word), bool)
+    same_word[1:] = (word[1:] == word[:-1]) & (part.doc[1:] == part.doc[:-1])
+    same_words = part.per_doc(same_word, part.word_bounds)
+
     at = part.windows(WINDOW)
-    hashes = Spans(spans.hashes(part.starts, part.ends), WORD_BASE).hashes(at, at + WINDOW)
+    hashes = Spans(word, WORD_BASE).hashes(at, at + WINDOW)
     hashes ^= salt[part.doc[at]]
     order = np.argsort(hashes)
     same = hashes[order][1:] == hashes[order][:-1]
@@ -64,7 +73,7 @@ def _counts(part: Slice) -> list:
     np.add.at(edge, at[twice], 1)
     np.add.at(edge, at[twice] + WINDOW, -1)
     repeated = part.per_doc(np.cumsum(edge[:-1]) > 0, part.word_bounds)
-    return [words, chars, symbols, dup_lines, repeated, lines]
+    return [words, chars, symbols, dup_lines, repeated, lines, same_words]
 
 
 def fail_bits() -> Column:
@@ -140,9 +149,11 @@ w AS (
 ), c AS (
   SELECT *, CASE WHEN gram IS NOT NULL AND count(*) OVER (PARTITION BY r, gram) > 1 THEN 1 ELSE 0 END AS twice FROM g
 ), v AS (
-  SELECT r, word, max(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS rep FROM c
+  SELECT r, word, max(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS rep,
+         coalesce(lag(word) OVER (PARTITION BY r ORDER BY i) = word, FALSE) AS same FROM c
 ), a AS (
-  SELECT r, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, CAST(sum(rep) AS BIGINT) AS n_repeat_words
+  SELECT r, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, CAST(sum(rep) AS BIGINT) AS n_repeat_words,
+         count(*) FILTER (same) AS n_same_words
   FROM v GROUP BY r
 ), l AS (
   SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
@@ -152,7 +163,7 @@ w AS (
   SELECT d.*, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-         coalesce(n_lines, 0) AS n_lines
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_same_words, 0) AS n_same_words
   FROM d LEFT JOIN a USING (r) LEFT JOIN l USING (r)
 ), quality AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)"""
 

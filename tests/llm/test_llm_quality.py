@@ -15,7 +15,7 @@ def expected(text):
             repeated.update(range(i, i + 8))
     return (
         len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")),
-        len(lines) - len(set(lines)), len(repeated), len(lines),
+        len(lines) - len(set(lines)), len(repeated), len(lines), sum(a == b for a, b in zip(words, words[1:])),
     )
 
 
@@ -43,6 +43,17 @@ def test_ablations_count_what_a_rule_alone_rejects(spark, make_docs):
     assert kept == {1}
 
 
+def test_what_the_method_adds(spark, make_docs):
+    words = [f"word{i}" for i in range(40)]
+    prose = "\n".join(" ".join(words[i : i + 10]) for i in range(0, 40, 10))
+    rows = [
+        (1, prose), (2, f"a b c d e\n{prose}\na b c d e"), (3, "x y z\n" * 2 + prose),
+        (4, " ".join(w for w in words[:12] for _ in range(4))), (5, "\n".join(w for w in words for _ in range(2))),
+    ]
+    kept = {r.doc_id for r in quality.ledger(make_docs(rows)).filter(quality.kept()).collect()}
+    assert kept == {1, 2, 3}
+
+
 def test_policies_read_bits_only(spark):
     rows = spark.createDataFrame([(quality.BIT["symbols"],), (0,)], "fail_bits long")
     assert [r[0] for r in rows.select(quality.kept("base")).collect()] == [True, True]
