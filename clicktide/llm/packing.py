@@ -119,6 +119,10 @@ class WordEncoder:
         for a, b in zip(at, at[1:]):
             yield b"".join(found[a:b])
 
+    def rest(self) -> None:
+        """Leaves the memory of the older table to what the worker does next."""
+        self._older = {}
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
@@ -167,6 +171,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             yield pa.RecordBatch.from_arrays(
                 [doc, *longs, pa.array(parts, pa.list_(pa.int64()))], names
             )
+        encode.rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
