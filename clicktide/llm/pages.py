@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clicktide.llm.storage import stored
 
-# An element is a site's template if it recurs beside at least so many different main blocks of
-# the host, and beside this share of them.
+# An element is a site's template if it recurs on at least so many different pages of the host,
+# and on this share of them.
 LEAST_PAGES = 5
 SHARE = 0.5
+# Hashes are cut to positive 64-bit numbers.
+HASH = (1 << 63) - 1
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -163,24 +165,25 @@ def parse(html: str) -> Page:
     return page
 
 
-def furniture(page: Page) -> list[tuple[int, int]]:
-    """`(hash, context)` of the elements that may be a site's template.
+def furniture(page: Page) -> tuple[int, list[tuple[int, int]]]:
+    """Hash of the page's kept blocks, and `(hash, context)` of the elements that may be a site's template.
 
-    The context is the hash of the longest block that is kept outside the element: copies of a page
-    give one context only, so that an article is not taken for a template because it was copied.
+    The context is the hash of all blocks that are kept outside the element: copies of a page give
+    one context only, so that an article is not taken for a template because it was copied.
     """
-    longest = sorted((i for i, k in enumerate(page.kept) if k), key=lambda i: -len(page.blocks[i]))
-    hashed: dict[int, int] = {}
+    # Sums over the blocks before each, so that any range and its outside are one difference.
+    sums, counts = [0], [0]
+    for block, kept in zip(page.blocks, page.kept):
+        sums.append(sums[-1] + (xxhash.xxh64_intdigest(block) if kept else 0))
+        counts.append(counts[-1] + kept)
     found = []
     for e in page.elements:
         if e.dropped or e.name not in BLOCKS or e.name in ("html", "body") or e.last <= e.first:
             continue
-        outside = next((i for i in longest if not e.first <= i < e.last), None)
-        if outside is not None:
-            if outside not in hashed:
-                hashed[outside] = xxhash.xxh64_intdigest(page.blocks[outside]) >> 1
-            found.append((e.digest, hashed[outside]))
-    return found
+        if counts[e.last] - counts[e.first] < counts[-1]:
+            outside = sums[-1] - sums[e.last] + sums[e.first]
+            found.append((e.digest, outside & HASH))
+    return sums[-1] & HASH, found
 
 
 def main_text(page: Page, templates: frozenset[int]) -> str:
@@ -201,7 +204,7 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """`(host, hashes)`: elements that recur in many pages of a host beside different main blocks."""
+    """`(host, hashes)`: elements that recur on many different pages of a host."""
     at_host, at_html = 0, 1
 
     def hash_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +212,9 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
             hosts = batch.column(at_host).to_pylist()
             for i, html in enumerate(batch.column(at_html)):
                 page = parse(html.as_py() or "")
-                found = set(furniture(page))
-                # Element 0 stands for the page, to count the contexts of the host.
-                longest = max((b for b, k in zip(page.blocks, page.kept) if k), key=len, default="")
-                found.add((0, xxhash.xxh64_intdigest(longest) >> 1))
+                whole, elements = furniture(page)
+                # Element 0 stands for the page, to count the different pages of the host.
+                found = {(0, whole), *elements}
                 digests, contexts = zip(*found)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hosts[i]] * len(found), pa.string()), pa.array(digests, pa.int64()), pa.array(contexts, pa.int64())],

@@ -71,3 +71,22 @@ def test_clashing_columns_and_long_pages(spark):
 def test_deeply_nested_page_ends():
     html = "<div>" * 5000 + "deep" + "</div>" * 5000
     assert pages.main_text(pages.parse(html), frozenset()) == "deep"
+
+
+def site(spark, bodies):
+    rows = [(i, f"http://site.example/{i}", body) for i, body in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [text for _, text in sorted((r.page_id, r.text) for r in pages.extract(df).collect())]
+
+
+def test_templates_longer_than_the_articles_go(spark):
+    legal, about = "<div><p>Legal " + "terms " * 40 + "</p></div>", "<section><p>About " + "us " * 80 + "</p></section>"
+    stories = [f"Story number {i}" for i in range(12)]
+    assert site(spark, [f"{legal}<p>{s}</p>" for s in stories]) == stories
+    assert site(spark, [f"{legal}<p>{s}</p>{about}" for s in stories]) == stories
+
+
+def test_few_rotating_blocks_do_not_make_headings_templates(spark):
+    rotating = [f"<div><p>Quote {k} {'of the day ' * 20}</p></div>" for k in range(5)]
+    texts = site(spark, [f"{rotating[i % 5]}{'<h2>Method</h2>' if i < 5 else ''}<p>Story {i}</p>" for i in range(60)])
+    assert all("Method" in text for text in texts[:5])
