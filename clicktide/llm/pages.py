@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clicktide.llm.storage import stored
 
-# An element is a site's template if it recurs on at least so many different pages of the host,
-# and on this share of them.
+# An element is a site's template if it recurs on at least so many different pages of the host, and
+# on the root of their number, and if either so large a share of what stands at its place in pages
+# recurs, or it is on so large a share of the host's pages (in an article or main element, elsewhere).
 LEAST_PAGES = 5
 SHARE = 0.5
+ELSEWHERE = 0.1
 # Hashes are cut to positive 64-bit numbers.
 HASH = (1 << 63) - 1
 
@@ -58,6 +60,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -71,6 +74,7 @@ class Element:
     last: int = 0  # the block after its last
     parts: list[str] = field(default_factory=list)
     digest: int = 0
+    place: int = 0  # hash of the names and classes from the root to it
 
 
 @dataclass
@@ -154,6 +158,8 @@ def parse(html: str) -> Page:
         if name in BLOCKS or dropped != stack[-1].dropped or name in MAIN:
             flush()
         element = Element(name, dropped, stack[-1].main or (name in MAIN and not dropped), len(page.blocks))
+        classes = _CLASS.search(attributes) if attributes else None
+        element.place = xxhash.xxh64_intdigest(f"{stack[-1].place:x} {name} {classes[1] if classes else ''}")
         stack.append(element)
         if attributes.endswith("/") and name not in BLOCKS:
             close()
@@ -165,11 +171,11 @@ def parse(html: str) -> Page:
     return page
 
 
-def furniture(page: Page) -> tuple[int, list[tuple[int, int]]]:
-    """Hash of the page's kept blocks, and `(hash, context)` of the elements that may be a site's template.
+def furniture(page: Page) -> tuple[int, list[tuple[int, int, int]]]:
+    """Hash of the page's kept blocks, and `(hash, context, place)` of the elements that may be a site's template.
 
     The context is the hash of all blocks that are kept outside the element: copies of a page give
-    one context only, so that an article is not taken for a template because it was copied.
+    one context only, so that an article is not taken for a template because it was copied. Places in an article or main element are odd.
     """
     # Sums over the blocks before each, so that any range and its outside are one difference.
     sums, counts = [0], [0]
@@ -182,7 +188,7 @@ def furniture(page: Page) -> tuple[int, list[tuple[int, int]]]:
             continue
         if counts[e.last] - counts[e.first] < counts[-1]:
             outside = sums[-1] - sums[e.last] + sums[e.first]
-            found.append((e.digest, outside & HASH))
+            found.append((e.digest, outside & HASH, (e.place & HASH) >> 1 << 1 | e.main))
     return sums[-1] & HASH, found
 
 
@@ -214,21 +220,27 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
                 page = parse(html.as_py() or "")
                 whole, elements = furniture(page)
                 # Element 0 stands for the page, to count the different pages of the host.
-                found = {(0, whole), *elements}
-                digests, contexts = zip(*found)
+                found = {(0, whole, 0), *elements}
+                digests, contexts, places = zip(*found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([hosts[i]] * len(found), pa.string()), pa.array(digests, pa.int64()), pa.array(contexts, pa.int64())],
-                    ["host", "digest", "context"],
+                    [pa.array([hosts[i]] * len(found), pa.string()), *(pa.array(v, pa.int64()) for v in (digests, contexts, places))],
+                    ["host", "digest", "context", "place"],
                 )
 
     sites = pages.select(host(F.col("url")).alias("host"), "html").filter("host is not null")
-    seen = sites.mapInArrow(hash_elements, "host string, digest long, context long")
-    counts = seen.groupBy("host", "digest", "context").agg(F.lit(1).alias("one"))
-    counts = counts.groupBy("host", "digest").agg(F.count("*").alias("n"))
-    counts = stored(counts.filter(F.col("n") >= least_pages))
+    seen = sites.mapInArrow(hash_elements, "host string, digest long, context long, place long")
+    counts = seen.groupBy("host", "digest", "context").agg(F.min("place").alias("place"))
+    counts = stored(counts.groupBy("host", "digest").agg(F.count("*").alias("n"), F.min("place").alias("place")))
+    recurs = F.col("n") >= least_pages
     totals = counts.filter("digest = 0").select(F.col("host").alias("_host"), F.col("n").alias("total"))
-    often = counts.filter("digest <> 0").join(totals, F.col("host") == F.col("_host"))
-    often = often.filter(F.col("n") >= share * F.col("total"))
+    at_place = counts.filter("digest <> 0").groupBy(F.col("host").alias("_at"), F.col("place").alias("_place"))
+    at_place = at_place.agg(F.sum("n").alias("_all"), F.sum(F.when(recurs, F.col("n"))).alias("_recurring"))
+    often = counts.filter(recurs & (F.col("digest") != 0)).join(totals, F.col("host") == F.col("_host"))
+    often = often.filter(F.col("n") >= F.sqrt("total"))
+    often = often.join(at_place.filter("_recurring > 0"), (F.col("host") == F.col("_at")) & (F.col("place") == F.col("_place")))
+    least_share = F.when(F.col("place") % 2 == 1, share).otherwise(min(share, ELSEWHERE))
+    fixed_place = F.col("_recurring") >= share * F.col("_all")
+    often = often.filter(fixed_place | (F.col("n") >= least_share * F.col("total")))
     return often.groupBy("host").agg(F.collect_set("digest").alias("hashes"))
 
 
@@ -237,9 +249,9 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
 
     First the hashes of all element subtrees are counted per host; then each page is parsed again
     and loses the subtrees that recur beside different content, besides elements whose kind or
-    class says that they are no content. A host has few such subtrees, since each recurs in a fixed
-    share of its pages; they come to the pages in a join, which is a broadcast if the stored table
-    of them is small.
+    class says that they are no content. Of a host with N different pages, each such subtree recurs on
+    sqrt(N) at least, so there are sqrt(N) times as many of them as of elements on a page at most;
+    they come to the pages in a join, which is a broadcast if the stored table of them is small.
 
     Null and empty html give an empty text, a null url has no host and no template. Repeated
     pages count once for templates. An empty table gives an empty table. Columns `text`, `_host` and

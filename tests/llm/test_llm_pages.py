@@ -90,3 +90,20 @@ def test_few_rotating_blocks_do_not_make_headings_templates(spark):
     rotating = [f"<div><p>Quote {k} {'of the day ' * 20}</p></div>" for k in range(5)]
     texts = site(spark, [f"{rotating[i % 5]}{'<h2>Method</h2>' if i < 5 else ''}<p>Story {i}</p>" for i in range(60)])
     assert all("Method" in text for text in texts[:5])
+
+
+def test_template_of_one_section_goes(spark):
+    sections = ["<div><p>Sport desk</p></div>", "<div><p>Culture desk</p></div>", "<div><p>Science desk</p></div>"]
+    stories = [f"Story number {i}" for i in range(60)]
+    assert site(spark, [f"{sections[i % 3]}<p>{s}</p>" for i, s in enumerate(stories)]) == stories
+
+
+def test_lines_that_articles_share_stay(spark):
+    bodies = [f"<article><p>{'A common phrase' if i % 6 == 0 else f'Opening {i}'}</p><p>Story {i}</p></article>" for i in range(60)]
+    texts = site(spark, bodies)
+    assert texts[0] == "A common phrase\nStory 0" and texts[1] == "Opening 1\nStory 1"
+
+
+def test_template_of_some_pages_goes(spark):
+    bodies = [f"{'<p>Sport desk</p>' if i % 5 < 2 else ''}<p>Story {i}</p>" for i in range(60)]
+    assert site(spark, bodies) == [f"Story {i}" for i in range(60)]
