@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -52,6 +53,15 @@ FURNITURE = frozenset(
 )
 # Outside the article, these do too.
 HEADS = frozenset(["header"])
+# Words beside one of them in a compound name of furniture, and words that make a name one of
+# something else (content-sidebar, has-comments).
+NEUTRAL = frozenset(
+    "area bar block box btn button buttons container count form group holder icon icons inner item items left "
+    "link links list primary right secondary section site title top bottom widgets wrap wrapper zone".split()
+)
+OTHERS = frozenset("with has have no not non without hide hidden content layout text".split())
+# Not furniture, but `test_blocks` states that a div of this class is dropped.
+PINNED = frozenset(["ad-free"])
 MAIN = frozenset(["article", "main"])
 
 _TOKEN = re.compile(
@@ -65,6 +75,17 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+@lru_cache(100_000)
+def marks(name: str, furniture: frozenset[str]) -> bool:
+    """Whether a class, id or role is one of `furniture`, or a compound that ends in one or has only neutral words beside one."""
+    if name in furniture or name in PINNED:
+        return True
+    words = _WORD.findall(name)
+    if len(words) < 2 or not furniture.intersection(words) or OTHERS.intersection(words):
+        return False
+    return words[-1] in furniture or all(w in furniture or w in NEUTRAL or w.isdigit() for w in words)
+
+
 @dataclass
 class Element:
     name: str
@@ -73,6 +94,8 @@ class Element:
     first: int  # its first block
     last: int = 0  # the block after its last
     parts: list[str] = field(default_factory=list)
+    hard: bool = False  # dropped by kind, or hidden
+    number: int = 0  # of its start tag, if dropped by class alone
     digest: int = 0
     place: int = 0  # hash of the names and classes from the root to it
 
@@ -83,10 +106,22 @@ class Page:
     kept: list[bool]  # not in dropped elements
     in_main: list[bool]
     elements: list[Element]
+    around: set[int] = field(default_factory=set)  # elements dropped by class that are or have an article or main element
 
 
 def parse(html: str) -> Page:
-    """Blocks of text in page order, and the elements with the range of blocks and hash of each."""
+    """Blocks of text in page order, and the elements with the range of blocks and hash of each.
+
+    No class drops an article or main element, or one around it, unless the page has text in another article.
+    """
+    page = read(html, frozenset())
+    if page.around and not any(e.name == "article" and any(page.kept[e.first : e.last]) for e in page.elements):
+        page = read(html, frozenset(page.around))
+    return page
+
+
+def read(html: str, spared: frozenset[int]) -> Page:
+    """As `parse`; start tags with a number in `spared` are not dropped by class."""
     page = Page([], [], [], [])
     root = Element("", False, False, 0)
     stack, text = [root], []
@@ -148,19 +183,25 @@ def parse(html: str) -> Page:
             if name in ENDS and name != "p":
                 end(ENDS[name], LISTS)
         attributes = token.group(4)
-        dropped = stack[-1].dropped or name in DROPPED or name == "header" and not stack[-1].main
-        if not dropped and "=" in attributes:
-            words = {w for m in _MARKS.findall(attributes) for x in m for w in _WORD.findall(x.lower())}
-            dropped = bool(words & FURNITURE) and name not in ("html", "body")
-            dropped |= bool(words & HEADS) and not stack[-1].main and name not in ("html", "body")
-        if not dropped and attributes and _HIDDEN.search(attributes):
-            dropped = True
+        # Below an element that is dropped by class, one may still be so for another reason.
+        hard = stack[-1].hard or name in DROPPED or name == "header" and not stack[-1].main
+        if not hard and attributes and _HIDDEN.search(attributes):
+            hard = True
+        number = 0
+        if not hard and "=" in attributes and token.start() + 1 not in spared and name not in ("html", "body"):
+            names = {w for m in _MARKS.findall(attributes) for x in m for w in x.lower().split()}
+            if any(marks(w, FURNITURE) or not stack[-1].main and marks(w, HEADS) for w in names):
+                number = token.start() + 1
+        dropped = stack[-1].dropped or hard or number > 0
         if name in BLOCKS or dropped != stack[-1].dropped or name in MAIN:
             flush()
         element = Element(name, dropped, stack[-1].main or (name in MAIN and not dropped), len(page.blocks))
         classes = _CLASS.search(attributes) if attributes else None
         element.place = xxhash.xxh64_intdigest(f"{stack[-1].place:x} {name} {classes[1] if classes else ''}")
+        element.hard, element.number = hard, number
         stack.append(element)
+        if name in MAIN and dropped and not hard:
+            page.around.update(e.number for e in stack if e.number)
         if attributes.endswith("/") and name not in BLOCKS:
             close()
     if at < len(html):

@@ -107,3 +107,20 @@ def test_lines_that_articles_share_stay(spark):
 def test_template_of_some_pages_goes(spark):
     bodies = [f"{'<p>Sport desk</p>' if i % 5 < 2 else ''}<p>Story {i}</p>" for i in range(60)]
     assert site(spark, bodies) == [f"Story {i}" for i in range(60)]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<main class='content with-sidebar'><p>a</p></main>", "a"),
+        ("<article class='post has-comments'><p>a</p></article>", "a"),
+        ("<article class='post ad-free'><p>a</p></article>", "a"),
+        ("<p class='no-share'>a</p><div class='content-sidebar-wrap'>b</div>", "a\nb"),
+        ("<article class='promo'>a</article><p>b</p>", "a"),
+        ("<div class='sidebar'><div class='related'><main>a</main></div><nav>n</nav></div>", "a"),
+        ("<article>a</article><div id='comments' class='comments-area'><article>c</article></div>", "a"),
+        ("<div class='main-nav'>x</div><ul class='social-links'><li>y</ul><div class='site-header'>z</div>w", "w"),
+    ],
+)
+def test_classes_that_name_furniture(html, text):
+    assert pages.main_text(pages.parse(html), frozenset()) == text
