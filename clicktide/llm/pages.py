@@ -63,6 +63,7 @@ OTHERS = frozenset("with has have no not non without hide hidden content layout
 # Not furniture, but `test_blocks` states that a div of this class is dropped.
 PINNED = frozenset(["ad-free"])
 MAIN = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|noembed|noframes|xmp|template)\b"""
@@ -234,14 +235,36 @@ def furniture(page: Page) -> tuple[int, list[tuple[int, int, int]]]:
 
 
 def main_text(page: Page, templates: frozenset[int]) -> str:
-    """Kept blocks in page order; only those in an article or main element, if the page has one."""
+    """Kept blocks in page order, without templates.
+
+    If at least half of their words are in article or main elements, only those, and the titles
+    outside: every `h1`, and headings directly before the first of those blocks.
+    """
     kept = list(page.kept)
+    titles, headings = set(), set()
     for e in page.elements:
         if e.digest in templates:
             kept[e.first : e.last] = [False] * (e.last - e.first)
-    if any(k and m for k, m in zip(page.kept, page.in_main)):
-        kept = [k and m for k, m in zip(kept, page.in_main)]
-    return "\n".join(b for b, k in zip(page.blocks, kept) if k)
+        elif e.name in HEADINGS:
+            headings.update(range(e.first, e.last))
+            if e.name == "h1":
+                titles.update(range(e.first, e.last))
+    left = [i for i, k in enumerate(kept) if k]
+    inside = [i for i in left if page.in_main[i]]
+    if inside:
+        for i in reversed(left[: left.index(inside[0])]):
+            if i not in headings:
+                break
+            titles.add(i)
+        outside = [i for i in left if not page.in_main[i] and i not in titles]
+        if words(page, inside) >= words(page, outside):
+            left = [i for i in left if page.in_main[i] or i in titles]
+    return "\n".join(page.blocks[i] for i in left)
+
+
+def words(page: Page, blocks: list[int]) -> int:
+    """Words of the blocks; eight characters are at least one, for scripts without spaces."""
+    return sum(max(len(b.split()), len(b) // 8) for b in (page.blocks[i] for i in blocks))
 
 
 def host(url: Column) -> Column:

@@ -124,3 +124,20 @@ def test_template_of_some_pages_goes(spark):
 )
 def test_classes_that_name_furniture(html, text):
     assert pages.main_text(pages.parse(html), frozenset()) == text
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<h1>Title</h1><p>by line</p><article><p>The body of it</p></article>", "Title\nThe body of it"),
+        ("<p>x</p><h2>Title</h2><article><p>The body of it</p></article>", "Title\nThe body of it"),
+        ("<div><p>A long body of the page</p></div><article>Teaser</article>", "A long body of the page\nTeaser"),
+    ],
+)
+def test_text_outside_the_article(html, text):
+    assert pages.main_text(pages.parse(html), frozenset()) == text
+
+
+def test_promo_card_as_article_is_no_main_text(spark):
+    card = "<article><p>Join our club of readers today</p></article>"
+    assert site(spark, [f"{card}<div>Story {i}</div>" for i in range(12)]) == [f"Story {i}" for i in range(12)]
