@@ -13,6 +13,13 @@ SLOT_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
 ]
 
+# Training ends by the stop test when the weights move by less than this, and at the latest after
+# so many rounds.
+STOP_EPS, STOP_ROUNDS = 0.352, 8
+
+# Decimals that a trace of scaled sums is compared in.
+SCALED_DIGITS = {"alpha": 3, "beta": 6, "w_diff_norm": 6, "grad_norm": 9, "gtd": 12, "uhu": 15}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from checks.fixtures import SCALED_DIGITS, STOP_EPS, STOP_ROUNDS
+
 SLOT_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
 
 IMP = f"""
@@ -179,15 +181,40 @@ def full_batch(rounds: int, examples: str = DOC) -> str:
     )
 
 
-def mini_batch(passes: int, batches: int, inner: int) -> str:
+def mini_batch(passes: int, batches: int, inner: int, anchored: bool = True) -> str:
     plan = []
     for _ in range(passes):
         for b in range(batches):
-            start = len(plan)
-            plan += [(f"id % {batches} = {b}", i == 0, f"w{start}") for i in range(inner)]
+            centre = f"w{len(plan)}" if anchored else "w0"
+            plan += [(f"id % {batches} = {b}", i == 0, centre) for i in range(inner)]
     return cg_rounds(plan)
 
 
+def _moved(k: int) -> str:
+    """How far round `k` moves the weights."""
+    return f"(SELECT sqrt(sum((n.v - o.v) * (n.v - o.v))) FROM w{k} n JOIN w{k - 1} o USING (dim))"
+
+
+def _stops() -> str:
+    """Number of the first round that moves the weights by less than the bound, or of the last."""
+    rounds = [f"WHEN {_moved(k)} < {STOP_EPS} THEN {k}" for k in range(1, STOP_ROUNDS)]
+    return f"SELECT CAST(CASE {' '.join(rounds)} ELSE {STOP_ROUNDS} END AS BIGINT) AS rounds"
+
+
+def _scaled(k: int) -> str:
+    """A trace row of sums divided by the number of samples: steps grow by it, weights stay."""
+    cells = {
+        "alpha": "alpha * n",
+        "beta": "beta",
+        "w_diff_norm": _moved(k),
+        "grad_norm": "sqrt(gg) / n",
+        "gtd": "gtd / n / n",
+        "uhu": "uhu / n / n / n",
+    }
+    shown = ", ".join(f"{rounded(v, SCALED_DIGITS[c])} AS {c}" for c, v in cells.items())
+    return f"SELECT {k - 1} AS iter, {shown} FROM s{k}, b{k}, (SELECT CAST(sum(pos + neg) AS DOUBLE) AS n FROM doc)"
+
+
 def _final(weights: str) -> str:
     """CTE `fin`: margins of all document examples under a weight table."""
     return (
@@ -217,7 +244,7 @@ def _trace(k: int) -> str:
         "alpha": "alpha",
         "beta": "beta",
         "w_norm": f"(SELECT sqrt(sum(v * v)) FROM w{k})",
-        "w_diff_norm": f"(SELECT sqrt(sum((n.v - o.v) * (n.v - o.v))) FROM w{k} n JOIN w{k - 1} o USING (dim))",
+        "w_diff_norm": _moved(k),
         "w0": f"(SELECT v FROM w{k} WHERE dim = 0)",
         "grad_norm": "sqrt(gg)",
         "gtd": "gtd",
@@ -321,8 +348,7 @@ FROM feat JOIN ex USING (req, seg) GROUP BY req, seg"""
 res AS (SELECT req, seg, (pos + neg) * {sigma()} - pos AS r FROM marg)
 SELECT dim AS idx, {rounded('sum(r)', 4)} AS g FROM feat JOIN res USING (req, seg) GROUP BY dim"""
     bend = f"sum((pos + neg) * {sigma()} * (1 - {sigma()}) * xm * xm)"
-    curvature = f"WITH {DOC} SELECT {rounded(bend, 6)} AS curvature FROM dmarg"
-    curvature_i = f"WITH {FEAT} SELECT {rounded(bend, 4)} AS curvature FROM marg"
+    curvature = f"WITH {FEAT} SELECT {rounded(bend, 4)} AS curvature FROM marg"
     iter1 = f"WITH {full_batch(1)} SELECT dim AS idx, {rounded('v', 6)} AS w FROM w1"
     iter2 = f"WITH {full_batch(2)} SELECT dim AS idx, {rounded('v', 6)} AS w FROM w2"
     average = (
@@ -374,7 +400,7 @@ SELECT {rounded(f'(5e-2 * (SELECT sum(w * w) FROM wt) + sum({counted_loss()})) /
         "gradient": gradient,
         "gradient_join": gradient,
         "curvature": curvature,
-        "curvature_join": curvature_i,
+        "curvature_join": curvature,
         "accuracy": f"WITH {DOC} SELECT {rounded(acc('dmarg'), 9)} AS accuracy",
         "accuracy_weighted": f"""WITH {FEAT}, m AS (SELECT pos, neg, round(z, 9) AS z FROM marg)
 SELECT {rounded(acc('m'), 9)} AS accuracy""",
@@ -399,6 +425,7 @@ SELECT count(*) AS n, count(DISTINCT id) AS n_ids, CAST(0 AS BIGINT) AS n_outsid
   CAST(sum(pos + neg) // 100 + 1 AS BIGINT) AS n_batches FROM doc""",
         "minibatch_fit_metrics": batches,
         "minibatch_fit_metrics_join": batches,
+        "minibatch_zero_metrics": f"WITH {mini_batch(1, 3, 2, False)}, {average}, {_final('avg_w')} {_metrics('avg_w')}",
         "minibatch_trace": f"WITH {mini_batch(1, 3, 2)}, {_averages()} " + _batch_trace(),
         "encode_line_keys": line_rows,
         "encode_line_keys_join": line_rows,
@@ -417,16 +444,17 @@ SELECT count(*) AS n, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS
 FROM lineitem WHERE l_linenumber <> 7""",
         "jobs_fit": f"""WITH {full_batch(5)}, {_final('w5')}
 SELECT {rounded(acc('fin'), 6)} AS accuracy, {rounded(auc('fin', 12), 6)} AS auc""",
-        "jobs_test": f"""WITH {full_batch(5)}, {_final('w5')}, half AS (SELECT * FROM fin WHERE id % 2 = 0)
-SELECT {rounded(acc('half'), 6)} AS accuracy, {rounded(auc('half', 12), 6)} AS auc""",
+        "jobs_test": f"""WITH {full_batch(5)}, {_final('w5')}
+SELECT {rounded(acc('fin'), 6)} AS accuracy, {rounded(auc('fin', 12), 6)} AS auc""",
         "export_tables": f"""WITH {full_batch(2)}
 SELECT CAST(fid AS VARCHAR) AS fid, {rounded('v', 6)} AS w, dim = 0 AS is_bias
 FROM w2 LEFT JOIN ddict USING (dim)""",
         "dictionary_text": f"WITH {DICT} SELECT concat_ws(' ', fid, dim) AS value FROM dict",
         "histogram_text": f"WITH {LONG} SELECT concat_ws(' ', fid, n) AS value FROM hist",
-        "weights_text": f"""WITH {DICT}, t AS (SELECT max(dim) FILTER (dim % 3 > 0) AS top FROM dict)
-SELECT CAST(CASE WHEN i % 3 > 0 THEN CAST(i % 7 AS DOUBLE) ELSE 0e0 END AS VARCHAR) AS value
-FROM (SELECT unnest(range(0, top + 1)) AS i FROM t)""",
+        "weights_text": f"""WITH {DICT}, t AS (SELECT max(dim) AS top FROM dict WHERE fid >= 4000000),
+i AS (SELECT unnest(range(0, top + 1)) AS i FROM t)
+SELECT CAST(CASE WHEN fid >= 4000000 THEN CAST(i % 7 AS DOUBLE) ELSE 0e0 END AS VARCHAR) AS value
+FROM i LEFT JOIN dict ON dim = i""",
         "feature_weights_text": f"""WITH {DICT}
 SELECT concat_ws(' ', fid, CAST(CAST(dim % 7 AS DOUBLE) AS VARCHAR)) AS value
 FROM (SELECT fid, dim FROM dict UNION ALL SELECT 0, 0)""",
@@ -435,7 +463,8 @@ l AS (SELECT req, seg, string_agg(CAST(dim AS VARCHAR), ' ' ORDER BY dim) AS dim
 SELECT y || chr(10) || dims || chr(10) AS value FROM l JOIN (
   SELECT req, seg, '1.0' AS y FROM ex WHERE pos > 0 UNION ALL SELECT req, seg, '-1.0' FROM ex WHERE neg > 0
 ) USING (req, seg)""",
-        "cg_stops": "SELECT CAST(1 AS BIGINT) AS rounds FROM documents LIMIT 1",
+        "cg_stops": f"WITH {full_batch(STOP_ROUNDS)} " + _stops(),
+        "cg_trace_scaled": f"WITH {full_batch(3)} " + " UNION ALL ".join(f"({_scaled(k)})" for k in range(1, 4)),
         "unsigned_roundtrip": """
 WITH v AS (
   SELECT l_orderkey, l_linenumber, l_partkey,

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks.fixtures import (
+    SCALED_DIGITS,
     SLOT_ORDER,
+    STOP_EPS,
+    STOP_ROUNDS,
     check_weights,
     document_dictionary,
     document_examples,
@@ -210,13 +213,12 @@ def q_gradient_join(spark, sf):
 
 
 def q_curvature(spark, sf):
-    docs = documents(spark, sf)
-    dictionary = document_dictionary(docs)
+    examples, dictionary = _examples(spark, sf)
     weights = check_weights(dictionary)
-    examples = ob.with_margin(encode(docs, dictionary, ["id"]).withColumn("x", F.col("idx")), ob.weights_vector(weights))
-    along = examples.withColumnsRenamed({"z": "z0", "x": "idx"})
-    both = ob.with_margin(along, ob.weights_vector(weights, "mu")).withColumnsRenamed({"z": "xm", "z0": "z"})
-    return ob.curvature_join(both).select(_r(F.col("curvature"), 6).alias("curvature"))
+    vectors = (ob.weights_vector(weights), ob.weights_vector(weights, "mu"))
+    shared = spark.sparkContext.broadcast(vectors)
+    row = ob.PackedObjective(examples, len(vectors[0])).curvature_row(shared)
+    return row.select(_r(F.col("curvature"), 4).alias("curvature"))
 
 
 def q_curvature_join(spark, sf):
@@ -321,7 +323,7 @@ def q_minibatch_sizes(spark, sf):
     )
 
 
-def _minibatch(spark, sf, method, track=False):
+def _minibatch(spark, sf, method, track=False, anchor="previous"):
     return train_cg_minibatch(
         document_examples(spark, sf),
         CGParams(max_iter=1, inner_iter=2),
@@ -330,6 +332,7 @@ def _minibatch(spark, sf, method, track=False):
         n_batches=3,
         track_objective=track,
         method=method,
+        anchor=anchor,
     )
 
 
@@ -341,6 +344,11 @@ def q_minibatch_fit_metrics_join(spark, sf):
     return _fit_metrics(document_examples(spark, sf), _minibatch(spark, sf, "join").weights)
 
 
+def q_minibatch_zero_metrics(spark, sf):
+    """The penalty is on the weights of each batch, not on their distance to those before."""
+    return _fit_metrics(document_examples(spark, sf), _minibatch(spark, sf, "packed", anchor="zero").weights)
+
+
 def q_minibatch_trace(spark, sf):
     trace = _minibatch(spark, sf, "packed", True).trace
     return trace.select("batch", "iter", *(_r(F.col(c), 6).alias(c) for c in ("loglik", "avg_objective")))
@@ -441,7 +449,7 @@ def q_jobs_fit(spark, sf):
 
 def q_jobs_test(spark, sf):
     docs, dictionary, model = _document_model(spark, sf, max_iter=5)
-    return _shown_metrics(jobs.test(docs.filter("id % 2 = 0"), dictionary, model.fit.weights, ["id"]))
+    return _shown_metrics(jobs.test(docs, dictionary, model.fit.weights, ["id"]))
 
 
 def q_export_tables(spark, sf):
@@ -459,8 +467,8 @@ def q_histogram_text(spark, sf):
 
 
 def q_weights_text(spark, sf):
-    """Two of three dimensions have a weight; the others are written as zero."""
-    dims = q_feature_dict(spark, sf).filter("dim % 3 > 0")
+    """Only features of the slots have a weight; dimensions of shared ones are written as zero."""
+    dims = q_feature_dict(spark, sf).filter("fid >= 4000000")
     return sinks.weights_lines(dims.select(F.col("dim").alias("idx"), (F.col("dim") % 7).cast("double").alias("w")))
 
 
@@ -475,11 +483,21 @@ def q_samples_text(spark, sf):
 
 
 def q_cg_stops(spark, sf):
-    """Ends by the stop test, not by the number of rounds; with scaled sums."""
-    fit = train_cg(document_examples(spark, sf), CGParams(max_iter=50, eps=1e9, scale=0), keys=["id"])
+    """Rounds until the weights move by less than the bound, with sums scaled by the samples."""
+    params = CGParams(max_iter=STOP_ROUNDS, eps=STOP_EPS, scale=0)
+    fit = train_cg(document_examples(spark, sf), params, keys=["id"])
     return fit.trace.agg(F.count("*").alias("rounds"))
 
 
+def q_cg_trace_scaled(spark, sf):
+    """What scaling by the samples changes in a trace, and what it leaves."""
+    fit = train_cg(document_examples(spark, sf), CGParams(max_iter=3, scale=0), keys=["id"])
+    return fit.trace.select(
+        "iter",
+        *(_r(F.col(c), digits).alias(c) for c, digits in SCALED_DIGITS.items()),
+    )
+
+
 def q_unsigned_roundtrip(spark, sf):
     # Ids from the top of the unsigned range on odd lines, small ones on even lines.
     key = (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey")).cast("decimal(20,0)")

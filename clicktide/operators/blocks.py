@@ -7,6 +7,7 @@ The numpy helpers below work on one block at a time; Spark spreads blocks and ad
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -118,17 +119,17 @@ def block_stats(blocks: DataFrame) -> tuple[int, int]:
     return int(n), int(top) + 1
 
 
-def few_tasks(blocks: DataFrame, most: int = 16) -> tuple[DataFrame, int]:
-    """Cached blocks with partitions merged, not moved, towards one task per core; and the
-    number of tasks.
+def few_tasks(blocks: DataFrame, tasks: int | None = None) -> tuple[DataFrame, int]:
+    """Cached blocks with partitions merged, not moved, into `tasks` tasks; and their number.
 
-    A task sends one partial gradient however many partitions it folds, so fewer tasks mean less
-    to shuffle. At most `most` partitions are merged, in case few cores are up yet.
+    A task sends one partial gradient however many partitions it folds, so what is shuffled grows
+    with the number of tasks and not with that of partitions. Unless given, it is one for each core,
+    and at least the root of the number of partitions in case few cores are up yet.
     """
     now = blocks.rdd.getNumPartitions()
     cores = blocks.sparkSession.sparkContext.defaultParallelism
-    tasks = min(now, max(1, cores, -(-now // most)))
-    return blocks.coalesce(max(1, tasks)), tasks
+    tasks = max(1, min(now, tasks or max(cores, isqrt(now))))
+    return blocks.coalesce(tasks), tasks
 
 
 def padded(vector: np.ndarray) -> np.ndarray:

@@ -19,6 +19,7 @@ from clicktide.functions.scalar import (
     counted_residual,
 )
 from clicktide.operators.blocks import (
+    Block,
     block_loss,
     clip,
     logistic,
@@ -27,6 +28,7 @@ from clicktide.operators.blocks import (
     row_sums,
 )
 from clicktide.operators.encode import HEAD_DIMS
+from clicktide.operators.reduce import RANGES, collect_ranges, in_ranges, range_entries, sum_ranges
 from clicktide.session import materialise
 
 # Longest weight vector that travels to tasks and driver: 80 MB of doubles.
@@ -161,12 +163,17 @@ def _entries(idx: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _bend(block: Block, z: np.ndarray, xm: np.ndarray) -> float:
+    s = logistic(z)
+    return float(((block.pos + block.neg) * s * (1 - s)) @ (xm * xm))
+
+
 class PackedObjective:
     """Passes over `data` (packed blocks, or example rows) for weight vectors of length `d`.
 
-    Every pass is one Spark job: tasks fold their blocks, and a group-by adds up the gradient
-    entries they send. If `data` is known to run in `tasks` tasks and these send few entries in
-    total, the driver adds them up itself.
+    Every pass is one Spark job: tasks fold their blocks, and their partial gradients are added up
+    by index range, in levels. If `data` is known to run in `tasks` tasks and these send few entries
+    in total, the driver adds them up itself.
     """
 
     def __init__(self, data: DataFrame, d: int, tasks: int | None = None):
@@ -177,14 +184,21 @@ class PackedObjective:
         self.data = data.select("pos", "neg", *packed, "idx")
         self.d = d
         self.n_samples = 0.0
+        self.tasks = tasks
         self.direct = tasks is not None and tasks * (d + 1) <= DIRECT_ENTRIES
 
     def gradient_rows(self, vector) -> DataFrame:
-        """`(idx, v)`: gradient entries, and loss and samples under `LOSS_ROW` and `COUNT_ROW`.
-        `vector` is a broadcast weight vector."""
-        return self._partials(vector).groupBy("idx").agg(F.sum("v").alias("v"))
+        """`(idx, v)`: gradient entries other than zero, and loss and samples under `LOSS_ROW` and
+        `COUNT_ROW`. `vector` is a broadcast weight vector."""
+        beyond = F.when(F.col("idx") == self.d, LOSS_ROW).when(F.col("idx") > self.d, COUNT_ROW)
+        idx = F.coalesce(beyond, F.col("idx")).cast("int").alias("idx")
+        return range_entries(self._summed(vector)).select(idx, "v")
+
+    def _summed(self, vector) -> DataFrame:
+        return sum_ranges(self._partials(vector), self.tasks)
 
     def _partials(self, vector) -> DataFrame:
+        """Ranges of each task's gradient, with its loss and samples behind the last dimension."""
         d = self.d
 
         def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,26 +214,23 @@ class PackedObjective:
                     np.add.at(g, idx, r)
                 loss += block_loss(block, z)
                 count += float(block.pos.sum() + block.neg.sum())
-            at = np.flatnonzero(g[:d])
-            yield _entries(np.append(at, [LOSS_ROW, COUNT_ROW]), np.append(g[at], [loss, count]))
+            yield from in_ranges(np.append(g[:d], [loss, count]))
 
-        return self.data.mapInArrow(fold, "idx INT, v DOUBLE")
+        return self.data.mapInArrow(fold, RANGES)
 
     def gradient(self, w: np.ndarray) -> tuple[np.ndarray, float]:
         """(gradient, total loss) at `w` in one pass, which also sets `n_samples`."""
         vector = self._context.broadcast(np.asarray(w, np.float64))
         try:
-            rows = self._partials(vector) if self.direct else self.gradient_rows(vector)
-            table = rows.toArrow()
+            rows = self._partials(vector) if self.direct else self._summed(vector)
+            g = collect_ranges(rows, self.d + 2)
         finally:
             vector.destroy()
-        idx, v = table.column("idx").to_numpy(), table.column("v").to_numpy()
-        g = np.bincount(idx[idx >= 0], weights=v[idx >= 0], minlength=self.d)
-        self.n_samples = float(v[idx == COUNT_ROW].sum())
-        return g, float(v[idx == LOSS_ROW].sum())
+        self.n_samples = float(g[self.d + 1])
+        return g[: self.d], float(g[self.d])
 
-    def _total(self, fold, *vectors: np.ndarray) -> float:
-        shared = self._context.broadcast(tuple(np.asarray(v, np.float64) for v in vectors))
+    def _totals(self, fold, shared) -> DataFrame:
+        """`(idx, v)`: the sum of `fold` over each task's blocks. `shared` is a broadcast of vectors."""
         d = self.d
 
         def one_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,21 +241,23 @@ class PackedObjective:
                 total += fold(block, *(row_sums(v[idx], block.sizes) for v in values))
             yield _entries(np.array([0]), np.array([total]))
 
+        return self.data.mapInArrow(one_row, "idx INT, v DOUBLE")
+
+    def _total(self, fold, *vectors: np.ndarray) -> float:
+        shared = self._context.broadcast(tuple(np.asarray(v, np.float64) for v in vectors))
         try:
             # One number per task: adding them up here needs no second stage.
-            rows = self.data.mapInArrow(one_row, "idx INT, v DOUBLE")
-            return float(rows.toArrow().column("v").to_numpy().sum())
+            return float(self._totals(fold, shared).toArrow().column("v").to_numpy().sum())
         finally:
             shared.destroy()
 
+    def curvature_row(self, vectors) -> DataFrame:
+        """`(curvature)` as one row. `vectors` is a broadcast of weights and direction."""
+        return self._totals(_bend, vectors).agg(F.sum("v").alias("curvature"))
+
     def curvature(self, w: np.ndarray, mu: np.ndarray) -> float:
         """Second derivative of the total loss at `w` along `mu`."""
-
-        def fold(block, z, xm):
-            s = logistic(z)
-            return float(((block.pos + block.neg) * s * (1 - s)) @ (xm * xm))
-
-        return self._total(fold, w, mu)
+        return self._total(_bend, w, mu)
 
     def loss(self, w: np.ndarray) -> float:
         """Total log loss at `w`."""

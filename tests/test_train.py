@@ -11,13 +11,15 @@ from checks.fixtures import document_examples, impressions
 from clicktide.operators import evaluate as ev
 from clicktide.operators import objective as ob
 from clicktide.operators.batches import assign_batches, batch_count
-from clicktide.operators.blocks import pack
+from clicktide.operators.blocks import few_tasks, pack
 from clicktide.operators.encode import encode
+from clicktide.operators.reduce import RANGE, RANGES, collect_ranges, in_ranges, range_entries, sum_ranges
 from clicktide.operators.samples import count_samples, expanded_samples
 from clicktide.plans import jobs
 from clicktide.plans.cg import train_cg
 from clicktide.plans.minibatch import train_cg_minibatch
 from clicktide.plans.params import CGParams
+from clicktide.session import cached
 
 SF = "/root/testdata/sf0.01"
 
@@ -340,3 +342,48 @@ def test_weights_by_feature(spark):
     assert sorted((r.fid or "", r.w, r.is_bias) for r in rows) == [
         ("", 0.5, True), ("0", 3.0, False), ("18446744073709551615", 1.0, False),
     ]
+
+
+def test_gradient_entries_sent_grow_with_tasks_not_partitions(spark):
+    """Partial vectors are sent by merged tasks, in ranges, and meet by groups of senders."""
+    d = 3 * RANGE + 17
+    rows = spark.range(20_000).select(
+        F.lit(1.0).alias("pos"), F.lit(2.0).alias("neg"),
+        F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(d)).cast("int") for k in range(40))).alias("idx"),
+    )
+    w, seen, vectors = np.zeros(d), {}, []
+    for parts in (64, 256):
+        with cached(pack(rows.repartition(parts, "pos", F.monotonically_increasing_id()))) as blocks:
+            blocks.count()
+            merged, tasks = few_tasks(blocks, 4)
+            passes = ob.PackedObjective(merged, d, tasks)
+            shared = spark.sparkContext.broadcast(w)
+            sent = passes._partials(shared)
+            seen[parts] = sent.agg(F.sum("n")).first()[0]
+            assert sent.count() == 4 * 4
+            summed = sum_ranges(sent, tasks, fan=2)
+            assert sorted(r.key for r in summed.collect()) == [0, 1, 2, 3]
+            vectors.append(collect_ranges(summed, d + 2))
+            assert np.allclose(vectors[-1][:d], passes.gradient(w)[0])
+    assert seen[64] == seen[256] == 4 * (d + 2)
+    assert np.allclose(*vectors) and vectors[0][d + 1] == 60_000
+
+
+@pytest.mark.parametrize("kind", [np.float64, np.int64])
+def test_sparse_and_dense_ranges_add_up(spark, kind):
+    size = 5 * RANGE // 2
+
+    def send(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                part = np.zeros(size, kind)
+                part[i :: 1 + 999 * (i % 2)] = i + 1
+                yield from in_ranges(part)
+
+    parts = spark.range(9).repartition(9).mapInArrow(send, RANGES)
+    summed = sum_ranges(parts, 9, kind, fan=3)
+    expected = sum(np.where((np.arange(size) >= i) & ((np.arange(size) - i) % (1 + 999 * (i % 2)) == 0), i + 1, 0) for i in range(9))
+    assert (collect_ranges(summed, size, kind) == expected).all()
+    rows = range_entries(summed, kind).toArrow()
+    assert rows.num_rows == np.count_nonzero(expected)
+    assert (expected[rows.column("idx").to_numpy()] == rows.column("v").to_numpy()).all()
