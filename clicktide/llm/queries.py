@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clicktide.llm.classifier import op13_quality
 from clicktide.llm.embeddings import OP1_SQL, op1_embeddings
 from clicktide.llm.licenses import OP10_SQL, op10_licenses
 from clicktide.llm.mixing import OP9_SQL, op9_mix
@@ -24,7 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_embeddings, op2_simhash, op3_quality, op4_token_counts, op5_pack,
         op6_substrings, op7_toxicity, op8_html, op9_mix, op10_licenses,
-        op11_search, op12_whitening,
+        op11_search, op12_whitening, op13_quality,
     ]
     return {q.__name__: q for q in named}
 
