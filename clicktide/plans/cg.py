@@ -132,19 +132,19 @@ def train_cg(
     """Fit counted examples `(keys.., pos, neg, idx)`.
 
     `packed` keeps the weight vector on the driver and sends it to tasks. `join` keeps weights in
-    tables and needs `keys` to identify examples. `auto` takes `packed` up to `packed_max_dim`
-    dimensions. The trace's `loglik` is the mean objective at the start of each round.
+    tables and examples in tiles. `auto` takes `packed` up to `packed_max_dim` dimensions; beyond, the
+    packed blocks are what is cut into tiles. Nothing depends on `keys`. The trace's `loglik` is the mean objective at the start of each round.
     """
     if method not in ("auto", "packed", "join"):
         raise ValueError("method must be 'auto', 'packed' or 'join'")
-    if method == "join":
-        from clicktide.plans.cg_tables import train_cg_join
+    from clicktide.plans.cg_tables import train_cg_join
 
-        return train_cg_join(examples, params, keys)
+    if method == "join":
+        return train_cg_join(examples, params)
     with cached(pack(examples)) as blocks:
         n, d = block_stats(blocks)
         if d <= packed_max_dim:
             return train_blocks(blocks, n, d, params)
-    if method == "packed":
-        raise ValueError(f"{d} dimensions exceed {packed_max_dim}, use method='join'")
-    return train_cg(examples, params, "join", keys)
+        if method == "packed":
+            raise ValueError(f"{d} dimensions exceed {packed_max_dim}, use method='join'")
+        return train_cg_join(blocks, params)

@@ -1,21 +1,23 @@
 """Conjugate gradient with weights, direction and gradient kept in tables.
 
-For models too long for one array. Margins are carried along: after a step z becomes
-z + alpha * (x . mu), so a round needs one join by dimension instead of two. Every round ends in
-written tables, which keeps plans flat and survives lost executors; tables of earlier rounds are
-dropped as soon as the next ones are written.
+For models too long for one array. Examples lie in tiles (`operators.tiles`), weights in ranges of
+dimensions, margins in blocks of rows. A round sends residuals to the tiles and ranges of the
+direction to the tiles; tokens stay where they are. Margins are carried along: after a step z
+becomes z + alpha * (x . mu). Every round ends in written tables, which keeps plans flat and survives
+lost executors; tables of earlier rounds are dropped as soon as the next ones are written.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clicktide.functions.scalar import counted_curvature, counted_loss, counted_residual
-from clicktide.operators.objective import frequent_dims, margins_join, with_rows
-from clicktide.operators.stats import data_stats
+from clicktide.operators.blocks import Block, block_loss, logistic
+from clicktide.operators.tiles import Tiles, in_tiles
 from clicktide.plans.cg import (
     Fit,
     dai_yuan,
@@ -24,134 +26,231 @@ from clicktide.plans.cg import (
     trace_table,
 )
 from clicktide.plans.params import CGParams
-from clicktide.session import Written, cached
+from clicktide.session import Written
 
-def _dot(a: str, b: str):
-    return F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0))
+VECTORS = ("w", "centre", "mu", "g")
+_STATE = "key INT, n INT, first INT, tiles INT, " + ", ".join(f"{v} BINARY" for v in VECTORS)
+# Sums over a range, of which the numbers of a round are made.
+_SUMS = ("gtold", "g_old2", "old_mu2", "gg", "mu_g", "ww", "off2", "w_mu", "w_g", "w0", "mu0", "g0")
 
 
-def placed_rows(examples: DataFrame, *more: str) -> DataFrame:
-    """Examples by `_row`, a number of their own: nothing of the caller's has to be unique."""
-    return with_rows(examples.select("pos", "neg", "idx", *more)).repartition("_row")
+def _vector(cell, n: int) -> np.ndarray:
+    """A range of doubles; a missing one is zero."""
+    return np.zeros(n) if not cell.is_valid else np.frombuffer(cell.as_buffer(), np.float64)
 
 
-def zero_weights(spark, d: int) -> DataFrame:
-    return spark.range(d).select(F.col("id").cast("int").alias("idx"), F.lit(0.0).alias("w"))
+def _spread(at, v, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    if v.is_valid:
+        values, places = np.frombuffer(v.as_buffer(), np.float64), np.frombuffer(at.as_buffer(), np.int32)
+        if len(values) == n:
+            out += values
+        else:
+            out[places] = values
+    return out
+
+
+def _advanced(w, mu, g, beta: float, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weights after the step, direction of the step) from what a round has written."""
+    turned = beta * mu - g
+    return w + alpha * turned, turned
+
+
+def zero_state(tiles: Tiles) -> DataFrame:
+    """The state of weights that are zero; NULL vectors stand for zeros."""
+    return tiles.ranges.select("*", *(F.lit(None).cast("binary").alias(v) for v in VECTORS))
+
+
+def _mapped(state: DataFrame, schema: str, function, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of `schema`, by `function(n, vectors, other cells)` for each range of `state`."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"INT": pa.int32(), "BINARY": pa.binary(), "DOUBLE": pa.float64()}
+    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cells = {c: batch.column(k)[i] for k, c in enumerate(batch.schema.names)}
+                n = cells["n"].as_py()
+                vectors = {v: _vector(cells[v], n) for v in VECTORS}
+                out = function(n, vectors, cells)
+                kept = [out[c] if c in out else cells[c].as_py() for c in names]
+                kept = [np.ascontiguousarray(v).tobytes() if isinstance(v, np.ndarray) else v for v in kept]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(kept, types)], names)
+
+    return state.select(*(c.split()[0] for c in _STATE.split(", ")), *more).mapInArrow(run, schema)
+
+
+def _turn(state: DataFrame, data_g: DataFrame, beta: float, alpha: float, lam: float, scale: float) -> DataFrame:
+    """The state a step further, with the gradient there and the sums of `_SUMS`."""
+
+    def one(n, v, cells):
+        w, mu = _advanced(v["w"], v["mu"], v["g"], beta, alpha)
+        g_old, off = v["g"], w - v["centre"]
+        g = (_spread(cells["at"], cells["v"], n) + lam * off) / scale
+        first = cells["key"].as_py() == 0 and n > 0
+        sums = {
+            "gtold": g_old @ mu, "g_old2": g_old @ g_old, "old_mu2": mu @ mu, "gg": g @ g, "mu_g": mu @ g,
+            "ww": w @ w, "off2": off @ off, "w_mu": w @ mu, "w_g": w @ g,
+            "w0": w[0] if first else 0.0, "mu0": mu[0] if first else 0.0, "g0": g[0] if first else 0.0,
+        }
+        return {"w": w, "mu": mu, "g": g, **{c: float(x) for c, x in sums.items()}}
+
+    added = data_g.select(F.col("key").alias("_key"), "at", "v")
+    both = state.join(added, F.col("key") == F.col("_key"), "left")
+    return _mapped(both, _STATE + ", " + ", ".join(f"{s} DOUBLE" for s in _SUMS), one, ("at", "v"))
+
+
+def _direction(state: DataFrame, beta: float) -> DataFrame:
+    return _mapped(
+        state, "key INT, first INT, tiles INT, v BINARY",
+        lambda n, v, cells: {"v": _advanced(v["w"], v["mu"], v["g"], beta, 0.0)[1]},
+    )
+
+
+def _weights(state: DataFrame) -> DataFrame:
+    return _mapped(state, "key INT, first INT, tiles INT, v BINARY", lambda n, v, cells: {"v": v["w"]})
+
+
+def _residual(step: float):
+    def value(pos, neg, z, xm):
+        return (pos + neg) * logistic(z + step * xm) - pos
+
+    return value
+
+
+def _along(step: float):
+    """Margins after the step, margins along the direction, curvature and loss of a block."""
+
+    def fold(pos, neg, xm, known):
+        z = known["z"] + step * known["xm"]
+        s = logistic(z)
+        bend = float(((pos + neg) * s * (1 - s)) @ (xm * xm))
+        return z, xm, bend, block_loss(Block(pos, neg, None, None), z)
+
+    return fold
+
+
+def _at_start(pos, neg, z, known):
+    return z, np.zeros(len(z)), 0.0, block_loss(Block(pos, neg, None, None), z)
+
+
+_MARGINS = "z BINARY, xm BINARY, curvature DOUBLE, loss DOUBLE"
+
+
+def total_loss(tiles: Tiles, state: DataFrame) -> float:
+    """Total log loss at the weights `w` of `state`, in one pass."""
+    rows = tiles.at_blocks(tiles.at_tiles(_weights(state)), None, _at_start, _MARGINS)
+    return rows.agg(F.coalesce(F.sum("loss"), F.lit(0.0))).first()[0]
 
 
 def minimise_tables(
-    rows: DataFrame,
+    tiles: Tiles,
     start: DataFrame,
     params: CGParams,
     rounds: int,
-    head: DataFrame,
     anchored: bool = False,
 ) -> tuple[Written, list[dict]]:
-    """Up to `rounds` rounds on `rows (_row, pos, neg, idx)` from `start (idx, w)`.
+    """Up to `rounds` rounds on `tiles` from the weights `w` of the state `start`.
 
-    The penalty is on the weights, or with `anchored` on their distance to `start`. `head` are the
-    frequent dimensions. Returns `(idx, w)`, which the caller drops, and one trace row per round.
+    The penalty is on the weights, or with `anchored` on their distance to `start`. Returns the state
+    reached, which the caller drops, and one trace row per round.
     """
-    n = rows.agg(F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0))).first()[0]
+    n = tiles.n
     scale = float(params.scale or n or 1)
-    at_start = {"w": F.col("w"), "centre": F.col("w") if anchored else F.lit(0.0)}
-    zero = {"mu": F.lit(0.0), "g_old": F.lit(0.0)}
-    state = start.select("idx", *(c.alias(k) for k, c in {**at_start, **zero}.items()))
-    first = Written(margins_join(rows, start, (), {"w": "z"}, head=head))
-    margins, held, trace = first.rows, [first], []
+    none = F.lit(None).cast("binary")
+    centre = F.col("w") if anchored else none
+    state = start.withColumns({"centre": centre, "mu": none, "g": none})
+    held = [Written(tiles.at_blocks(tiles.at_tiles(_weights(start)), None, _at_start, _MARGINS))]
+    margins, beta, alpha, trace = held[0].rows, 0.0, 0.0, []
     try:
         for i in range(rounds):
             began = time.monotonic()
-            residual = counted_residual(F.col("pos"), F.col("neg"), F.col("z"))
-            per_dim = (
-                rows.select("_row", "idx")
-                .join(margins.select("_row", residual.alias("r")), "_row")
-                .select(F.explode("idx").alias("idx"), "r")
-                .groupBy("idx")
-                .agg(F.sum("r").alias("r"))
-            )
-            apart = F.col("w") - F.col("centre")
-            g = (F.coalesce(F.col("r"), F.lit(0.0)) + params.lam * apart) / scale
-            turned_from = Written(
-                state.join(per_dim, "idx", "left").select("idx", "w", "centre", "mu", "g_old", g.alias("g"))
-            )
-            held.append(turned_from)
-            s = turned_from.rows.withColumns(
-                {"dg": F.col("g") - F.col("g_old"), "off": F.col("w") - F.col("centre")}
-            ).agg(
-                _dot("g_old", "mu").alias("gtold"),
-                _dot("g_old", "g_old").alias("g_old2"),
-                _dot("mu", "mu").alias("mu2"),
-                _dot("g", "g").alias("gg"),
-                _dot("mu", "dg").alias("mu_dg"),
-                _dot("w", "w").alias("ww"),
-                _dot("off", "off").alias("off2"),
-            ).first()
-            tol = restart_bound(params, s.g_old2, s.mu2)
-            beta = dai_yuan(i == 0, s.gtold, s.gg, s.mu_dg, s.g_old2, tol)
-            turned = turned_from.rows.withColumn("mu", F.lit(beta or 0.0) * F.col("mu") - F.col("g"))
-            along = margins_join(rows, turned, (), {"mu": "xm"}, head=head).select("_row", "xm")
-            passed = Written(margins.join(along, "_row").select("_row", "pos", "neg", "z", "xm"))
+            data_g = tiles.transposed(tiles.to_tiles(margins, _residual(alpha)))
+            turned = Written(_turn(state, data_g, beta, alpha, params.lam, scale))
+            held.append(turned)
+            s = turned.rows.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in _SUMS)).first()
+            tol = restart_bound(params, s.g_old2, s.old_mu2)
+            turn = dai_yuan(i == 0, s.gtold, s.gg, s.mu_g - s.gtold, s.g_old2, tol)
+            b = turn or 0.0
+            # Products with the new direction, b * mu - g.
+            mu2 = max(0.0, b * b * s.old_mu2 - 2 * b * s.mu_g + s.gg)
+            gtd, w_mu = b * s.mu_g - s.gg, b * s.w_mu - s.w_g
+            sent = tiles.at_tiles(_direction(turned.rows, b))
+            passed = Written(tiles.at_blocks(sent, margins.select("r", "z", "xm"), _along(alpha), _MARGINS))
             held.append(passed)
-            h = counted_curvature(F.col("pos"), F.col("neg"), F.col("z"))
             data = passed.rows.agg(
-                F.coalesce(F.sum(h * F.col("xm") * F.col("xm")), F.lit(0.0)).alias("curvature"),
-                F.coalesce(F.sum(counted_loss(F.col("pos"), F.col("neg"), F.col("z"))), F.lit(0.0)).alias("loss"),
-            ).first()
-            at0 = F.col("idx") == 0
-            m = turned.agg(
-                _dot("mu", "g").alias("gtd"),
-                _dot("mu", "mu").alias("mu2"),
-                _dot("w", "mu").alias("w_mu"),
-                F.sum(F.when(at0, F.col("w"))).alias("w0"),
-                F.sum(F.when(at0, F.col("mu"))).alias("mu0"),
+                F.coalesce(F.sum("curvature"), F.lit(0.0)).alias("curvature"),
+                F.coalesce(F.sum("loss"), F.lit(0.0)).alias("loss"),
             ).first()
-            uhu = (data.curvature + params.lam * m.mu2) / scale
-            alpha = quadratic_step(m.gtd, uhu)
-            step = F.lit(alpha)
-            margins = passed.rows.select(
-                "_row", "pos", "neg", (F.col("z") + step * F.col("xm")).alias("z")
-            )
-            state = turned.select(
-                "idx", (F.col("w") + step * F.col("mu")).alias("w"), "centre", "mu", F.col("g").alias("g_old")
-            )
+            uhu = (data.curvature + params.lam * mu2) / scale
             # What this round wrote holds all that the next one needs.
+            state, margins, beta, alpha = turned.rows, passed.rows, b, quadratic_step(gtd, uhu)
             for table in held[:-2]:
                 table.drop()
             held = held[-2:]
-            moved = abs(alpha) * m.mu2**0.5
+            moved = abs(alpha) * mu2**0.5
             trace.append(
                 {
                     "iter": i,
                     "loglik": (params.lam / 2 * s.off2 + data.loss) / max(n, 1),
                     "rtime": time.monotonic() - began,
                     "alpha": alpha,
-                    "beta": beta or 0.0,
-                    "w_norm": max(0.0, s.ww + 2 * alpha * m.w_mu + alpha**2 * m.mu2) ** 0.5,
+                    "beta": b,
+                    "w_norm": max(0.0, s.ww + 2 * alpha * w_mu + alpha**2 * mu2) ** 0.5,
                     "w_diff_norm": moved,
-                    "w0": m.w0 + alpha * m.mu0,
+                    "w0": s.w0 + alpha * (b * s.mu0 - s.g0),
                     "grad_norm": s.gg**0.5,
-                    "gtd": m.gtd,
+                    "gtd": gtd,
                     "uhu": uhu,
                     "gtold": s.gtold,
                 }
             )
             if moved < params.eps:
                 break
-        return Written(state.select("idx", "w")), trace
+        return Written(stepped(state, beta, alpha)), trace
     finally:
         for table in held:
             table.drop()
 
 
-def train_cg_join(examples: DataFrame, params: CGParams, keys: Sequence[str] = ()) -> Fit:
-    """`train_cg(method="join")`. Examples are told apart by a number of their own."""
-    spark = examples.sparkSession
-    with cached(placed_rows(examples)) as rows:
-        n, d = data_stats(rows).first()
-        if d is None:
-            raise ValueError("no examples")
-        n, d = int(n), int(d)
-        head = frequent_dims(rows)
-        weights, trace = minimise_tables(rows, zero_weights(spark, d), params, params.max_iter, head)
-        return Fit(weights.rows, trace_table(spark, trace), n, d)
+def stepped(state: DataFrame, beta: float, alpha: float) -> DataFrame:
+    """`state` with the weights after its step, and no direction."""
+
+    def one(n, v, cells):
+        return {"w": _advanced(v["w"], v["mu"], v["g"], beta, alpha)[0], "centre": None, "mu": None, "g": None}
+
+    return _mapped(state, _STATE, one)
+
+
+def mixed(first: DataFrame, second: DataFrame, a: float, b: float) -> DataFrame:
+    """The state whose weights are a times those of `first` plus b times those of `second`."""
+    other = second.select(F.col("key").alias("_key"), F.col("w").alias("_w"))
+
+    def one(n, v, cells):
+        return {"w": a * v["w"] + b * _vector(cells["_w"], n), "centre": None, "mu": None, "g": None}
+
+    return _mapped(first.join(other, F.col("key") == F.col("_key")), _STATE, one, ("_w",))
+
+
+def weight_rows(state: DataFrame, columns: int) -> DataFrame:
+    """`(idx, w)`: one row for each dimension."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, n, w = (c[i] for c in batch.columns)
+                idx = np.arange(n.as_py(), dtype=np.int32) + key.as_py() * columns
+                yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(_vector(w, n.as_py()))], ["idx", "w"])
+
+    return state.select("key", "n", "w").mapInArrow(unfold, "idx INT, w DOUBLE")
+
+
+def train_cg_join(examples: DataFrame, params: CGParams) -> Fit:
+    """`train_cg(method="join")` on example rows or packed blocks."""
+    tiles = in_tiles(examples)
+    try:
+        state, trace = minimise_tables(tiles, zero_state(tiles), params, params.max_iter)
+        return Fit(weight_rows(state.rows, tiles.columns), trace_table(examples.sparkSession, trace), tiles.n, tiles.d)
+    finally:
+        tiles.drop()

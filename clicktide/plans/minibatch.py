@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clicktide.operators.batches import batch_count, batch_of
 from clicktide.operators.blocks import block_stats, few_tasks, pack
-from clicktide.operators.evaluate import objective
-from clicktide.operators.objective import (
-    PACKED_MAX_DIM,
-    PackedObjective,
-    frequent_dims,
-    margins_join,
-    weights_table,
-)
+from clicktide.operators.objective import PACKED_MAX_DIM, PackedObjective, weights_table
+from clicktide.operators.tiles import Tiles, in_tiles
 from clicktide.plans.cg import TRACE_SCHEMA, Fit, minimise, trace_table
-from clicktide.plans.cg_tables import minimise_tables, placed_rows, zero_weights
+from clicktide.plans.cg_tables import (
+    VECTORS,
+    minimise_tables,
+    mixed,
+    total_loss,
+    weight_rows,
+    zero_state,
+)
 from clicktide.plans.params import CGParams
 from clicktide.session import Written, cached
 
@@ -137,28 +138,35 @@ def _in_tables(
 ) -> Fit:
     """The same with weights, their sum and all vectors of a round in tables."""
     spark = numbered.sparkSession
-    with cached(placed_rows(numbered, "batch")) as rows:
-        head = frequent_dims(rows)
-        trace, done = _Trace(spark), 0
-        w = Written(zero_weights(spark, d))
-        total = Written(zero_weights(spark, d))
+    parts: dict[int, Tiles] = {}
+    rows = Written(numbered)
+    whole = in_tiles(rows.rows, d)
+    trace, done = _Trace(spark), 0
+    w, total = Written(zero_state(whole)), Written(zero_state(whole))
+    try:
         for sweep in range(params.max_iter):
             for b in range(n_batches):
-                part = rows.filter(F.col("batch") == b)
-                after, rounds = minimise_tables(
-                    part, w.rows, params, params.inner_iter, head, anchor == "previous"
-                )
-                added = total.rows.select("idx", F.col("w").alias("_sum")).join(after.rows, "idx")
-                summed = Written(added.select("idx", (F.col("_sum") + F.col("w")).alias("w")))
+                if b not in parts:
+                    parts[b] = in_tiles(rows.rows.filter(F.col("batch") == b), d)
+                # Tiles number their own ranges.
+                start = parts[b].ranges.join(w.rows.select("key", *VECTORS), "key")
+                after, rounds = minimise_tables(parts[b], start, params, params.inner_iter, anchor == "previous")
+                done += 1
+                summed = Written(mixed(total.rows, after.rows, 1.0, 1.0))
                 w.drop()
                 total.drop()
-                w, total, done = after, summed, done + 1
+                w, total = after, summed
                 value = None
                 if track_objective:
-                    mean = total.rows.select("idx", (F.col("w") / done).alias("w"))
-                    margins = margins_join(rows, mean, (), {"w": "z"}, head=head)
-                    value = objective(margins, mean, params.lam).first()["objective"]
+                    mean = mixed(total.rows, total.rows, 1 / done, 0.0)
+                    loss = total_loss(whole, whole.ranges.join(mean.select("key", *VECTORS), "key"))
+                    square = weight_rows(mean, whole.columns).agg(F.sum(F.col("w") * F.col("w"))).first()[0]
+                    value = (params.lam / 2 * (square or 0.0) + loss) / n
                 trace.add(rounds, sweep, b, value)
-        mean = total.rows.select("idx", (F.col("w") / max(done, 1)).alias("w"))
+        mean = mixed(total.rows, total.rows, 1 / max(done, 1), 0.0)
+        return Fit(weight_rows(mean, whole.columns), trace.table(), n, d)
+    finally:
         w.drop()
-        return Fit(mean, trace.table(), n, d)
+        rows.drop()
+        for tiles in (whole, *parts.values()):
+            tiles.drop()

@@ -63,15 +63,20 @@ class Written:
     """A table written once to the checkpoint folder, which can be dropped when it is superseded."""
 
     def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        self._context = spark.sparkContext
-        self.path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+        self._spark = df.sparkSession
+        self.path = f"{ensure_checkpoint_dir(self._spark)}/table-{uuid.uuid4()}"
         df.write.parquet(self.path)
-        self.rows = spark.read.schema(df.schema).parquet(self.path)
+        self.rows = self._spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        place = self._context._jvm.org.apache.hadoop.fs.Path(self.path)
-        place.getFileSystem(self._context._jsc.hadoopConfiguration()).delete(place, True)
+        drop_path(self._spark, self.path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes what a finished step has written, in whatever file system it lies."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @contextmanager
