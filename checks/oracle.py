@@ -418,6 +418,9 @@ FROM wt LEFT JOIN dict USING (dim)""",
         "cg_iter2_join": iter2,
         "cg_trace": f"WITH {full_batch(5)} "
         + " UNION ALL ".join(f"({_trace(k)})" for k in range(1, 6)),
+        "cg_trace_resumed": f"WITH {full_batch(5)} "
+        + " UNION ALL ".join(f"({_trace(k)})" for k in range(1, 6)),
+        "cg_iter2_store": iter2,
         "cg_fit_metrics": f"WITH {full_batch(5)}, {_final('w5')} {_metrics('w5')}",
         "cg_fit_clicks": f"WITH {full_batch(3, CLICKS)}, {_final('w3')} {_metrics('w3')}",
         "minibatch_sizes": f"""WITH {DOC}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,11 +31,12 @@ from clicktide.operators.batches import assign_batches, batch_count
 from clicktide.operators.samples import count_samples, expanded_samples, weighted_samples
 from clicktide.operators.stats import data_stats, dictionary_dim
 from clicktide.plans import jobs
-from clicktide.plans.cg import train_cg
+from clicktide.plans.cg import train_cg, train_store
 from clicktide.plans.minibatch import train_cg_minibatch
 from clicktide.plans.params import CGParams
-from clicktide.session import cached
+from clicktide.session import cached, ensure_checkpoint_dir
 from clicktide.sources import sinks
+from clicktide.sources.blockstore import BlockStore, write_store
 from clicktide.sources.dictionary import last_wins, parse_dictionary
 from clicktide.sources.impressions import explode_slots, parse_impressions, parse_requests
 from clicktide.sources.libsvm import parse_examples
@@ -281,6 +283,29 @@ def q_cg_trace(spark, sf):
     return fit.trace.select("iter", *(_r(F.col(c), 5).alias(c) for c in columns))
 
 
+def _new_place(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/fit-{uuid.uuid4()}"
+
+
+def q_cg_trace_resumed(spark, sf):
+    """A fit that is stopped after two rounds, and goes on."""
+    examples, place = document_examples(spark, sf), _new_place(spark)
+    train_cg(examples, CGParams(max_iter=2), rounds_at=place)
+    trace = train_cg(examples, CGParams(max_iter=5), rounds_at=place).trace
+    columns = [c for c in trace.columns if c not in ("iter", "rtime")]
+    return trace.select("iter", *(_r(F.col(c), 5).alias(c) for c in columns))
+
+
+def q_cg_iter2_store(spark, sf):
+    """A store of blocks is written, fitted for a round, opened again and fitted on, in tables."""
+    place = _new_place(spark)
+    write_store(document_examples(spark, sf), f"{place}/store")
+    rounds = f"{place}/rounds"
+    train_store(BlockStore(spark, f"{place}/store"), CGParams(max_iter=1), "packed", rounds_at=rounds)
+    fit = train_store(BlockStore(spark, f"{place}/store"), CGParams(max_iter=2), "join", rounds_at=rounds)
+    return fit.weights.select("idx", _r(F.col("w"), 6).alias("w"))
+
+
 def _fit_metrics(examples, weights, keys=("id",)):
     margins = jobs.margins_of(examples, weights, keys)
     one = F.lit(1).alias("one")

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from clicktide.operators.blocks import block_stats, few_tasks, pack
 from clicktide.operators.objective import PACKED_MAX_DIM, PackedObjective, weights_table
 from clicktide.plans.params import CGParams
+from clicktide.plans.rounds import Rounds, vector_arrays, vector_ranges
 from clicktide.session import cached
+from clicktide.sources.blockstore import BlockStore
 
 TRACE_SCHEMA = (
     "iter INT, loglik DOUBLE, rtime DOUBLE, alpha DOUBLE, beta DOUBLE, w_norm DOUBLE, "
@@ -61,16 +63,24 @@ def minimise(
     rounds: int,
     n: int | None,
     anchor: np.ndarray | None = None,
+    saved: Rounds | None = None,
 ) -> tuple[np.ndarray, list[dict]]:
     """Up to `rounds` rounds from `start` on total loss + lam/2 |w - anchor|^2 (anchor None = 0).
 
-    `n` is the number of samples, None for that of `objective`'s own data. Returns the weights and one trace row per round, the last one included.
+    `n` is the number of samples, None for that of `objective`'s own data. Returns the weights and one
+    trace row per round, the last one included. With `saved`, each round is saved, and rounds saved
+    before are not made again.
     """
     w = np.array(start, np.float64)
     centre = np.zeros_like(w) if anchor is None else np.array(anchor, np.float64)
     mu, g_old = np.zeros_like(w), np.zeros_like(w)
     trace = []
-    for i in range(rounds):
+    if saved is not None and (last := saved.last()) is not None:
+        vectors, trace = saved.load(last)
+        w, mu, g_old = vector_arrays(vectors)
+        if trace[-1]["w_diff_norm"] < params.eps:
+            return w, trace
+    for i in range(len(trace), rounds):
         began = time.monotonic()
         data_g, loss = objective.gradient(w)
         samples = max(objective.n_samples if n is None else n, 1)
@@ -103,6 +113,8 @@ def minimise(
                 "gtold": gtold,
             }
         )
+        if saved is not None:
+            saved.save(i, vector_ranges(saved.spark, w, mu, g), trace)
         if moved < params.eps:
             break
     return w, trace
@@ -113,38 +125,74 @@ def trace_table(spark: SparkSession, rows: list[dict], schema: str = TRACE_SCHEM
     return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
 
 
-def train_blocks(blocks: DataFrame, n: int, d: int, params: CGParams) -> Fit:
+def saved_rounds(spark: SparkSession, path: str | None, params: CGParams, n: int, d: int) -> Rounds | None:
+    """Where a fit of this data and penalty saves its rounds; None without a path."""
+    if path is None:
+        return None
+    return Rounds(spark, path, TRACE_SCHEMA, {"lam": params.lam, "scale": params.scale, "n": n, "d": d})
+
+
+def train_blocks(blocks: DataFrame, n: int, d: int, params: CGParams, rounds_at: str | None = None) -> Fit:
     """`train_cg` on packed blocks of known size, which the caller keeps cached."""
     spark = blocks.sparkSession
     merged, tasks = few_tasks(blocks)
     passes = PackedObjective(merged, d, tasks)
-    w, rows = minimise(passes, np.zeros(d), params, params.max_iter, n)
+    saved = saved_rounds(spark, rounds_at, params, n, d)
+    w, rows = minimise(passes, np.zeros(d), params, params.max_iter, n, saved=saved)
     return Fit(weights_table(spark, w), trace_table(spark, rows), n, d)
 
 
+def train_store(
+    store: BlockStore,
+    params: CGParams = CGParams(),
+    method: str = "auto",
+    packed_max_dim: int = PACKED_MAX_DIM,
+    rounds_at: str | None = None,
+) -> Fit:
+    """`train_cg` on a block store: nothing before the blocks is read again, whatever is lost."""
+    if method not in ("auto", "packed", "join"):
+        raise ValueError("method must be 'auto', 'packed' or 'join'")
+    if store.d <= 0:
+        raise ValueError("no examples")
+    if method == "join" or (method == "auto" and store.d > packed_max_dim):
+        from clicktide.plans.cg_tables import train_cg_join
+
+        return train_cg_join(store.blocks, params, rounds_at)
+    if store.d > packed_max_dim:
+        raise ValueError(f"{store.d} dimensions exceed {packed_max_dim}, use method='join'")
+    with cached(store.blocks) as blocks:
+        return train_blocks(blocks, store.n, store.d, params, rounds_at)
+
+
 def train_cg(
     examples: DataFrame,
     params: CGParams = CGParams(),
     method: str = "auto",
     keys: Sequence[str] = ("req", "seg"),
     packed_max_dim: int = PACKED_MAX_DIM,
+    rounds_at: str | None = None,
 ) -> Fit:
     """Fit counted examples `(keys.., pos, neg, idx)`.
 
     `packed` keeps the weight vector on the driver and sends it to tasks. `join` keeps weights in
     tables and examples in tiles. `auto` takes `packed` up to `packed_max_dim` dimensions; beyond, the
-    packed blocks are what is cut into tiles. Nothing depends on `keys`. The trace's `loglik` is the mean objective at the start of each round.
+    packed blocks are what is cut into tiles. Nothing depends on `keys`. The trace's `loglik` is the
+    mean objective at the start of each round.
+
+    With `rounds_at`, a folder, every round is saved there, and a fit of the same data and penalty that
+    was stopped goes on from its last finished round, with either method. `train_store` fits
+    examples that were packed and written before.
     """
     if method not in ("auto", "packed", "join"):
         raise ValueError("method must be 'auto', 'packed' or 'join'")
     from clicktide.plans.cg_tables import train_cg_join
 
     if method == "join":
-        return train_cg_join(examples, params)
+        return train_cg_join(examples, params, rounds_at)
     with cached(pack(examples)) as blocks:
         n, d = block_stats(blocks)
         if d <= packed_max_dim:
-            return train_blocks(blocks, n, d, params)
+            return train_blocks(blocks, n, d, params, rounds_at)
         if method == "packed":
             raise ValueError(f"{d} dimensions exceed {packed_max_dim}, use method='join'")
-        return train_cg_join(blocks, params)
+        return train_cg_join(blocks, params, rounds_at)

@@ -23,9 +23,11 @@ from clicktide.plans.cg import (
     dai_yuan,
     quadratic_step,
     restart_bound,
+    saved_rounds,
     trace_table,
 )
 from clicktide.plans.params import CGParams
+from clicktide.plans.rounds import VECTORS_SCHEMA, Rounds
 from clicktide.session import Written
 
 VECTORS = ("w", "centre", "mu", "g")
@@ -150,23 +152,32 @@ def minimise_tables(
     params: CGParams,
     rounds: int,
     anchored: bool = False,
+    saved: Rounds | None = None,
 ) -> tuple[Written, list[dict]]:
     """Up to `rounds` rounds on `tiles` from the weights `w` of the state `start`.
 
     The penalty is on the weights, or with `anchored` on their distance to `start`. Returns the state
-    reached, which the caller drops, and one trace row per round.
+    reached, which the caller drops, and one trace row per round. With `saved`, each round is saved,
+    and rounds saved before are not made again; not to be used with `anchored`.
     """
     n = tiles.n
     scale = float(params.scale or n or 1)
     none = F.lit(None).cast("binary")
     centre = F.col("w") if anchored else none
     state = start.withColumns({"centre": centre, "mu": none, "g": none})
-    held = [Written(tiles.at_blocks(tiles.at_tiles(_weights(start)), None, _at_start, _MARGINS))]
-    margins, beta, alpha, trace = held[0].rows, 0.0, 0.0, []
+    beta, alpha, trace = 0.0, 0.0, []
+    if saved is not None and (last := saved.last()) is not None:
+        vectors, trace = saved.load(last)
+        state, beta = _reloaded(tiles, vectors), 1.0
+        if trace[-1]["w_diff_norm"] < params.eps:
+            return Written(stepped(state, beta, alpha)), trace
+    held = [Written(tiles.at_blocks(tiles.at_tiles(_weights(state)), None, _at_start, _MARGINS))]
+    margins, behind = held[0].rows, 0.0
     try:
-        for i in range(rounds):
+        for i in range(len(trace), rounds):
             began = time.monotonic()
-            data_g = tiles.transposed(tiles.to_tiles(margins, _residual(alpha)))
+            # Margins and weights are as far back as the step that is made when they are read.
+            data_g = tiles.transposed(tiles.to_tiles(margins, _residual(behind)))
             turned = Written(_turn(state, data_g, beta, alpha, params.lam, scale))
             held.append(turned)
             s = turned.rows.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in _SUMS)).first()
@@ -177,7 +188,7 @@ def minimise_tables(
             mu2 = max(0.0, b * b * s.old_mu2 - 2 * b * s.mu_g + s.gg)
             gtd, w_mu = b * s.mu_g - s.gg, b * s.w_mu - s.w_g
             sent = tiles.at_tiles(_direction(turned.rows, b))
-            passed = Written(tiles.at_blocks(sent, margins.select("r", "z", "xm"), _along(alpha), _MARGINS))
+            passed = Written(tiles.at_blocks(sent, margins.select("r", "z", "xm"), _along(behind), _MARGINS))
             held.append(passed)
             data = passed.rows.agg(
                 F.coalesce(F.sum("curvature"), F.lit(0.0)).alias("curvature"),
@@ -186,6 +197,7 @@ def minimise_tables(
             uhu = (data.curvature + params.lam * mu2) / scale
             # What this round wrote holds all that the next one needs.
             state, margins, beta, alpha = turned.rows, passed.rows, b, quadratic_step(gtd, uhu)
+            behind = alpha
             for table in held[:-2]:
                 table.drop()
             held = held[-2:]
@@ -206,6 +218,8 @@ def minimise_tables(
                     "gtold": s.gtold,
                 }
             )
+            if saved is not None:
+                saved.save(i, _saved(state, beta, alpha), trace)
             if moved < params.eps:
                 break
         return Written(stepped(state, beta, alpha)), trace
@@ -214,6 +228,23 @@ def minimise_tables(
             table.drop()
 
 
+def _saved(state: DataFrame, beta: float, alpha: float) -> DataFrame:
+    """What `Rounds` keeps: weights after the step, its direction, and the gradient before it."""
+
+    def one(n, v, cells):
+        w, mu = _advanced(v["w"], v["mu"], v["g"], beta, alpha)
+        return {"w": w, "mu": mu, "g": v["g"]}
+
+    return _mapped(state, VECTORS_SCHEMA, one)
+
+
+def _reloaded(tiles: Tiles, vectors: DataFrame) -> DataFrame:
+    """The state that `_advanced` with beta 1 and alpha 0 turns into the saved vectors."""
+    none = F.lit(None).cast("binary").alias("centre")
+    both = tiles.ranges.join(vectors.drop("n"), "key").select(*tiles.ranges.columns, "w", none, "mu", "g")
+    return _mapped(both, _STATE, lambda n, v, cells: {"mu": v["mu"] + v["g"]})
+
+
 def stepped(state: DataFrame, beta: float, alpha: float) -> DataFrame:
     """`state` with the weights after its step, and no direction."""
 
@@ -246,11 +277,12 @@ def weight_rows(state: DataFrame, columns: int) -> DataFrame:
     return state.select("key", "n", "w").mapInArrow(unfold, "idx INT, w DOUBLE")
 
 
-def train_cg_join(examples: DataFrame, params: CGParams) -> Fit:
+def train_cg_join(examples: DataFrame, params: CGParams, rounds_at: str | None = None) -> Fit:
     """`train_cg(method="join")` on example rows or packed blocks."""
     tiles = in_tiles(examples)
     try:
-        state, trace = minimise_tables(tiles, zero_state(tiles), params, params.max_iter)
+        saved = saved_rounds(examples.sparkSession, rounds_at, params, tiles.n, tiles.d)
+        state, trace = minimise_tables(tiles, zero_state(tiles), params, params.max_iter, saved=saved)
         return Fit(weight_rows(state.rows, tiles.columns), trace_table(examples.sparkSession, trace), tiles.n, tiles.d)
     finally:
         tiles.drop()

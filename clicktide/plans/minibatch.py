@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clicktide.operators.batches import batch_count, batch_of
-from clicktide.operators.blocks import block_stats, few_tasks, pack
+from clicktide.operators.batches import batch_count
+from clicktide.operators.blocks import few_tasks
 from clicktide.operators.objective import PACKED_MAX_DIM, PackedObjective, weights_table
 from clicktide.operators.tiles import Tiles, in_tiles
 from clicktide.plans.cg import TRACE_SCHEMA, Fit, minimise, trace_table
@@ -21,7 +22,8 @@ from clicktide.plans.cg_tables import (
     zero_state,
 )
 from clicktide.plans.params import CGParams
-from clicktide.session import Written, cached
+from clicktide.session import Written, cached, ensure_checkpoint_dir
+from clicktide.sources.blockstore import BlockStore, write_store
 
 BATCH_TRACE_SCHEMA = "pass INT, batch INT, " + TRACE_SCHEMA + ", avg_objective DOUBLE"
 
@@ -74,8 +76,10 @@ def train_cg_minibatch(
     examples for the mean `a` so far; it costs one full pass per batch. The trace's `loglik` is the
     mean objective of the batch, and `rtime` the seconds of the round.
 
-    Batches come from a seeded hash of `keys`, or from `batch` with numbers in [0, `n_batches`). On
-    large data give `n_batches`: batches follow each other, so their number sets the time.
+    Batches come from a seeded hash of each row's place in the input, or from `batch` with numbers in
+    [0, `n_batches`); nothing depends on `keys`. They are written once, each to files of its own
+    (`sources.blockstore`), so that a batch starts its own tasks only. On large data give `n_batches`:
+    batches follow each other, so their number sets the time.
     `packed` keeps weights on the driver, `join` in tables, `auto` takes `packed` up to
     `packed_max_dim` dimensions; the result does not depend on it.
     """
@@ -92,62 +96,58 @@ def train_cg_minibatch(
         raise ValueError(f"{d} dimensions exceed {packed_max_dim}, use method='join'")
     if n_batches is None:
         n_batches = batch_count(int(n), params.batch_size)
-    number = batch if batch is not None else batch_of(n_batches, keys, seed)
-    numbered = examples.select(*keys, "pos", "neg", "idx", number.cast("int").alias("batch"))
-    if method == "join" or d > packed_max_dim:
-        return _in_tables(numbered, params, n_batches, anchor, track_objective, int(n), int(d))
-    # Rows of a batch sit together, so the cache skips the other batches by their min and max;
-    # a batch of many rows is spread over several pieces.
-    pieces = rows // n_batches // ROWS_PER_PIECE + 1
-    piece = F.pmod(F.xxhash64(F.lit(seed + 1).cast("bigint"), *keys), F.lit(pieces))
-    placed = (
-        numbered.withColumn("_piece", piece)
-        .repartition("batch", "_piece")
-        .sortWithinPartitions("batch")
-        .drop("_piece")
-    )
+    largest = rows // n_batches
+    if batch is not None:
+        largest = examples.groupBy(batch.alias("batch")).count().agg(F.max("count")).first()[0]
     spark = examples.sparkSession
-    with cached(pack(placed)) as blocks:
-        n, d = block_stats(blocks)
-        merged, tasks = few_tasks(blocks)
-        whole = PackedObjective(merged, d, tasks)
-        w, total, done, trace = np.zeros(d), np.zeros(d), 0, _Trace(spark)
-        for sweep in range(params.max_iter):
-            for b in range(n_batches):
-                part = PackedObjective(merged.filter(F.col("batch") == b), d, tasks)
+    place = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4()}"
+    store = write_store(examples, place, n_batches, batch, seed, largest // ROWS_PER_PIECE + 1)
+    try:
+        if method == "join" or d > packed_max_dim:
+            return _in_tables(store, params, n_batches, anchor, track_objective, int(n), int(d))
+        return _packed(store, params, n_batches, anchor, track_objective, int(n), int(d))
+    finally:
+        store.drop()
+
+
+def _packed(
+    store: BlockStore, params: CGParams, n_batches: int, anchor: str, track_objective: bool, n: int, d: int
+) -> Fit:
+    """Weights on the driver; a batch's passes run in the tasks of its own files only."""
+    spark = store.blocks.sparkSession
+    whole = PackedObjective(store.blocks.drop("batch"), d) if track_objective else None
+    w, total, done, trace = np.zeros(d), np.zeros(d), 0, _Trace(spark)
+    for sweep in range(params.max_iter):
+        for b in range(n_batches):
+            with cached(store.batch(b)) as blocks:
+                merged, tasks = few_tasks(blocks)
+                part = PackedObjective(merged, d, tasks)
                 w, rounds = minimise(
                     part, w, params, params.inner_iter, None, w if anchor == "previous" else None
                 )
-                total, done = total + w, done + 1
-                average = total / done
-                value = None
-                if track_objective:
-                    value = (params.lam / 2 * float(average @ average) + whole.loss(average)) / n
-                trace.add(rounds, sweep, b, value)
-        return Fit(weights_table(spark, total / max(done, 1)), trace.table(), n, d)
+            total, done = total + w, done + 1
+            average = total / done
+            value = None
+            if whole is not None:
+                value = (params.lam / 2 * float(average @ average) + whole.loss(average)) / n
+            trace.add(rounds, sweep, b, value)
+    return Fit(weights_table(spark, total / max(done, 1)), trace.table(), n, d)
 
 
 def _in_tables(
-    numbered: DataFrame,
-    params: CGParams,
-    n_batches: int,
-    anchor: str,
-    track_objective: bool,
-    n: int,
-    d: int,
+    store: BlockStore, params: CGParams, n_batches: int, anchor: str, track_objective: bool, n: int, d: int
 ) -> Fit:
     """The same with weights, their sum and all vectors of a round in tables."""
-    spark = numbered.sparkSession
+    spark = store.blocks.sparkSession
     parts: dict[int, Tiles] = {}
-    rows = Written(numbered)
-    whole = in_tiles(rows.rows, d)
+    whole = in_tiles(store.blocks, d)
     trace, done = _Trace(spark), 0
     w, total = Written(zero_state(whole)), Written(zero_state(whole))
     try:
         for sweep in range(params.max_iter):
             for b in range(n_batches):
                 if b not in parts:
-                    parts[b] = in_tiles(rows.rows.filter(F.col("batch") == b), d)
+                    parts[b] = in_tiles(store.batch(b), d)
                 # Tiles number their own ranges.
                 start = parts[b].ranges.join(w.rows.select("key", *VECTORS), "key")
                 after, rounds = minimise_tables(parts[b], start, params, params.inner_iter, anchor == "previous")
@@ -167,6 +167,5 @@ def _in_tables(
         return Fit(weight_rows(mean, whole.columns), trace.table(), n, d)
     finally:
         w.drop()
-        rows.drop()
         for tiles in (whole, *parts.values()):
             tiles.drop()

@@ -72,11 +72,27 @@ class Written:
         drop_path(self._spark, self.path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes what a finished step has written, in whatever file system it lies."""
+def _place(spark: SparkSession, path: str):
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes what a finished step has written, in whatever file system it lies."""
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none if it is not there."""
+    place, files = _place(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
 
 
 @contextmanager
