@@ -367,6 +367,7 @@ SELECT req, seg, "show", click, concat_ws(' ', f1, f2, f3, c1, c2) AS fids FROM
         "feature_hist_parity": parity("0"),
         "feature_hist_parity_lines": parity("0"),
         "feature_dict": f"WITH {DICT} SELECT fid, n, dim FROM dict",
+        "feature_dict_sketched": f"WITH {DICT} SELECT fid, n, dim FROM dict",
         "dict_load": f"""WITH {TEXT_SOURCE}
 SELECT fid, dim FROM src QUALIFY row_number() OVER (PARTITION BY fid ORDER BY
   l_orderkey DESC, {', '.join(c + ' DESC' for c in SLOT_ORDER.split(', '))}) = 1""",
@@ -375,6 +376,7 @@ SELECT fid, dim FROM src QUALIFY row_number() OVER (PARTITION BY dim ORDER BY
   l_orderkey DESC, {', '.join(c + ' DESC' for c in SLOT_ORDER.split(', '))}) = 1""",
         "encode_examples": encoded,
         "encode_examples_join": encoded,
+        "encode_examples_bloom": encoded,
         "samples_weighted": f"""WITH {FEAT}
 SELECT req, seg, 1e0 AS y, CAST(pos AS BIGINT) AS wt FROM ex WHERE pos > 0
 UNION ALL SELECT req, seg, -1e0, CAST(neg AS BIGINT) FROM ex WHERE neg > 0""",

@@ -26,7 +26,7 @@ from clicktide.functions.vectors import dot, norm2
 from clicktide.operators import evaluate as ev
 from clicktide.operators import histogram as hg
 from clicktide.operators import objective as ob
-from clicktide.operators.encode import HEAD_DIMS, combine_segments, encode, sample_counts
+from clicktide.operators.encode import combine_segments, encode, sample_counts
 from clicktide.operators.batches import assign_batches, batch_count
 from clicktide.operators.samples import count_samples, expanded_samples, weighted_samples
 from clicktide.operators.stats import data_stats, dictionary_dim
@@ -91,6 +91,10 @@ def q_feature_dict(spark, sf):
     return jobs.build_dictionary(impressions(spark, sf, numbered=False))
 
 
+def q_feature_dict_sketched(spark, sf):
+    return jobs.build_dictionary(impressions(spark, sf, numbered=False), sketched=True)
+
+
 def _dictionary_entries(spark, sf):
     """Dictionary text with repeated keys, and three-token lines that do not count."""
     fid = (4000000 + F.col("l_suppkey")).cast("string")
@@ -108,15 +112,15 @@ def q_dict_load_reverse(spark, sf):
     return last_wins(_dictionary_entries(spark, sf), "dim")
 
 
-def _examples(spark, sf, method="auto", head_dims=HEAD_DIMS):
+def _examples(spark, sf, method="auto", **options):
     """(examples, dictionary) of the order-derived impressions."""
     dictionary = q_feature_dict(spark, sf)
-    return encode(impressions(spark, sf), dictionary, method=method, head_dims=head_dims), dictionary
+    return encode(impressions(spark, sf), dictionary, method=method, **options), dictionary
 
 
-def _encoded(method, head_dims=HEAD_DIMS):
+def _encoded(method, **options):
     def query(spark, sf):
-        examples, _ = _examples(spark, sf, method, head_dims)
+        examples, _ = _examples(spark, sf, method, **options)
         return examples.select("req", "seg", "pos", "neg", _text("idx").alias("dims"))
 
     return query
@@ -560,7 +564,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **named,
         "encode_examples": _encoded("broadcast"),
-        "encode_examples_join": _encoded("join", head_dims=50),
+        "encode_examples_join": _encoded("join", head_dims=50, bloom_bits=0),
+        "encode_examples_bloom": _encoded("join", head_dims=50),
         "encode_line_keys": _line_encoded("broadcast"),
         "encode_line_keys_join": _line_encoded("join"),
         "cg_iter2_line_keys": _line_weights("packed"),

@@ -13,13 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from clicktide.session import materialise
+from clicktide.operators.sketch import BITS_PER_ENTRY, Bloom, bloom_filter
+from clicktide.session import Written, materialise
 
 # Dictionaries up to this many entries (12 bytes each) travel to every task as two arrays.
 BROADCAST_MAX_ENTRIES = 5_000_000
 # So many frequent features form the head of a larger dictionary.
 HEAD_DIMS = 1_000_000
 
+REPEATED = "the dictionary has repeated feature ids, see last_wins"
+
 
 def combine_segments(impressions: DataFrame) -> DataFrame:
     """Adds `fids`: a slot's own features followed by the shared ones of its request.
@@ -52,7 +55,7 @@ def fits_broadcast(dictionary: DataFrame, max_entries: int = BROADCAST_MAX_ENTRI
 def check_unique(dictionary: DataFrame) -> None:
     """Fails if a feature id has several dims; `last_wins` makes a dictionary unique."""
     if not dictionary.groupBy("fid").count().filter("count > 1").isEmpty():
-        raise ValueError("the dictionary has repeated feature ids, see last_wins")
+        raise ValueError(REPEATED)
 
 
 def encode(
@@ -62,6 +65,7 @@ def encode(
     method: str = "auto",
     max_entries: int = BROADCAST_MAX_ENTRIES,
     head_dims: int = HEAD_DIMS,
+    bloom_bits: int = BITS_PER_ENTRY,
 ) -> DataFrame:
     """Counted examples. Features missing in `dictionary(fid, dim)` are dropped; a row without
     any known feature stays as a bias-only example.
@@ -70,20 +74,25 @@ def encode(
     frequent features and joins the rest by id; it works for any dictionary size. `auto` counts the
     dictionary against `max_entries` to choose. All give the same rows: one for each impression, so
     `keys` are carried along and may be NULL or repeat. A repeated feature id fails the job.
+
+    In the `join` form a Bloom filter of the other entries, of `bloom_bits` bits for each, drops unknown
+    ids where they are read, so that they are not shuffled; 0 leaves it out.
     """
     if method not in ("auto", "broadcast", "join"):
         raise ValueError("method must be 'auto', 'broadcast' or 'join'")
-    fits = fits_broadcast(dictionary, max_entries) if method != "join" else False
-    if method == "broadcast" and not fits:
-        raise ValueError(f"dictionary has more than {max_entries} entries, use method='join'")
     pos, neg = sample_counts(F.col("show"), F.col("click"))
     rows = combine_segments(impressions).select(
         *keys, pos.alias("pos"), neg.alias("neg"), "fids"
     )
+    if method != "join":
+        # One job tells whether the dictionary fits, and fetches it if so.
+        table = dictionary.select("fid", "dim").limit(max_entries + 1).toArrow()
+        if table.num_rows <= max_entries:
+            return _looked_up(rows, _sorted_entries(table)).drop("_rest")
+        if method == "broadcast":
+            raise ValueError(f"dictionary has more than {max_entries} entries, use method='join'")
     check_unique(dictionary)
-    if fits:
-        return _encode_broadcast(rows, dictionary).drop("_open")
-    return _encode_join(rows, dictionary, head_dims)
+    return _encode_join(rows, dictionary, head_dims, bloom_bits)
 
 
 def most_frequent(rows: DataFrame, dictionary: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -107,53 +116,70 @@ def most_frequent(rows: DataFrame, dictionary: DataFrame, most: int) -> tuple[Da
     return entries.filter(head), entries.filter(~head)
 
 
-def _encode_join(rows: DataFrame, dictionary: DataFrame, head_dims: int) -> DataFrame:
-    # Frequent features are looked up in place. Only rows with a feature left over go on, each under
-    # a number that is written once, and only their left-over features are shuffled by id.
-    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+def _encode_join(rows: DataFrame, dictionary: DataFrame, head_dims: int, bloom_bits: int) -> DataFrame:
+    # Frequent features are looked up in place. Only rows that have a feature left over, which may be
+    # in the tail, are written, each under a number, and only those features are shuffled by id.
     head, tail = most_frequent(rows, dictionary, head_dims)
-    near = _encode_broadcast(rows, head)
-    tokens = rows.select("_row", F.explode("fids").alias("fid"))
+    known = _sorted_entries(head.select("fid", "dim").toArrow())
+    entries = tail.count() if bloom_bits else 0
+    if bloom_bits and not entries:
+        return _looked_up(rows, known).drop("_rest")
+    rest = bloom_filter(tail, entries, bloom_bits) if bloom_bits else None
+    near = _looked_up(rows, known, rest)
+    done = near.filter(F.size("_rest") == 0).drop("_rest")
+    left = near.filter(F.size("_rest") > 0).withColumn("_row", F.monotonically_increasing_id())
+    left = Written(left).rows
     far = (
-        tokens.join(F.broadcast(head.select("fid")), "fid", "left_anti")
+        left.select("_row", F.explode("_rest").alias("fid"))
         .join(tail.select("fid", "dim"), "fid")
         .groupBy("_row")
         .agg(F.collect_list("dim").alias("_more"))
         .withColumnRenamed("_row", "_at")
     )
-    done = near.filter("_open = 0").drop("_open", "_row")
-    left = near.filter("_open > 0").join(far, F.col("_row") == F.col("_at"), "left")
     more = F.coalesce("_more", F.array().cast("array<int>"))
+    both = left.join(far, F.col("_row") == F.col("_at"), "left")
     return done.unionByName(
-        left.withColumn("idx", F.array_sort(F.concat("idx", more))).select(*done.columns)
+        both.withColumn("idx", F.array_sort(F.concat("idx", more))).select(*done.columns)
     )
 
 
-def _encode_broadcast(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """`rows` with `idx` for `fids`, and `_open`, the number of features not in `dictionary`."""
-    table = dictionary.select("fid", "dim").orderBy("fid").toArrow()
+def _sorted_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(feature ids, dims) by id."""
+    table = table.sort_by("fid")
     fids = table.column("fid").to_numpy().astype(np.int64)
-    dims = table.column("dim").to_numpy().astype(np.int32)
-    shared = rows.sparkSession.sparkContext.broadcast((fids, dims))
+    if (fids[1:] == fids[:-1]).any():
+        raise ValueError(REPEATED)
+    return fids, table.column("dim").to_numpy().astype(np.int32)
+
+
+def _looked_up(
+    rows: DataFrame, entries: tuple[np.ndarray, np.ndarray], others: Bloom | None = None
+) -> DataFrame:
+    """`rows` with `idx` for `fids`, and `_rest`, the features that are not in `entries` and may be
+    in `others`, as often as a row has them."""
+    shared = rows.sparkSession.sparkContext.broadcast((*entries, others))
     carried = [f for f in rows.schema.fields if f.name != "fids"]
-    added = [T.StructField("idx", T.ArrayType(T.IntegerType(), False)), T.StructField("_open", T.IntegerType())]
+    added = [
+        T.StructField("idx", T.ArrayType(T.IntegerType(), False)),
+        T.StructField("_rest", T.ArrayType(T.LongType(), False)),
+    ]
     schema = T.StructType([*carried, *added])
     names = [f.name for f in schema]
 
-    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, dim = shared.value
+    def look_up_and_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, dim, maybe = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("fids"))
-            idx, left = _encode_lists(column, known, dim)
+            idx, rest = _encode_lists(column, known, dim, maybe)
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in carried]
-            yield pa.RecordBatch.from_arrays([*arrays, idx, left], names)
+            yield pa.RecordBatch.from_arrays([*arrays, idx, rest], names)
 
-    return rows.mapInArrow(lookup, schema)
+    return rows.mapInArrow(look_up_and_filter, schema)
 
 
 def _encode_lists(
-    column: pa.ListArray, known: np.ndarray, dim: np.ndarray
-) -> tuple[pa.ListArray, pa.Array]:
+    column: pa.ListArray, known: np.ndarray, dim: np.ndarray, others: Bloom | None
+) -> tuple[pa.ListArray, pa.ListArray]:
     lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten()
     if flat.null_count:
@@ -163,17 +189,23 @@ def _encode_lists(
     if len(known):
         at = np.minimum(np.searchsorted(known, values), len(known) - 1)
         hit = known[at] == values
-        row, dims = row[hit], dim[at[hit]]
+        dims = dim[at[hit]]
     else:
-        row, dims = row[:0], np.empty(0, np.int32)
-    left = lengths - np.bincount(row, minlength=len(lengths))
+        hit, dims = np.zeros(len(values), bool), np.empty(0, np.int32)
+    open_row, rest = row[~hit], values[~hit]
+    if others is not None:
+        maybe = others.may_hold(rest)
+        open_row, rest = open_row[maybe], rest[maybe]
+    row = row[hit]
     # The bias joins as dim 0, so one sort by (row, dim) puts it first in every row.
     row = np.concatenate([row, np.arange(len(lengths), dtype=np.int64)])
     dims = np.concatenate([dims, np.zeros(len(lengths), np.int32)])
     key = np.sort((row << 32) | dims)
-    sizes = np.bincount(key >> 32, minlength=len(lengths))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(
-        pa.array(offsets), pa.array((key & 0xFFFFFFFF).astype(np.int32))
-    )
-    return lists, pa.array(left.astype(np.int32))
+    lists = _in_rows(key >> 32, (key & 0xFFFFFFFF).astype(np.int32), len(lengths))
+    return lists, _in_rows(open_row, rest.astype(np.int64), len(lengths))
+
+
+def _in_rows(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """A list column of `n` rows; `row` ascends."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))

@@ -43,22 +43,24 @@ def in_ranges(vector: np.ndarray, size: int = RANGE) -> Iterator[pa.RecordBatch]
             yield _row(key, part)
 
 
-def _add(sums: dict, key, n: int, at: pa.Buffer, v: pa.Buffer, dtype) -> None:
+def _add(sums: dict, key, n: int, at: pa.Buffer, v: pa.Buffer, dtype, op) -> None:
     if key not in sums:
         sums[key] = np.zeros(n, dtype)
-    values = np.frombuffer(v, dtype)
+    values, total = np.frombuffer(v, dtype), sums[key]
     if len(values) == n:
-        sums[key] += values
+        op(total, values, out=total)
     else:
-        sums[key][np.frombuffer(at, np.int32)] += values
+        places = np.frombuffer(at, np.int32)
+        total[places] = op(total[places], values)
 
 
 def sum_ranges(
-    parts: DataFrame, senders: int | None = None, dtype=np.float64, fan: int = FAN
+    parts: DataFrame, senders: int | None = None, dtype=np.float64, fan: int = FAN, op=np.add
 ) -> DataFrame:
     """One row `RANGES` for each range, from partial ones that `senders` tasks sent.
 
-    Where their number is not known, `fan` groups are added up and then the groups.
+    Where their number is not known, `fan` groups are added up and then the groups. `op` joins two
+    vectors; zero must be its neutral element.
     """
     senders = senders or fan * fan
 
@@ -68,7 +70,7 @@ def sum_ranges(
             key, n, at, v, group = batch.columns
             for i in range(batch.num_rows):
                 place = (key[i].as_py(), group[i].as_py())
-                _add(sums, place, n[i].as_py(), at[i].as_buffer(), v[i].as_buffer(), dtype)
+                _add(sums, place, n[i].as_py(), at[i].as_buffer(), v[i].as_buffer(), dtype, op)
         for (k, g), total in sums.items():
             yield _row(k, total, g)
 

@@ -14,6 +14,7 @@ from clicktide.operators.histogram import (
     DEFAULT_THRESHOLD,
     feature_histogram,
     frequent,
+    frequent_sketched,
     number_features,
 )
 from clicktide.operators.objective import (
@@ -35,13 +36,23 @@ SCORE_DIGITS = 12
 
 
 def build_dictionary(
-    impressions: DataFrame, threshold: int = DEFAULT_THRESHOLD, histogram=feature_histogram
+    impressions: DataFrame,
+    threshold: int = DEFAULT_THRESHOLD,
+    histogram=feature_histogram,
+    sketched: bool = False,
 ) -> DataFrame:
     """`(fid, n, dim)` of features shown more than `threshold` times.
 
+    `sketched` reads the impressions twice and shuffles few of the rarer features
+    (`frequent_sketched`); it is worth it where most features are rare. It goes with the plain rule.
+
     For the replacing count rule pass `histogram=last_write_histogram`, or better, for logs, the
     result of `parse_requests` with `histogram=last_write_request_histogram`.
     """
+    if sketched:
+        if histogram is not feature_histogram:
+            raise ValueError("sketched counts go with feature_histogram only")
+        return number_features(frequent_sketched(impressions, threshold))
     return number_features(frequent(histogram(impressions), threshold))
 
 
