@@ -360,6 +360,9 @@ SELECT dim AS idx, {rounded('sum(r)', 4)} AS g FROM feat JOIN res USING (req, se
     return {
         "impressions": impressions,
         "imp_parse": impressions,
+        "imp_parse_offsets": f"SELECT * EXCLUDE (req), count(*) AS n FROM ({impressions}) GROUP BY ALL",
+        "imp_parse_partitions": f"""SELECT * EXCLUDE (req), count(*) AS n, CAST(12 AS BIGINT) AS n_tasks
+FROM ({impressions}) GROUP BY ALL""",
         "segment_combine": f"""WITH {IMP}
 SELECT req, seg, "show", click, concat_ws(' ', f1, f2, f3, c1, c2) AS fids FROM imp""",
         "feature_hist": hist,

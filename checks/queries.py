@@ -38,7 +38,13 @@ from clicktide.session import cached, ensure_checkpoint_dir
 from clicktide.sources import sinks
 from clicktide.sources.blockstore import BlockStore, write_store
 from clicktide.sources.dictionary import last_wins, parse_dictionary
-from clicktide.sources.impressions import explode_slots, parse_impressions, parse_requests
+from clicktide.sources.impressions import (
+    explode_slots,
+    parse_impressions,
+    parse_requests,
+    read_impressions,
+    read_lines,
+)
 from clicktide.sources.libsvm import parse_examples
 
 
@@ -66,6 +72,27 @@ def q_imp_parse(spark, sf):
     return _show_impressions(explode_slots(parse_requests(log_lines(impressions(spark, sf)))))
 
 
+def q_imp_parse_offsets(spark, sf):
+    """A log of files read in small and in large ranges: requests keep their numbers."""
+    place = _new_place(spark)
+    log_lines(impressions(spark, sf)).select("value").write.text(place)
+    small, large = (read_impressions(spark, place, by_offset=True, split_bytes=n) for n in (60_001, 1 << 27))
+    columns = small.columns
+    both = small.join(large.withColumnsRenamed({c: f"{c}_2" for c in columns}), [F.col(c).eqNullSafe(F.col(f"{c}_2")) for c in columns])
+    shown = _show_impressions(both.select(columns)).drop("req")
+    return shown.groupBy(*shown.columns).agg(F.count("*").alias("n"))
+
+
+def q_imp_parse_partitions(spark, sf):
+    """A log read with a hint for the number of tasks."""
+    place = _new_place(spark)
+    log_lines(impressions(spark, sf)).select("value").coalesce(1).write.text(place)
+    shown = _show_impressions(read_impressions(spark, place, min_partitions=12)).drop("req")
+    tasks = F.spark_partition_id().alias("_task")
+    seen = read_lines(spark, place, 12).select(tasks).distinct().count()
+    return shown.groupBy(*shown.columns).agg(F.count("*").alias("n")).withColumn("n_tasks", F.lit(seen).cast("bigint"))
+
+
 def q_segment_combine(spark, sf):
     rows = combine_segments(impressions(spark, sf))
     return rows.select("req", "seg", "show", "click", _text("fids").alias("fids"))

@@ -52,11 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and return it with its lineage cut.
 
-    Needed where later steps must see exactly the rows and partitions of one execution, and
-    where an iteration would otherwise grow its plan every round. Survives executor loss.
+    Needed where later steps must see exactly the rows of one execution, and where an iteration would
+    otherwise grow its plan every round. Compressed and read by column; survives executor loss. The
+    file goes with the folder, or is dropped by whoever uses `Written` instead.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return Written(df).rows
 
 
 class Written:
