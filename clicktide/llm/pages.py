@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
@@ -15,13 +15,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clicktide.llm.storage import stored
 
 # An element is a site's template if it recurs on at least so many different pages of the host, and
-# on the root of their number, and if either so large a share of what stands at its place in pages
-# recurs, or it is on so large a share of the host's pages (in an article or main element, elsewhere).
+# on the root of their number, and if it is on so large a share of the host's pages (in an article or
+# main element, elsewhere). Outside these, it also is if so large a share (SHARE) of what stands at its
+# place in pages recurs.
 LEAST_PAGES = 5
 SHARE = 0.5
 ELSEWHERE = 0.1
+# Lines that articles have in common (ingredients, openings) are no templates: in an article or main
+# element, one has so many words, or is on so large a share of the host's pages.
+LONG_WORDS = 8
+EVERYWHERE = 0.9
+# Templates (host and hash) that travel to every task, 8 bytes each; more come by a join.
+MOST_SENT = 2_000_000
 # Hashes are cut to positive 64-bit numbers.
 HASH = (1 << 63) - 1
+# Bits of the hash of a place that are flags.
+OUTSIDE, LONG = 1 << 62, 1 << 61
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,38 +62,50 @@ FURNITURE = frozenset(
 )
 # Outside the article, these do too.
 HEADS = frozenset(["header"])
-# Words beside one of them in a compound name of furniture, and words that make a name one of
-# something else (content-sidebar, has-comments).
+# Words beside them in a compound name of furniture. Any other word makes it a name of something else
+# (wine-menu, job-alert, has-comments).
 NEUTRAL = frozenset(
-    "area bar block box btn button buttons container count form group holder icon icons inner item items left "
-    "link links list primary right secondary section site title top bottom widgets wrap wrapper zone".split()
+    "area article bar block blog box btn button buttons container count desktop entry footer form global group header "
+    "holder icon icons inline inner item items left link links list main mobile page post primary right secondary "
+    "section site sticky title top bottom user widgets wrap wrapper zone".split()
+)
+# Comments of readers and adverts are not the page's text, however long they are.
+NEVER = frozenset(
+    "comment comments respond replies reply disqus ad ads advert adverts advertisement advertising sponsored".split()
 )
-OTHERS = frozenset("with has have no not non without hide hidden content layout text".split())
-# Not furniture, but `test_blocks` states that a div of this class is dropped.
-PINNED = frozenset(["ad-free"])
 MAIN = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+# A quote opens a value directly behind the equals sign only. Nothing here is tried twice.
+_INSIDE = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|noembed|noframes|xmp|template)\b"""
-    r"""(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
+    rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|noembed|noframes|xmp|template)\b"""
+    rf"""{_INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})>|<[!?][^>]*>""",
     re.S | re.I,
 )
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
 @lru_cache(100_000)
 def marks(name: str, furniture: frozenset[str]) -> bool:
-    """Whether a class, id or role is one of `furniture`, or a compound that ends in one or has only neutral words beside one."""
-    if name in furniture or name in PINNED:
+    """Whether a class, id or role is one of `furniture`, or a compound of these and neutral words."""
+    if name in furniture:
         return True
     words = _WORD.findall(name)
-    if len(words) < 2 or not furniture.intersection(words) or OTHERS.intersection(words):
+    if len(words) < 2 or not furniture.intersection(words):
         return False
-    return words[-1] in furniture or all(w in furniture or w in NEUTRAL or w.isdigit() for w in words)
+    return all(w in furniture or w in NEUTRAL or w.isdigit() for w in words)
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by name in lower case; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        value = "".join(values)
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return found
 
 
 @dataclass
@@ -97,6 +118,7 @@ class Element:
     parts: list[str] = field(default_factory=list)
     hard: bool = False  # dropped by kind, or hidden
     number: int = 0  # of its start tag, if dropped by class alone
+    never: bool = False  # by a name of NEVER
     digest: int = 0
     place: int = 0  # hash of the names and classes from the root to it
 
@@ -107,25 +129,45 @@ class Page:
     kept: list[bool]  # not in dropped elements
     in_main: list[bool]
     elements: list[Element]
+    soft: list[bool] = field(default_factory=list)  # dropped by a class alone
+    linked: list[int] = field(default_factory=list)  # words in links
     around: set[int] = field(default_factory=set)  # elements dropped by class that are or have an article or main element
 
 
 def parse(html: str) -> Page:
     """Blocks of text in page order, and the elements with the range of blocks and hash of each.
 
-    No class drops an article or main element, or one around it, unless the page has text in another article.
+    A class does not drop an article or main element, or one around it, unless the page has text in
+    another article; nor an element that holds most of the page's words outside links, unless there is
+    other text and it is outside the article that holds this, or named as comments or an advert.
     """
-    page = read(html, frozenset())
-    if page.around and not any(e.name == "article" and any(page.kept[e.first : e.last]) for e in page.elements):
-        page = read(html, frozenset(page.around))
-    return page
+    spared: frozenset[int] = frozenset()
+    while True:
+        page = read(html, spared)
+        more = set()
+        if page.around and not any(e.name == "article" and any(page.kept[e.first : e.last]) for e in page.elements):
+            more |= page.around
+        if any(page.soft):
+            sizes = [
+                max(0, words(page, [i]) - page.linked[i]) if page.kept[i] or page.soft[i] else 0
+                for i in range(len(page.blocks))
+            ]
+            total, left = sum(sizes), any(page.kept)
+            in_main = any(k and m for k, m in zip(page.kept, page.in_main))
+            for e in page.elements:
+                sure = e.never and left or in_main and not e.main
+                if e.number and not sure and 2 * sum(sizes[e.first : e.last]) > total:
+                    more.add(e.number)
+        if more <= spared:
+            return page
+        spared |= more
 
 
 def read(html: str, spared: frozenset[int]) -> Page:
     """As `parse`; start tags with a number in `spared` are not dropped by class."""
     page = Page([], [], [], [])
     root = Element("", False, False, 0)
-    stack, text = [root], []
+    stack, text, links = [root], [], []
 
     def flush() -> None:
         if text:
@@ -135,7 +177,10 @@ def read(html: str, spared: frozenset[int]) -> Page:
                 page.blocks.append(block)
                 page.kept.append(not stack[-1].dropped)
                 page.in_main.append(stack[-1].main)
+                page.soft.append(stack[-1].dropped and not stack[-1].hard)
+                page.linked.append(sum(len(t.split()) for t in links))
                 stack[-1].parts.append(block)
+            links.clear()
 
     def close() -> None:
         if stack[-1].name in BLOCKS:
@@ -160,6 +205,8 @@ def read(html: str, spared: frozenset[int]) -> Page:
         if token.start() > at:
             piece = html[at : token.start()]
             text.append(unescape(piece) if "&" in piece else piece)
+            if any(e.name == "a" for e in stack[-4:]):
+                links.append(text[-1])
         at = token.end()
         name = token.group(3)
         if not name:
@@ -184,22 +231,22 @@ def read(html: str, spared: frozenset[int]) -> Page:
             if name in ENDS and name != "p":
                 end(ENDS[name], LISTS)
         attributes = token.group(4)
+        known = attributes_of(attributes) if attributes and not attributes.isspace() else {}
         # Below an element that is dropped by class, one may still be so for another reason.
         hard = stack[-1].hard or name in DROPPED or name == "header" and not stack[-1].main
-        if not hard and attributes and _HIDDEN.search(attributes):
+        if not hard and ("hidden" in known or _NO_DISPLAY.search(known.get("style", ""))):
             hard = True
-        number = 0
-        if not hard and "=" in attributes and token.start() + 1 not in spared and name not in ("html", "body"):
-            names = {w for m in _MARKS.findall(attributes) for x in m for w in x.lower().split()}
+        number, never = 0, False
+        if not hard and known and token.start() + 1 not in spared and name not in ("html", "body"):
+            names = {w for a in ("class", "id", "role") for w in known.get(a, "").lower().split()}
             if any(marks(w, FURNITURE) or not stack[-1].main and marks(w, HEADS) for w in names):
-                number = token.start() + 1
+                number, never = token.start() + 1, any(marks(w, NEVER) for w in names)
         dropped = stack[-1].dropped or hard or number > 0
         if name in BLOCKS or dropped != stack[-1].dropped or name in MAIN:
             flush()
         element = Element(name, dropped, stack[-1].main or (name in MAIN and not dropped), len(page.blocks))
-        classes = _CLASS.search(attributes) if attributes else None
-        element.place = xxhash.xxh64_intdigest(f"{stack[-1].place:x} {name} {classes[1] if classes else ''}")
-        element.hard, element.number = hard, number
+        element.place = xxhash.xxh64_intdigest(f"{stack[-1].place:x} {name} {known.get('class', '')}")
+        element.hard, element.number, element.never = hard, number, never
         stack.append(element)
         if name in MAIN and dropped and not hard:
             page.around.update(e.number for e in stack if e.number)
@@ -213,11 +260,17 @@ def read(html: str, spared: frozenset[int]) -> Page:
     return page
 
 
+def place_of(e: Element, long: bool) -> int:
+    """Hash of an element's place, below OUTSIDE in an article or main element, with LONG set if its text is."""
+    return (0 if e.main else OUTSIDE) | (LONG if long else 0) | e.place & (LONG - 1)
+
+
 def furniture(page: Page) -> tuple[int, list[tuple[int, int, int]]]:
     """Hash of the page's kept blocks, and `(hash, context, place)` of the elements that may be a site's template.
 
     The context is the hash of all blocks that are kept outside the element: copies of a page give
-    one context only, so that an article is not taken for a template because it was copied. Places in an article or main element are odd.
+    one context only, so that an article is not taken for a template because it was copied. Of
+    several places of one element, the least is one in an article or main element if there is any.
     """
     # Sums over the blocks before each, so that any range and its outside are one difference.
     sums, counts = [0], [0]
@@ -230,7 +283,8 @@ def furniture(page: Page) -> tuple[int, list[tuple[int, int, int]]]:
             continue
         if counts[e.last] - counts[e.first] < counts[-1]:
             outside = sums[-1] - sums[e.last] + sums[e.first]
-            found.append((e.digest, outside & HASH, (e.place & HASH) >> 1 << 1 | e.main))
+            long = words(page, range(e.first, e.last)) >= LONG_WORDS
+            found.append((e.digest, outside & HASH, place_of(e, long)))
     return sums[-1] & HASH, found
 
 
@@ -262,7 +316,7 @@ def main_text(page: Page, templates: frozenset[int]) -> str:
     return "\n".join(page.blocks[i] for i in left)
 
 
-def words(page: Page, blocks: list[int]) -> int:
+def words(page: Page, blocks: Iterable[int]) -> int:
     """Words of the blocks; eight characters are at least one, for scripts without spaces."""
     return sum(max(len(b.split()), len(b) // 8) for b in (page.blocks[i] for i in blocks))
 
@@ -302,39 +356,55 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
     often = counts.filter(recurs & (F.col("digest") != 0)).join(totals, F.col("host") == F.col("_host"))
     often = often.filter(F.col("n") >= F.sqrt("total"))
     often = often.join(at_place.filter("_recurring > 0"), (F.col("host") == F.col("_at")) & (F.col("place") == F.col("_place")))
-    least_share = F.when(F.col("place") % 2 == 1, share).otherwise(min(share, ELSEWHERE))
-    fixed_place = F.col("_recurring") >= share * F.col("_all")
+    inside = F.col("place") < OUTSIDE
+    short = inside & (F.col("place").bitwiseAND(F.lit(LONG)) == 0)
+    least_share = F.when(short, EVERYWHERE).when(inside, share).otherwise(min(share, ELSEWHERE))
+    fixed_place = ~inside & (F.col("_recurring") >= share * F.col("_all"))
     often = often.filter(fixed_place | (F.col("n") >= least_share * F.col("total")))
     return often.groupBy("host").agg(F.collect_set("digest").alias("hashes"))
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extract(
+    pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, most_sent: int = MOST_SENT
+) -> DataFrame:
     """`pages` (url, html, ..) with `text`, without `html`.
 
     First the hashes of all element subtrees are counted per host; then each page is parsed again
     and loses the subtrees that recur beside different content, besides elements whose kind or
     class says that they are no content. Of a host with N different pages, each such subtree recurs on
     sqrt(N) at least, so there are sqrt(N) times as many of them as of elements on a page at most;
-    they come to the pages in a join, which is a broadcast if the stored table of them is small.
+    they are sent to every task if there are at most `most_sent`, and else joined to the pages.
 
     Null and empty html give an empty text, a null url has no host and no template. Repeated
     pages count once for templates. An empty table gives an empty table. Columns `text`, `_host` and
     `_hashes` of `pages` are replaced.
     """
     known = stored(templates(pages, least_pages, share)).select(F.col("host").alias("_site"), F.col("hashes").alias("_hashes"))
-    plain = pages.drop("text", "_host", "_hashes", "_site").withColumn("_host", host(F.col("url")))
-    rows = plain.join(known, F.col("_host") == F.col("_site"), "left").drop("_host", "_site")
-    keep = [f for f in rows.schema.fields if f.name.lower() not in ("html", "_hashes")]
+    rows = pages.drop("text", "_host", "_hashes", "_site").withColumn("_host", host(F.col("url")))
+    sent = None
+    if (known.agg(F.sum(F.size("_hashes"))).first()[0] or 0) <= most_sent:
+        sent = rows.sparkSession.sparkContext.broadcast({r[0]: frozenset(r[1]) for r in known.collect()})
+        rows = rows.withColumn("_hashes", F.lit(None).cast("array<bigint>"))
+    else:
+        rows = rows.join(known, F.col("_host") == F.col("_site"), "left").drop("_site")
+    keep = [f for f in rows.schema.fields if f.name.lower() not in ("html", "_hashes", "_host")]
     at = [rows.columns.index(f.name) for f in keep]
-    at_html, at_hashes = rows.columns.index("html"), rows.columns.index("_hashes")
+    at_html, at_hashes, at_host = (rows.columns.index(c) for c in ("html", "_hashes", "_host"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, none = (None, frozenset()), frozenset()
         for batch in batches:
-            hashes = batch.column(at_hashes)
-            texts = [
-                main_text(parse(html.as_py() or ""), frozenset(hashes[i].as_py() or ()))
-                for i, html in enumerate(batch.column(at_html))
-            ]
+            hashes, sites = batch.column(at_hashes), batch.column(at_host).to_pylist()
+            texts = []
+            for i, html in enumerate(batch.column(at_html)):
+                if sent is not None:
+                    gone = sent.value.get(sites[i], none)
+                else:
+                    # One set for the pages of a host that come together.
+                    if last[0] != sites[i]:
+                        last = (sites[i], frozenset(hashes[i].as_py() or ()))
+                    gone = last[1]
+                texts.append(main_text(parse(html.as_py() or ""), gone))
             columns = [*(batch.column(i) for i in at), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in keep), "text"])
 

@@ -30,7 +30,7 @@ def test_given_pages(spark, small):
         ("<header>h</header><article><header><h1>t</h1></header><p>b</p></article><p>out</p>", "t\nb"),
         ("<article><p>a</p><div class='comments'><article>c</article></div></article>", "a"),
         ("<article><p>a &lt;b&gt;</p><script>if (a<b) '<p>x</p>'</script><style>p{}</style></article>", "a <b>"),
-        ("<div class=\"post ad-free\"><p>a</p></div>", ""),
+        ("<div class=\"post ad-free\"><p>a</p></div>", "a"),
         ("<div role=navigation>x</div><div hidden>y</div><div style='display: none'>z</div>w", "w"),
         ("<b>bold<p>next</b> more", "bold\nnext more"),
         ("<!-- <p>no</p> --><p>yes", "yes"),
@@ -141,3 +141,106 @@ def test_text_outside_the_article(html, text):
 def test_promo_card_as_article_is_no_main_text(spark):
     card = "<article><p>Join our club of readers today</p></article>"
     assert site(spark, [f"{card}<div>Story {i}</div>" for i in range(12)]) == [f"Story {i}" for i in range(12)]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p title=\"A hidden gem\">Body text</p><p class=\"lead hidden md\">more</p>", "Body text\nmore"),
+        ("<p data-x=hidden>a</p><p hidden>b</p><p HIDDEN=until-found>c</p><p style=display:none>d</p>", "a"),
+        ("<p><a title=it's>link text</a> more</p><p>don't</p>", "link text more\ndon't"),
+        ("<p title = \"a > b\" alt='it\"s >'>q</p><p title=\"open>r", "q\nr"),
+        ("<p a=1 b='2' c=\"3\" d e='\"' f=\"'\">x</p>", "x"),
+    ],
+)
+def test_attributes(html, text):
+    assert pages.main_text(pages.parse(html), frozenset()) == text
+
+
+def test_broken_attributes_take_no_time():
+    html = "<p " + "a='x' " * 3000 + "\"" * 3000
+    assert pages.parse(html).blocks
+    assert pages.attributes_of(" a=1 A=2 b = 'x y' c d=\"&amp;\" e=f=g ") == {"a": "1", "b": "x y", "c": "", "d": "&", "e": "f=g"}
+
+
+@pytest.mark.parametrize("name", ["wine-menu", "bar-chart-widget", "product-search", "job-alert", "community-notice", "free-software-social"])
+def test_names_of_other_things_drop_nothing(name):
+    html = f"<main><div class='{name}'><p>All of the text</p></div></main><div class='{name}'>and this</div>"
+    assert "All of the text" in pages.main_text(pages.parse(html), frozenset())
+    assert pages.main_text(pages.parse(f"<div class='{name}'>and this</div>"), frozenset()) == "and this"
+
+
+def test_no_name_drops_most_of_a_page():
+    body = "<div class='widget'><p>" + "many words of a story " * 20 + "</p></div>"
+    assert pages.main_text(pages.parse(f"<p>Intro</p>{body}"), frozenset()).count("story") == 20
+    # A menu of links stays furniture, and so do comments that are longer than the text.
+    menu = "<div class='navigation'>" + "<a href=x>far too many links</a> " * 30 + "</div>"
+    assert pages.main_text(pages.parse(f"<p>A short text here</p>{menu}"), frozenset()) == "A short text here"
+    comments = "<div id=comments>" + "<p>what a reader thinks of it</p>" * 30 + "</div>"
+    assert pages.main_text(pages.parse(f"<article><p>Short text</p>{comments}</article>"), frozenset()) == "Short text"
+    nested = f"<div class='promo'><div class='sidebar'><p>{'deep words ' * 30}</p></div></div><p>x</p>"
+    assert pages.main_text(pages.parse(nested), frozenset()).startswith("deep words")
+
+
+def test_recipes_keep_their_ingredients(spark):
+    things = ["1 tsp salt", "1 cup flour", "2 eggs", "butter", "milk", "sugar"]
+    lists = [[things[(i + k) % 6] for k in range(3)] for i in range(40)]
+    news = "<div class=x><p>Get our letter with new recipes every week in your inbox</p></div>"
+    bodies = [
+        f"<article><h1>Dish {i}</h1><ul>{''.join(f'<li>{x}</li>' for x in own)}</ul><p>Mix {i} times.</p>{news}</article>"
+        for i, own in enumerate(lists)
+    ]
+    texts = site(spark, bodies)
+    assert texts == ["\n".join([f"Dish {i}", *own, f"Mix {i} times."]) for i, own in enumerate(lists)]
+
+
+def brute(rows, least=pages.LEAST_PAGES):
+    """Template removal of small hosts: pairwise comparison of pages and elements, no hashes counted."""
+    hosts = {}
+    for url, html in rows:
+        hosts.setdefault(re.sub(r"^.*?//([^/]*).*$", r"\1", url).lower(), []).append(pages.parse(html))
+    gone = {}
+    for name, parsed in hosts.items():
+        def kept(p, skip=None):
+            return tuple(b for i, b in enumerate(p.blocks) if p.kept[i] and not (skip and skip.first <= i < skip.last))
+        seen, places = {}, {}
+        for p in parsed:
+            for e in p.elements:
+                if not e.dropped and e.name in pages.BLOCKS - {"html", "body"} and e.last > e.first and kept(p, e):
+                    seen.setdefault(e.digest, set()).add(tuple(sorted(kept(p, e))))
+                    long = pages.words(p, range(e.first, e.last)) >= pages.LONG_WORDS
+                    place = (not e.main, long, e.place % pages.LONG)
+                    places[e.digest] = min(places.get(e.digest, place), place)
+        total = len({tuple(sorted(kept(p))) for p in parsed})
+        gone[name] = set()
+        for digest, contexts in seen.items():
+            outside, long, _ = places[digest]
+            there = [len(seen[d]) for d in seen if places[d] == places[digest]]
+            again = sum(n for n in there if n >= least)
+            share = pages.ELSEWHERE if outside else pages.SHARE if long else pages.EVERYWHERE
+            n = len(contexts)
+            if n >= least and n * n >= total and (outside and 2 * again >= sum(there) or n >= share * total):
+                gone[name].add(digest)
+    return gone
+
+
+def test_templates_equal_a_count_by_hand(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for h in range(4):
+        lines = [f"<p>Line {k} of host {h}{' with many more words than others have' * (k % 2)}</p>" for k in range(6)]
+        for i in range(rng.randint(6, 30)):
+            parts = [x for x in lines if rng.random() < 0.4] + [f"<p>Own text {i}</p>"]
+            rng.shuffle(parts)
+            inner = "".join(parts)
+            html = f"<div class=c{rng.randint(0, 1)}>{inner}</div>" if rng.random() < 0.5 else f"<article>{inner}</article>"
+            rows.append((f"http://H{h}.org/{i}", html))
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {r.host: set(r.hashes) for r in pages.templates(df).collect()}
+    expected = {k: v for k, v in brute(rows).items() if v}
+    assert got == expected and expected
+    a, b = (sorted(map(repr, pages.extract(df, most_sent=n).collect())) for n in (0, 10**6))
+    assert a == b
