@@ -15,18 +15,23 @@ from clicktide.llm.storage import stored
 COSINE = 0.93
 # Different vectors of a label that one cell shall hold.
 CELL_ROWS = 4096
-MOST_CELLS = 1024
+MOST_CELLS = 4096
 # Centres are fitted on at most so many vectors, chosen by hash.
 FIT_ROWS = 20_000
 FIT_ROUNDS = 8
 BLOCK_ROWS = 256
+# Entries of the largest table of vectors by centres that is made at once: 16 MB.
+TABLE_ENTRIES = 1 << 21
+# Rows that `assigned` hands on at once.
+OUT_ROWS = 2048
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS, seed: int = 1) -> np.ndarray:
     """`k` unit centres of the unit vectors `x`; an empty cell keeps its centre."""
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
+    step = max(1, TABLE_ENTRIES // k)
     for _ in range(rounds):
-        home = (x @ centres.T).argmax(axis=1)
+        home = np.concatenate([(x[i : i + step] @ centres.T).argmax(axis=1) for i in range(0, len(x), step)])
         order = np.argsort(home, kind="stable")
         cells, first = np.unique(home[order], return_index=True)
         sums = np.add.reduceat(x[order], first, axis=0)
@@ -82,31 +87,39 @@ def assigned(reps: DataFrame, centres: np.ndarray | None, cosine: float = COSINE
     names = reps.columns
     at = names.index("embedding")
 
+    step = max(1, TABLE_ENTRIES // len(centres)) if centres is not None else 1
+
+    def cells_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether it is the row's home) of unit vectors."""
+        near = x @ centres.T
+        best = near.argmax(axis=1)
+        # Distances of unit centres, from above.
+        width = np.sqrt(np.maximum(0, 2 - 2 * (centres[best] @ centres.T))) + 1e-7
+        gap = near[np.arange(len(x)), best][:, None] - near
+        i, c = np.nonzero((gap <= reach * width) | (np.arange(len(centres)) == best[:, None]))
+        return i, c, c == best[i]
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if centres is not None:
-            width = np.linalg.norm(centres[:, None] - centres[None], axis=2)
         for batch in batches:
             column = batch.column(at)
             n = len(column)
-            row, cell = np.arange(n), np.zeros(n, np.int64)
-            home = np.ones(n, bool)
             fits = np.zeros(n, bool)
             if centres is not None and n:
-                sizes = np.diff(np.asarray(column.offsets))
-                fits = sizes == centres.shape[1]
-            if fits.any():
-                own = np.flatnonzero(fits)
-                near = _vectors(column.take(pa.array(own))) @ centres.T
-                best = near.argmax(axis=1)
-                gap = near[np.arange(len(own)), best][:, None] - near
-                i, c = np.nonzero(gap <= reach * width[best])
-                rest = np.flatnonzero(~fits)
-                row = np.concatenate([rest, own[i]])
-                cell = np.concatenate([np.zeros(len(rest), np.int64), c])
-                home = np.concatenate([np.ones(len(rest), bool), c == best[i]])
-            taken = batch.take(pa.array(row))
+                fits = np.diff(np.asarray(column.offsets)) == centres.shape[1]
+            rest, own = np.flatnonzero(~fits), np.flatnonzero(fits)
+            yield from entered(batch, rest, np.zeros(len(rest), np.int64), np.ones(len(rest), bool))
+            for start in range(0, len(own), step):
+                some = own[start : start + step]
+                i, c, home = cells_of(_vectors(column.take(pa.array(some))))
+                yield from entered(batch, some[i], c, home)
+
+    def entered(batch: pa.RecordBatch, row, cell, home) -> Iterator[pa.RecordBatch]:
+        # A vector may enter many cells, so its copies leave in small batches.
+        for start in range(0, len(row), OUT_ROWS):
+            part = slice(start, start + OUT_ROWS)
+            columns = batch.take(pa.array(row[part])).columns
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(cell), pa.array(home)], [*names, "cell", "home"]
+                [*columns, pa.array(cell[part]), pa.array(home[part])], [*names, "cell", "home"]
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema)

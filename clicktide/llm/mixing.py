@@ -13,6 +13,9 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 SEED = 42
 
+# Columns that `mix` adds.
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
 WORD = r"[^\x20\x09-\x0D]+"
 # The random offset has so many binary digits, so that adding it to a whole number is exact.
 OFFSET_DIGITS = 3
@@ -85,38 +88,44 @@ def mix(
     reruns agree. Null texts and texts without a word have size 0 and add nothing. A null source
     is a source. Rows that repeat are documents of their own; rows of equal source, size and
     doc_id share out their copies in any order. An empty table gives an empty table. `docs` may
-    have more columns, which are kept; the five added names must not be among them.
+    have more columns, which are kept; those named like an added one are replaced.
     """
-    return share_out(docs.withColumn("size", n_words(F.col("text"))), weights, max_copies, seed)
+    shared = share_out(docs.withColumn("_size", n_words(F.col("text"))), weights, max_copies, seed)
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    return shared.select(*keep, *(F.col(f"_{c}").alias(c) for c in ADDED))
 
 
 def share_out(sized: DataFrame, weights, max_copies, seed) -> DataFrame:
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
+    """`sized` (doc_id, source, _size, ..) with `_source_size, _target, _copies, _taken`."""
+    order = [F.col("source").asc_nulls_last(), F.col("_size"), F.col("doc_id")]
     ranked = numbered(sized, order, "_n")
     firsts = ranked.groupBy("source").agg(F.min("_n").alias("_first"))
-    targets = source_targets(ranked.select("source", "size"), weights, max_copies)
+    targets = source_targets(ranked.select("source", F.col("_size").alias("size")), weights, max_copies)
     t, f = targets.alias("t"), firsts.alias("f")
     bounds = t.join(f, F.col("t.source").eqNullSafe(F.col("f.source"))).select(
-        F.col("t.source").alias("_source"), "source_size", "target", "_first"
+        F.col("t.source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_first"
     )
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")))
     digits = F.conv(F.substring(F.md5(named), 1, OFFSET_DIGITS), 16, 10).cast("double")
     offset = digits / F.lit(float(16**OFFSET_DIGITS))
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    expected = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     rank = (F.col("_n") - F.col("_first")).cast("double")
     crossed = F.floor(expected * (rank + 1) + offset) - F.floor(expected * rank + offset)
     return (
         ranked.join(bounds, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("copies", crossed.cast("long"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
+        .withColumn("_copies", crossed.cast("long"))
+        .withColumn("_taken", F.col("_copies") * F.col("_size"))
         .drop("_n", "_first", "_source")
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of `docs`, each as often as `mix` takes it."""
-    rows = mix(docs, **options).filter(F.col("copies") > 0)
-    repeat = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+def mixed(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED
+) -> DataFrame:
+    """The mix itself: rows of `docs` with all their columns, each as often as `mix` takes it."""
+    sized = docs.withColumn("_size", n_words(F.col("text")))
+    rows = share_out(sized, weights, max_copies, seed).filter(F.col("_copies") > 0)
+    repeat = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
     return rows.select(*docs.columns, repeat).drop("_copy")
 
 
@@ -167,6 +176,6 @@ OP9_SQL = MIX_SQL.format(docs="documents") + (
 
 def op9_mix(spark, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"))
     rows = share_out(sized, WEIGHTS, MAX_COPIES, SEED)
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return rows.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken", "copies")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -17,13 +18,15 @@ from clicktide.llm.text import LOWER, WHITE, Slice, slices
 CAPACITY = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
+# Ids that a window may lack of being full; they are padded.
+SLACK = 16
 # Bounds of the two tables of known words in each Python worker.
 CACHED_WORDS = 1 << 19
 CACHED_BYTES = 32
 # New words that are encoded as one text.
 JOINED = 1000
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[str, "WordEncoder | TextEncoder"] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -61,8 +64,49 @@ def separated(part: Slice) -> tuple[bytes, np.ndarray]:
     return raw.tobytes(), words[np.concatenate([[0], ends])]
 
 
+# Steps of a tokenizer before its model under which words can be encoded one by one. They
+# lower-case, keep letters, single digits and other marks apart, and drop white space.
+BY_WORD = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def encodes_by_word(config: dict) -> bool:
+    """Whether a tokenizer gives a text the ids of its words, as `separated` cuts them."""
+    steps = (config.get("normalizer") or {}).get("normalizers")
+    cut, *others = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = cut.get("type") == "Split" and (cut.get("behavior"), cut.get("invert")) == ("Removed", True)
+    plain = [(o.get("type"), o.get("add_prefix_space"), o.get("use_regex")) for o in others] == [("ByteLevel", False, False)]
+    model = config.get("model") or {}
+    return (
+        steps == BY_WORD["normalizer"] and split and cut["pattern"] == {"Regex": BY_WORD["pattern"]} and plain
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and all(not t["normalized"] and t["content"].startswith("<|") for t in config.get("added_tokens") or [])
+    )
+
+
+class TextEncoder:
+    """Ids of whole texts, for any tokenizer."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+
+    def of_slice(self, part: Slice) -> Iterator[bytes]:
+        for a, b in zip(part.bounds, part.bounds[1:]):
+            text = part.raw[a:b].tobytes().decode("utf-8", "replace")
+            (found,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            yield np.array(found.ids, "<u4").tobytes()
+
+    def rest(self) -> None:
+        """Nothing is remembered."""
+
+
 class WordEncoder:
-    """Ids of texts for a tokenizer that drops white space: words are encoded once and remembered.
+    """Ids of texts for a tokenizer that `encodes_by_word`: words are encoded once and remembered.
 
     Such a tokenizer never joins characters across white space, so that the ids of a text are
     those of its words, one after the other.
@@ -119,14 +163,20 @@ class WordEncoder:
         for a, b in zip(at, at[1:]):
             yield b"".join(found[a:b])
 
+    def of_slice(self, part: Slice) -> Iterator[bytes]:
+        return self.ids(*separated(part))
+
     def rest(self) -> None:
         """Leaves the memory of the older table to what the worker does next."""
         self._older = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """The encoder of a tokenizer file: by word where that gives the same ids, else by text."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        with open(path, encoding="utf-8") as lines:
+            by_word = encodes_by_word(json.load(lines))
+        _encoders[path] = WordEncoder(path) if by_word else TextEncoder(path)
     return _encoders[path]
 
 
@@ -150,7 +200,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for batch in batches:
             docs_at, starts, lengths, crcs, totals, parts = [], [], [], [], [], []
             for part in slices(batch.column(at_text)):
-                for i, ids in enumerate(encode.ids(*separated(part))):
+                for i, ids in enumerate(encode.of_slice(part)):
                     view = memoryview(ids + end)
                     total = len(view) // 4
                     for start in range(0, total, capacity):
@@ -220,14 +270,14 @@ class Plan:
     total: dict[int, int]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, slack: int = SLACK) -> Plan:
     """Minimum bin slack over a histogram of lengths up to `capacity`.
 
     Each window starts with the longest length left and is filled by `fill`. The choice is used
     for as many windows as the counts allow, so that the work depends on the number of lengths
-    and not on the number of pieces. A window that cannot be filled exactly is not padded: some
-    pieces of its longest length are cut into powers of two, which fill other windows or, at
-    last, make sequences of their own, which need no padding either.
+    and not on the number of pieces. A window that lacks up to `slack` ids of being full is padded. If
+    it lacks more, some pieces of its longest length are cut into powers of two, which fill other
+    windows or, at last, make sequences of their own, which need no padding.
     """
     left = {k: v for k, v in histogram.items() if v}
     whole, total = dict(left), dict(left)
@@ -238,8 +288,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         left[longest] -= 1
         others = fill(left, capacity - longest)
         left[longest] += 1
-        exact = longest + sum(k * n for k, n in others) == capacity
-        if not exact and longest & (longest - 1):
+        close = longest + sum(k * n for k, n in others) >= capacity - slack
+        if not close and longest & (longest - 1):
             n = -(-left[longest] // 8)
             # Cut pieces are the last of their length; all ranks before them stay free.
             whole[longest] -= n
@@ -251,7 +301,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
                 total[size] = total.get(size, 0) + n
             continue
         used: dict[int, int] = {longest: 1}
-        for k, n in others if exact else ():
+        for k, n in others if close else ():
             used[k] = used.get(k, 0) + n
         times = min(left[k] // n for k, n in used.items())
         offset = 0
@@ -314,8 +364,9 @@ def pack(
 
     A document's ids, followed by `end_id`, are cut at multiples of `capacity`; the rests are packed
     by `plan`, which sees only how many there are of each length (at most `capacity` rows). A
-    sequence's pieces lie side by side from 0. Sequences that are not full have a power of two
-    of ids. `capacity` must be a power of two.
+    sequence's pieces lie side by side from 0. Sequences have a power of two of ids, or lack at most
+    SLACK of being full. `capacity` must be a power of two. `path` names any tokenizer file; those that
+    `encodes_by_word` run faster, others encode text by text.
 
     Null and empty texts have the end id alone. Rows may repeat, and doc_id may be null or repeat:
     each row is packed for itself. An empty table gives an empty table. Columns other than doc_id

@@ -190,8 +190,8 @@ def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
     These are the leaves of the document's tree, to be stored with its text. Null and empty texts
     have none. One narrow pass; columns of these names are replaced.
     """
-    keep = [f for f in docs.schema.fields if f.name.lower() not in ("lengths", "tokens")]
-    at = [docs.columns.index(f.name) for f in keep]
+    at = [i for i, c in enumerate(docs.columns) if c.lower() not in ("lengths", "tokens")]
+    keep = [docs.schema.fields[i] for i in at]
     at_text = docs.columns.index("text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +220,16 @@ def apply_edits(trees: DataFrame, path: str | None = None) -> DataFrame:
     before it left it; null means none. To apply a table of edits, collect it by doc_id and join
     it to the stored trees. Texts, lengths and tokens are the new ones, ready to be stored again.
     `n_reencoded` counts the pre-tokens that were encoded anew, whatever the text's length.
+
+    Null and empty texts are edited as empty ones; edits beyond the end are cut to it. Each row is
+    edited for itself, so rows may repeat. An empty table gives an empty table. Columns named like an
+    added one are replaced, others pass through.
     """
     names = trees.columns
     at = {c: names.index(c) for c in ("text", "lengths", "tokens", "edits")}
-    keep = [f for f in trees.schema.fields if f.name not in at]
-    kept_at = [names.index(f.name) for f in keep]
+    added = {"n_tokens_before", "n_tokens", "n_edits", "n_reencoded", *at}
+    kept_at = [i for i, f in enumerate(trees.schema.fields) if f.name.lower() not in added]
+    keep = [trees.schema.fields[i] for i in kept_at]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
@@ -278,8 +283,15 @@ def scrub_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def with_scrub_edits(docs: DataFrame) -> DataFrame:
-    """`docs` with `edits`, as `apply_edits` takes them, that cut out personal data and secrets."""
-    at_text, names = docs.columns.index("text"), docs.columns
+    """`docs` with `edits`, as `apply_edits` takes them, that cut out personal data and secrets.
+
+    Null and empty texts, and texts without such data, have no edits. Rows may repeat, an empty table
+    stays empty. A column `edits` is replaced, others pass through.
+    """
+    at_text = docs.columns.index("text")
+    kept_at = [i for i, c in enumerate(docs.columns) if c.lower() != "edits"]
+    keep = [docs.schema.fields[i] for i in kept_at]
+    names = [f.name for f in keep]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("removed", pa.int64()), ("inserted", pa.string())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +300,10 @@ def with_scrub_edits(docs: DataFrame) -> DataFrame:
                 [dict(zip(("start", "removed", "inserted"), e)) for e in scrub_edits(t.as_py() or "")]
                 for t in batch.column(at_text)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], [*names, "edits"])
+            kept = [batch.column(i) for i in kept_at]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(edits, kind)], [*names, "edits"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
     return docs.mapInArrow(find, f"{fields}, edits array<struct<start: long, removed: long, inserted: string>>")
 
 

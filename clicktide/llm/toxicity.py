@@ -163,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out. If there are more than `fit_rows`,
     those with the least hash of their doc_id are taken, and only their texts reach the driver,
-    as lists of terms. Of several labels of a document the largest counts; null labels do not.
+    as lists of terms. Of several labels of a document the largest counts, of several texts that of the
+    least hash; null labels and doc_ids do not count. Texts may be null, empty or very long. Without
+    labels, or without texts, every margin is the same. Other columns are ignored.
     """
     rest = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.filter(F.col("toxic").isNotNull() & (rest != 0))
@@ -172,6 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text a document: no more than `fit_rows` rows go on, however often a document repeats.
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    texts = texts.groupBy("doc_id", "toxic").agg(one)
 
     def listed(part: Slice) -> list:
         doc, term, x = terms(part)
@@ -181,13 +186,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
     fields = [("terms", "array<int>"), ("shares", "array<float>")]
     found = measured(texts, fields, listed, separator=NOT_ALNUM, lower=True, drop=("text",)).toArrow()
-    # Rows of one document are put in a fixed order, so that reruns agree.
-    doc_ids = found.column("doc_id").to_numpy()
+    # Rows are put in a fixed order, so that reruns agree.
+    doc_ids = found.column("doc_id").to_pylist()
     columns = [found.column(c).combine_chunks() for c in ("terms", "shares")]
     bounds = [np.asarray(c.offsets) for c in columns]
     flat = [c.values.to_numpy() for c in columns]
     cut = lambda k, i: flat[k][bounds[k][i] : bounds[k][i + 1]]
-    order = sorted(range(len(doc_ids)), key=lambda i: (int(doc_ids[i]), cut(0, i).tobytes()))
+    order = sorted(range(len(doc_ids)), key=doc_ids.__getitem__)
     rows = [(cut(0, i).astype(np.int64), cut(1, i).astype(np.float64)) for i in order]
     toxic = found.column("toxic").to_numpy()[order] if order else np.zeros(0)
     return fit(rows, (toxic > 0).astype(float))
@@ -197,7 +202,8 @@ def score(docs: DataFrame, model: Machine, drop: tuple[str, ...] = ()) -> DataFr
     """`docs` with `score`, the estimated chance that the text is toxic.
 
     Whole texts, one narrow pass; the model has a fixed size and is broadcast. Null and empty
-    texts get the model's bias. Repeated rows get equal scores. A column `score` is replaced.
+    texts get the model's bias, very long ones a score like any other. Repeated rows get equal scores,
+    an empty table stays empty. A column `score` is replaced, others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

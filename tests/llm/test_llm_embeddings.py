@@ -80,3 +80,39 @@ def test_query(spark, small):
     data = spark.read.parquet(f"{small}/embeddings.parquet").collect()
     expected = brute([(r.vec_id, r.embedding, r.label) for r in data])
     assert sorted((tuple(r) for r in embeddings.op1_embeddings(spark, small).collect()), key=repr) == expected
+
+
+def test_many_centres_of_long_vectors_take_little_memory(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(1024, 768)))
+    x = np.concatenate([centres[rng.integers(0, 1024, 2900)] + rng.normal(0, 0.002, (2900, 768)), rng.normal(size=(20, 768))])
+    held = {}
+
+    class Rows:
+        columns = ["uid", "embedding"]
+        schema = []
+
+        def mapInArrow(self, function, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x))], self.columns)
+            tracemalloc.start()
+            held["out"] = [[c.to_numpy(zero_copy_only=False) for c in (b.column(0), b.column(2), b.column(3))] for b in function(iter([batch]))]
+            held["peak"] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+
+    embeddings.assigned(Rows(), centres, 0.93)
+    assert held["peak"] < 200e6
+    # Each vector is in its home and in each cell that may hold a partner of it.
+    uid, cell, home = (np.concatenate(c) for c in zip(*held["out"]))
+    got = set(zip(uid.tolist(), cell.tolist()))
+    near = unit(x) @ centres.T
+    width = np.linalg.norm(centres[near.argmax(axis=1)][:, None][:20] - centres[None], axis=2)
+    gap = near.max(axis=1, keepdims=True) - near
+    wanted = set(zip(*(v.tolist() for v in np.nonzero(gap[:20] <= np.sqrt(1 - 0.93**2) * width))))
+    assert wanted <= got and {(i, int(c)) for i, c in enumerate(near.argmax(axis=1))} <= got
+    assert home.sum() == len(x)

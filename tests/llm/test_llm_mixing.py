@@ -48,3 +48,12 @@ def test_sql_runs_on_an_empty_table():
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     assert con.execute(mixing.OP9_SQL).fetchall() == []
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "w " * (i % 9), "s", i + 1000, "t", "c") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, Target string, copies string")
+    assert {(r.doc_id, r.size, r.Target, r.copies) for r in mixing.mixed(docs).collect()} <= {(r[0], r[3], "t", "c") for r in rows}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"]
+    assert {(r.doc_id, r.size) for r in mixed.collect()} == {(i, i % 9) for i in range(50)}

@@ -71,3 +71,14 @@ def test_what_is_scrubbed():
     for start, removed, inserted in tokens.scrub_edits(text):
         text = text[:start] + inserted + text[start + removed :]
     assert text == "mail <email> or <address>, key <secret> and <number>."
+
+
+def test_clashing_columns(make_docs):
+    docs = make_docs([(1, "mail a.b@c.example.org"), (1, "mail a.b@c.example.org"), (2, None)])
+    for name in ("edits", "Tokens", "lengths", "n_tokens", "N_Edits", "n_reencoded", "n_tokens_before"):
+        docs = docs.withColumn(name, F.lit("x"))
+    out = tokens.apply_edits(tokens.build_trees(tokens.with_scrub_edits(docs)))
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and "size" in out.columns
+    assert sorted((r.doc_id, r.n_tokens, r.n_edits, r.size) for r in out.collect()) == [
+        (1, sum(fresh("mail <email>")[1]), 1, "x"), (1, sum(fresh("mail <email>")[1]), 1, "x"), (2, 0, 0, "x"),
+    ]

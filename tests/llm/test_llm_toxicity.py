@@ -96,3 +96,18 @@ def test_query(spark, small, given):
     assert {r.doc_id for r in rows} == {i for i, _ in given}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_fitted_rows_are_bounded(spark, make_docs, corpus, monkeypatch):
+    """One document that repeats does not send its copies to the driver; ids may be text."""
+    sent = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels: sent.append(len(rows)) or fit(rows, labels))
+    docs = make_docs([(i, t) for i, t, _ in corpus] + [(2, f"copy {k % 3}") for k in range(3000)])
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus] * 2, "doc_id long, toxic int")
+    a = toxicity.train(docs, labels, 40)
+    text = lambda df: df.withColumn("doc_id", df.doc_id.cast("string"))
+    toxicity.train(text(docs), text(labels), 40)
+    assert sent == [40, 40]
+    b = toxicity.train(docs.repartition(7), labels, 40)
+    assert (a.weights == b.weights).all() and (a.factors == b.factors).all()
