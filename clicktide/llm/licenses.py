@@ -12,11 +12,9 @@ from clicktide.llm.text import NOT_ALNUM, WORD_BASE, Slice, Spans, measured, sli
 
 GRAM = 3
 # Diagonals at most so many words apart belong to one span: words may be added or left out there.
-BAND = 4
+BAND = 16
 # Share of a template's k-grams that a span must hold.
 COVERED = 0.6
-# A template's k-grams are the bits of one number.
-MOST_GRAMS = 62
 # Of a template with numbers, as in "version 3", a span must hold a k-gram with a number.
 NUMBER = re.compile(r"\b[0-9]+\b")
 
@@ -48,11 +46,35 @@ NOTICES = {
 }
 
 
-def numbers(words: str) -> int:
-    """Bits of the k-grams of a template that have a number; all bits if none has."""
+# Whole texts of short public licenses, or of their second halves, with labels.
+TEXTS = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+    "documentation files the software to deal in the software without restriction including without limitation the "
+    "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+    "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
+    "and this permission notice shall be included in all copies or substantial portions of the software the software is "
+    "provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+    "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+    "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+    "arising from out of or in connection with the software or the use or other dealings in the software": "mit",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+    "disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+    "the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all "
+    "implied warranties of merchantability and fitness in no event shall the author be liable for any special direct "
+    "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in "
+    "an action of contract negligence or other tortious action arising out of or in connection with the use or "
+    "performance of this software": "isc",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or "
+    "as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
+}
+
+
+def numbers(words: str) -> list[int]:
+    """Places of the k-grams of a template that have a number; all places if none has."""
     w = words.split()
     grams = [" ".join(w[i : i + GRAM]) for i in range(len(w) - GRAM + 1)]
-    return sum(1 << i for i, g in enumerate(grams) if NUMBER.search(g)) or (1 << len(grams)) - 1
+    return [i for i, g in enumerate(grams) if NUMBER.search(g)] or list(range(len(grams)))
 
 
 # The one position of every document that each document votes for, so that none is lost.
@@ -62,7 +84,7 @@ EVERY = -1
 def templates() -> list[tuple[int, str, str, bool]]:
     """`(number, words, label, whether it is a phrase)`."""
     both = [(w, label, True) for w, label in PHRASES.items()]
-    both += [(w, label, False) for w, label in NOTICES.items()]
+    both += [(w, label, False) for w, label in (*NOTICES.items(), *TEXTS.items())]
     return [(i, *t) for i, t in enumerate(both)]
 
 
@@ -79,8 +101,6 @@ def positions(spark: SparkSession) -> DataFrame:
     for i, words, _, _ in templates():
         (part,) = slices(pa.array([words]), NOT_ALNUM)
         grams = _grams(part)[0].tolist()
-        if len(grams) > MOST_GRAMS:
-            raise ValueError(f"more than {MOST_GRAMS} k-grams: {words}")
         rows += [(gram, i, at) for at, gram in enumerate(grams)]
     return spark.createDataFrame(rows, "gram long, template int, at int")
 
@@ -116,9 +136,9 @@ def spans(docs: DataFrame) -> DataFrame:
         (F.col("place") > 0) == (F.col("template") != EVERY)
     )
     diagonal = F.col("place") - 1 - F.col("at")
-    bits = F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")
+    places = F.collect_set("at").alias("places")
     lines = votes.groupBy("_row", "template", diagonal.alias("diagonal")).agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), bits
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), places
     )
     along = Window.partitionBy("_row", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > BAND
@@ -126,17 +146,23 @@ def spans(docs: DataFrame) -> DataFrame:
     merged = merged.withColumn("_span", F.sum("_new").over(along))
     sizes = [len(words.split()) - GRAM + 1 for _, words, _, _ in templates()]
     size = F.when(F.col("template") == EVERY, 1).otherwise(_by_template(sizes))
-    whole = F.when(F.bit_count("bits") == size, F.col("diagonal"))
-    number = F.when(F.col("template") == EVERY, 1).otherwise(_by_template([numbers(t[1]) for t in templates()]))
-    return merged.groupBy("_row", "template", "_span").agg(
+    whole = F.when(F.size("places") == size, F.col("diagonal"))
+    numbered = F.array(*(F.array(*map(F.lit, numbers(t[1]))) for t in templates()))
+    number = F.when(F.col("template") == EVERY, F.array(F.lit(0))).otherwise(F.element_at(numbered, F.col("template") + 1))
+    # As a set, a span's places are those of the template at most, however often a document repeats it.
+    found = F.array_distinct(F.flatten(F.collect_list("places")))
+    spans = merged.groupBy("_row", "template", "_span").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.min(whole).alias("first"),
         F.max(whole).alias("last"),
-        (F.bit_count(F.bit_or("bits")) / F.first(size)).alias("covered"),
-        (F.bit_or("bits").bitwiseAND(F.first(number)) != 0).alias("numbered"),
+        found.alias("_places"),
+        F.first(size).alias("_size"),
         F.count(whole).alias("exact"),
     )
+    return spans.withColumns(
+        {"covered": F.size("_places") / F.col("_size"), "numbered": F.arrays_overlap("_places", number)}
+    ).drop("_places", "_size")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -179,7 +205,7 @@ def _sql_templates() -> str:
     for i, words, label, phrase in templates():
         w = words.split()
         grams = [" ".join(w[j : j + GRAM]) for j in range(len(w) - GRAM + 1)]
-        rows += [f"({i}, {at}, '{g}', '{label}', {phrase}, {len(grams)}, {numbers(words)})" for at, g in enumerate(grams)]
+        rows += [f"({i}, {at}, '{g}', '{label}', {phrase}, {len(grams)}, {at in numbers(words)})" for at, g in enumerate(grams)]
     return ", ".join(rows)
 
 
@@ -191,17 +217,17 @@ d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
 w AS (SELECT r, unnest(l) AS word, unnest(range(0, len(l))) AS i FROM d),
 g AS (SELECT r, i, word || ' ' || lead(word) OVER q || ' ' || lead(word, 2) OVER q AS gram
       FROM w WINDOW q AS (PARTITION BY r ORDER BY i)),
-v AS (SELECT r, template, label, phrase, size, number, i - pos AS diagonal, count(*) AS votes,
-             bit_or(CAST(1 AS BIGINT) << pos) AS bits
-      FROM g JOIN t USING (gram) GROUP BY ALL),
+v AS (SELECT r, template, label, phrase, size, i - pos AS diagonal, count(*) AS votes,
+             list(pos) AS places, bool_or(number) AS number
+      FROM g JOIN t USING (gram) GROUP BY r, template, label, phrase, size, i - pos),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS span
       FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {BAND}
                            THEN 1 ELSE 0 END AS fresh FROM v)),
 m AS (SELECT r, template, label, phrase, min(CASE WHEN votes = size THEN diagonal END) AS first,
              max(CASE WHEN votes = size THEN diagonal END) AS last,
              count(CASE WHEN votes = size THEN 1 END) AS exact,
-             bit_count(bit_or(bits)) / CAST(size AS DOUBLE) AS covered, (bit_or(bits) & number) <> 0 AS numbered
-      FROM s GROUP BY r, template, label, phrase, size, number, span),
+             len(list_distinct(flatten(list(places)))) / CAST(size AS DOUBLE) AS covered, bool_or(number) AS numbered
+      FROM s GROUP BY r, template, label, phrase, size, span),
 f AS (SELECT r, CAST(sum(CASE WHEN phrase THEN exact ELSE 0 END) AS BIGINT) AS n_base,
              min(CASE WHEN phrase THEN first END) AS first_word, max(CASE WHEN phrase THEN last END) AS last_word,
              list_sort(list(DISTINCT label) FILTER (phrase AND exact > 0)) AS b,

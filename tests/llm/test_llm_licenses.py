@@ -45,3 +45,33 @@ def test_odd_rows(spark, make_docs, odd_texts):
     expected = sorted(((i, words(t)) for i, t in odd_texts), key=repr)
     assert sorted(((r.doc_id, r.n_words) for r in rows), key=repr) == expected
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_words_put_in_do_not_hide_a_notice(make_docs):
+    """Spans go on behind a gap in the text or in the template; further apart they do not."""
+    notice = next(w for w, label in licenses.NOTICES.items() if label == "isc").split()
+    put_in = lambda n: " ".join([*notice[:8], *(f"x{i}" for i in range(n)), *notice[8:]])
+    rows = [(n, f"a {put_in(n)} b") for n in (0, 6, licenses.BAND, licenses.BAND + 1)]
+    rows.append((100, " ".join(notice[:8] + notice[12:])))
+    got = by_id(None, make_docs(rows))
+    assert got[0].labels == got[6].labels == got[licenses.BAND].labels == "isc" and got[6].score > 0.8
+    assert got[licenses.BAND + 1].labels == "" and got[100].labels == "isc"
+
+
+def test_whole_license_texts(make_docs):
+    rows = []
+    for i, (text, label) in enumerate(licenses.TEXTS.items()):
+        words = text.split()
+        assert len(words) > 25
+        rows += [(10 * i, text.upper()), (10 * i + 1, " ".join(words[: len(words) // 4]))]
+    rows.append((1000, " ".join(next(iter(licenses.TEXTS)).split() * 3)))
+    got = by_id(None, make_docs(rows))
+    for i, label in enumerate(licenses.TEXTS.values()):
+        assert label in got[10 * i].labels.split(",") and got[10 * i].score == 1.0
+    assert "mit" in got[1000].labels.split(",")
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "cc by nc", 5, "t", 3)], "doc_id long, text string, n_base int, template string, grams int")
+    (row,) = licenses.scan(docs).collect()
+    assert (row.doc_id, row.n_base, row.base_labels) == (1, 1, "cc-by-nc")
