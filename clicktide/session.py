@@ -59,12 +59,41 @@ def materialise(df: DataFrame) -> DataFrame:
     return Written(df).rows
 
 
+# Paths written since each open `scratch` began.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Drops the tables written to the checkpoint folder inside the block when it ends.
+
+    For steps whose result is written inside the block too, as `Written(.., kept=True)` or elsewhere.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_path(spark, path)
+
+
+def scratch_path(spark: SparkSession, prefix: str) -> str:
+    """A new place in the checkpoint folder, dropped by the `scratch` that is open, if one is."""
+    path = f"{ensure_checkpoint_dir(spark)}/{prefix}-{uuid.uuid4()}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
 class Written:
     """A table written once to the checkpoint folder, which can be dropped when it is superseded."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, kept: bool = False):
         self._spark = df.sparkSession
-        self.path = f"{ensure_checkpoint_dir(self._spark)}/table-{uuid.uuid4()}"
+        if kept:
+            self.path = f"{ensure_checkpoint_dir(self._spark)}/table-{uuid.uuid4()}"
+        else:
+            self.path = scratch_path(self._spark, "table")
         df.write.parquet(self.path)
         self.rows = self._spark.read.schema(df.schema).parquet(self.path)
 

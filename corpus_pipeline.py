@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clicktide.llm import mixing, packing, quality, simhash, substrings
-from clicktide.llm.storage import stored
+from clicktide.session import Written, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,8 +55,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole of `documents`.
+
+    What a stage has written on its way is dropped when its output is, and its output when the next
+    one is; tables of the last stage stay, since its result is read from them.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch(spark):
+            out = Written(stage(spark, docs, sf_dir), kept=True)
+        if before is not None:
+            before.drop()
+        docs, before = out.rows, out
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    # Pieces and their ids were written; nothing reads the texts again.
+    before.drop()
+    return packed
