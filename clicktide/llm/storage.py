@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clicktide.session import ensure_checkpoint_dir
+from clicktide.session import scratch_path
 
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to the shared checkpoint folder and read again.
 
     Cuts lineage like `checkpoint()`, but compressed and prunable by column. It survives lost
-    executors. The folder may be emptied once the results made from it are written.
+    executors. The folder may be emptied once the results made from it are written; `session.scratch`
+    does so for a step.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4()}"
+    path = scratch_path(spark, "stored")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,7 @@ from test_llm_substrings import brute as repeated
 def test_every_query_is_registered():
     names = contract.queries().keys()
     assert queries.queries().keys() | {"pipeline"} <= names
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert queries.oracle_sql().keys() <= queries.queries().keys()
 
 
@@ -63,3 +63,14 @@ def test_numbers_are_dense(spark):
 
     df = spark.range(1000).select((F.col("id") % 7).alias("k"))
     assert sorted(r.n for r in numbered(df, [F.col("k")], "n").collect()) == list(range(1000))
+
+
+def test_stages_leave_nothing_but_what_the_result_reads(spark, small):
+    from clicktide.session import ensure_checkpoint_dir, names_in
+
+    place = ensure_checkpoint_dir(spark)
+    before = set(names_in(spark, place))
+    packed = corpus_pipeline.run(spark, small)
+    left = {n for n in names_in(spark, place) if n not in before and n.startswith(("stored-", "table-"))}
+    read = {p.split("/")[-2] for p in packed.inputFiles()}
+    assert packed.count() > 0 and read <= left and len(left) <= len(read) + 1
