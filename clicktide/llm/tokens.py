@@ -15,6 +15,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 LEAF = 64
 # Code points behind a pre-token that its end can depend on: "'re" and a blank before a word.
 LOOK = 2
+# Columns of a stored tree.
+TREE = ("lengths", "tokens", "sums")
+KINDS = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
 CACHED = 1 << 17
 CACHED_CHARS = 32
 
@@ -67,27 +70,40 @@ def counter(path: str | None = None) -> PieceCounter:
     return _encoders[path]
 
 
-class TokenTree:
-    """Segment tree over the pre-tokens of one text: code points and tokens by subtree.
+def leaf_sums(lengths: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The nodes of a new tree over pre-tokens, root at 1: code points, tokens, pre-tokens below each."""
+    starts = np.arange(0, max(len(lengths), 1), LEAF)
+    size = 1 << (len(starts) - 1).bit_length()
+    sums = np.zeros((2 * size, 3), np.int64)
+    if len(lengths):
+        leaves = sums[size : size + len(starts)]
+        leaves[:, 0], leaves[:, 1] = np.add.reduceat(lengths, starts), np.add.reduceat(tokens, starts)
+        leaves[:, 2] = np.diff(np.append(starts, len(lengths)))
+    while size > 1:
+        size //= 2
+        sums[size : 2 * size] = sums[2 * size : 4 * size : 2] + sums[2 * size + 1 : 4 * size : 2]
+    return sums
+
 
-    A leaf holds a run of pre-tokens; inner nodes hold the sums of what is below. A pre-token
-    depends on nothing before its start and on at most LOOK code points after its end. So an edit
-    touches pre-tokens from the first that ends less than that before it, up to the first old
-    boundary that the new split meets again behind the edit; all others are left as they are.
+class TokenTree:
+    """Segment tree over the pre-tokens of one text: code points, tokens and pre-tokens by subtree.
+
+    A leaf holds a run of pre-tokens; inner nodes hold the sums of what is below, and are stored with
+    the text, so that a tree is opened without a look at its leaves. A pre-token depends on nothing
+    before its start and on at most LOOK code points after its end. So an edit touches pre-tokens
+    from the first that ends less than that before it, up to the first old boundary that the new split
+    meets again behind the edit; all others are left as they are. Only the leaves that hold touched
+    pre-tokens are taken out of the stored arrays, and only their paths to the root are summed
+    again. A leaf that has grown to eight times its size makes the tree be dealt into leaves anew.
     """
 
-    def __init__(self, text: str, lengths: list[int], tokens: list[int]):
-        n = max(1, -(-len(lengths) // LEAF))
-        self._size = 1 << (n - 1).bit_length()
-        self._lengths = [lengths[i : i + LEAF] for i in range(0, n * LEAF, LEAF)]
-        self._tokens = [tokens[i : i + LEAF] for i in range(0, n * LEAF, LEAF)]
-        bounds = np.cumsum([0] + [sum(x) for x in self._lengths]).tolist()
-        self._texts = [text[a:b] for a, b in zip(bounds, bounds[1:])]
-        self._sums = np.zeros((2 * self._size, 2), np.int64)
-        for i in range(n):
-            self._sums[self._size + i] = sum(self._lengths[i]), sum(self._tokens[i])
-        for i in range(self._size - 1, 0, -1):
-            self._sums[i] = self._sums[2 * i] + self._sums[2 * i + 1]
+    def __init__(self, text: str, lengths, tokens, sums=None):
+        self._stored = text, np.asarray(lengths, np.int32), np.asarray(tokens, np.int32)
+        self._origin = leaf_sums(*self._stored[1:]) if sums is None else np.asarray(sums, np.int64).reshape(-1, 3)
+        self._sums = self._origin.copy()
+        self._size = len(self._sums) // 2
+        # Leaves taken out so far: their lengths, tokens and text, as edits left them.
+        self._open: dict[int, tuple[list[int], list[int], str]] = {}
         self.reencoded = 0
 
     @property
@@ -98,11 +114,50 @@ class TokenTree:
     def n_tokens(self) -> int:
         return int(self._sums[1, 1])
 
+    @property
+    def sums(self) -> np.ndarray:
+        return self._sums
+
+    @property
+    def opened(self) -> int:
+        return len(self._open)
+
+    def _before(self, leaf: int) -> tuple[int, int]:
+        """Code points and pre-tokens that were stored before a leaf."""
+        node, chars, pieces = self._size + leaf, 0, 0
+        while node > 1:
+            if node % 2:
+                chars += int(self._origin[node - 1, 0])
+                pieces += int(self._origin[node - 1, 2])
+            node //= 2
+        return chars, pieces
+
+    def _content(self, leaf: int) -> tuple[list[int], list[int], str]:
+        if leaf not in self._open:
+            text, lengths, tokens = self._stored
+            chars, pieces = self._before(leaf)
+            n_chars, _, n = self._origin[self._size + leaf].tolist()
+            own = slice(pieces, pieces + n)
+            self._open[leaf] = lengths[own].tolist(), tokens[own].tolist(), text[chars : chars + n_chars]
+        return self._open[leaf]
+
+    def _joined(self, part: int) -> list:
+        """Text (2), lengths (0) or tokens (1) in order: opened leaves, and what is stored between."""
+        stored = (self._stored[1], self._stored[2], self._stored[0])[part]
+        column = 0 if part == 2 else 2
+        out, done = [], 0
+        for leaf in sorted(self._open):
+            start = self._before(leaf)[column // 2]
+            out += [stored[done:start], self._open[leaf][part]]
+            done = start + int(self._origin[self._size + leaf, column])
+        return [*out, stored[done:]]
+
     def text(self) -> str:
-        return "".join(self._texts)
+        return "".join(self._joined(2))
 
-    def pretokens(self) -> tuple[list[int], list[int]]:
-        return sum(self._lengths, []), sum(self._tokens, [])
+    def pretokens(self) -> tuple[np.ndarray, np.ndarray]:
+        lengths, tokens = (np.concatenate([np.asarray(x, np.int32) for x in self._joined(i)]) for i in (0, 1))
+        return lengths, tokens
 
     def _leaf(self, at: int) -> tuple[int, int]:
         """(leaf, its start) of the first leaf that ends at code point `at` or later."""
@@ -112,14 +167,16 @@ class TokenTree:
             if start + self._sums[node, 0] < at:
                 start += int(self._sums[node, 0])
                 node += 1
-        return min(node - self._size, len(self._texts) - 1), start
+        return node - self._size, start
 
-    def _update(self, leaf: int) -> None:
+    def _put(self, leaf: int, lengths: list[int], tokens: list[int], text: str) -> None:
+        """New content of a leaf; the sums on its path to the root follow."""
+        self._open[leaf] = lengths, tokens, text
         node = self._size + leaf
-        self._sums[node] = sum(self._lengths[leaf]), sum(self._tokens[leaf])
-        while node > 1:
+        change = np.array([sum(lengths), sum(tokens), len(lengths)]) - self._sums[node]
+        while node:
+            self._sums[node] += change
             node //= 2
-            self._sums[node] = self._sums[2 * node] + self._sums[2 * node + 1]
 
     def edit(self, count: PieceCounter, start: int, removed: int, inserted: str) -> None:
         """Replace `removed` code points from `start` by `inserted`; beyond the end they are cut."""
@@ -128,25 +185,24 @@ class TokenTree:
         touched = max(0, start - LOOK)
         leaf, before = self._leaf(touched)
         first, begin = 0, before
-        sizes = self._lengths[leaf]
+        sizes, counts, old = self._content(leaf)
         while first < len(sizes) and begin + sizes[first] < touched:
             begin += sizes[first]
             first += 1
         head = begin - before
         # Old text from the leaf on, one more leaf whenever the new split has not met the old one.
-        last, old = leaf, self._texts[leaf]
-        while before + len(old) < start + removed + 1 and last + 1 < len(self._texts):
+        last, left = leaf, self.n_chars - before
+        while len(old) < min(start + removed + 1 - before, left):
             last += 1
-            old += self._texts[last]
+            old += self._content(last)[2]
+        cut, edge = start - before, start - before + len(inserted)
+        shift = len(inserted) - removed
         while True:
-            at_end = last + 1 == len(self._texts)
-            cut = start - before
+            at_end = len(old) >= left
             new = old[:cut] + inserted + old[cut + removed :]
-            shift = len(inserted) - removed
-            edge = cut + len(inserted)
             bounds, place = {}, 0
             for k in range(leaf, last + 1):
-                for j, size in enumerate(self._lengths[k]):
+                for j, size in enumerate(self._content(k)[0]):
                     if place >= cut + removed:
                         bounds[place + shift] = (k, j)
                     place += size
@@ -160,37 +216,34 @@ class TokenTree:
             if met is not None or at_end:
                 break
             last += 1
-            old += self._texts[last]
+            old += self._content(last)[2]
         self.reencoded += len(pieces)
-        lengths, tokens = [len(p) for p in pieces], count.counts(pieces)
-        keep = self._lengths[leaf][:first], self._tokens[leaf][:first]
-        rest_leaf, rest = met if met is not None else (last, len(self._lengths[last]))
-        tail = self._lengths[rest_leaf][rest:], self._tokens[rest_leaf][rest:]
-        tail_text = self._texts[rest_leaf][len(self._texts[rest_leaf]) - sum(tail[0]) :]
-        head_text = self._texts[leaf][:head]
-        for k in range(leaf, rest_leaf + 1):
-            self._lengths[k], self._tokens[k], self._texts[k] = [], [], ""
-        self._lengths[leaf] = keep[0] + lengths
-        self._tokens[leaf] = keep[1] + tokens
-        self._texts[leaf] = head_text + "".join(pieces)
-        self._lengths[rest_leaf] = self._lengths[rest_leaf] + tail[0]
-        self._tokens[rest_leaf] = self._tokens[rest_leaf] + tail[1]
-        self._texts[rest_leaf] += tail_text
-        for k in range(leaf, rest_leaf + 1):
-            self._update(k)
-        if len(self._lengths[leaf]) > 8 * LEAF:
+        middle = "".join(pieces)
+        rest_leaf, rest = met if met is not None else (last, len(self._content(last)[0]))
+        rest_sizes, rest_counts, rest_text = self._content(rest_leaf)
+        tail = rest_sizes[rest:], rest_counts[rest:], rest_text[len(rest_text) - sum(rest_sizes[rest:]) :]
+        kept = sizes[:first] + list(map(len, pieces)), counts[:first] + count.counts(pieces), old[:head] + middle
+        if rest_leaf == leaf:
+            self._put(leaf, *(a + b for a, b in zip(kept, tail)))
+        else:
+            self._put(leaf, *kept)
+            for k in range(leaf + 1, rest_leaf):
+                self._put(k, [], [], "")
+            self._put(rest_leaf, *tail)
+        if len(self._open[leaf][0]) > 8 * LEAF:
             done = self.reencoded
             self.__init__(self.text(), *self.pretokens())
             self.reencoded = done
 
 
 def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """`docs` with `lengths` and `tokens`: code points and tokens of each pre-token of `text`.
+    """`docs` with the tree of each `text`: `lengths`, `tokens` and `sums`, to be stored with it.
 
-    These are the leaves of the document's tree, to be stored with its text. Null and empty texts
-    have none. One narrow pass; columns of these names are replaced.
+    `lengths` and `tokens` are the code points and tokens of each pre-token, `sums` the nodes over leaves
+    of LEAF pre-tokens each, three numbers a node (`leaf_sums`). Null and empty texts have no pre-tokens
+    and a root of zeros. One narrow pass; columns of these names are replaced.
     """
-    at = [i for i, c in enumerate(docs.columns) if c.lower() not in ("lengths", "tokens")]
+    at = [i for i, c in enumerate(docs.columns) if c.lower() not in TREE]
     keep = [docs.schema.fields[i] for i in at]
     at_text = docs.columns.index("text")
 
@@ -200,17 +253,18 @@ def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
             # Some rows at a time: leaves take more room than their text.
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                lengths, tokens = [], []
+                lengths, tokens, sums = [], [], []
                 for text in part.column(at_text):
                     pieces = count.pattern.findall(text.as_py() or "")
                     lengths.append(np.fromiter(map(len, pieces), np.int32, len(pieces)))
                     tokens.append(np.array(count.counts(pieces), np.int32))
-                new = [pa.array(x, pa.list_(pa.int32())) for x in (lengths, tokens)]
-                names = [*(f.name for f in keep), "lengths", "tokens"]
+                    sums.append(leaf_sums(lengths[-1], tokens[-1]).ravel())
+                new = [pa.array(x, kind) for x, kind in zip((lengths, tokens, sums), KINDS)]
+                names = [*(f.name for f in keep), *TREE]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *new], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return docs.mapInArrow(build, f"{fields}, lengths array<int>, tokens array<int>")
+    return docs.mapInArrow(build, f"{fields}, lengths array<int>, tokens array<int>, sums array<long>")
 
 
 def apply_edits(trees: DataFrame, path: str | None = None) -> DataFrame:
@@ -218,15 +272,16 @@ def apply_edits(trees: DataFrame, path: str | None = None) -> DataFrame:
 
     `edits` is an array of (start, removed, inserted), in code points of the text as the edits
     before it left it; null means none. To apply a table of edits, collect it by doc_id and join
-    it to the stored trees. Texts, lengths and tokens are the new ones, ready to be stored again.
-    `n_reencoded` counts the pre-tokens that were encoded anew, whatever the text's length.
+    it to the stored trees. Texts and trees are the new ones, ready to be stored again.
+    `n_reencoded` counts the pre-tokens that were encoded anew, whatever the text's length. An edit
+    opens the leaves it touches and follows their paths to the root; the rest of a row is copied.
 
     Null and empty texts are edited as empty ones; edits beyond the end are cut to it. Each row is
     edited for itself, so rows may repeat. An empty table gives an empty table. Columns named like an
     added one are replaced, others pass through.
     """
     names = trees.columns
-    at = {c: names.index(c) for c in ("text", "lengths", "tokens", "edits")}
+    at = {c: names.index(c) for c in ("text", *TREE, "edits")}
     added = {"n_tokens_before", "n_tokens", "n_edits", "n_reencoded", *at}
     kept_at = [i for i, f in enumerate(trees.schema.fields) if f.name.lower() not in added]
     keep = [trees.schema.fields[i] for i in kept_at]
@@ -237,32 +292,30 @@ def apply_edits(trees: DataFrame, path: str | None = None) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 col = {c: part.column(i) for c, i in at.items()}
-                rows = [[] for _ in range(7)]
+                rows = [[] for _ in range(8)]
                 for i in range(part.num_rows):
-                    lengths, tokens = (
-                        col[c][i].values.to_numpy() if col[c][i].is_valid else np.zeros(0, np.int32)
-                        for c in ("lengths", "tokens")
+                    lengths, tokens, sums = (
+                        col[c][i].values.to_numpy() if col[c][i].is_valid else np.zeros(0, np.int64) for c in TREE
                     )
                     edits, text = col["edits"][i].as_py() or [], col["text"][i].as_py()
-                    before, reencoded = int(tokens.sum()), 0
-                    after = before
+                    tree = TokenTree(text or "", lengths, tokens, sums if len(sums) else None)
+                    before = tree.n_tokens
+                    for e in edits:
+                        tree.edit(count, e["start"], e["removed"], e["inserted"])
                     if edits:
-                        tree = TokenTree(text or "", lengths.tolist(), tokens.tolist())
-                        for e in edits:
-                            tree.edit(count, e["start"], e["removed"], e["inserted"])
-                        text, after, reencoded = tree.text(), tree.n_tokens, tree.reencoded
-                        lengths, tokens = (np.array(x, np.int32) for x in tree.pretokens())
-                    for column, value in zip(rows, (text, lengths, tokens, before, after, len(edits), reencoded)):
+                        text, (lengths, tokens) = tree.text(), tree.pretokens()
+                    new = text, lengths, tokens, tree.sums.ravel(), before, tree.n_tokens, len(edits), tree.reencoded
+                    for column, value in zip(rows, new):
                         column.append(value)
-                kinds = [pa.string(), *[pa.list_(pa.int32())] * 2, *[pa.int64()] * 4]
+                kinds = [pa.string(), *KINDS, *[pa.int64()] * 4]
                 new = [pa.array(r, k) for r, k in zip(rows, kinds)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept_at), *new], out)
 
-    out = [*(f.name for f in keep), "text", "lengths", "tokens", "n_tokens_before", "n_tokens", "n_edits", "n_reencoded"]
+    out = [*(f.name for f in keep), "text", *TREE, "n_tokens_before", "n_tokens", "n_edits", "n_reencoded"]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
     return trees.mapInArrow(
         apply,
-        f"{fields}text string, lengths array<int>, tokens array<int>, "
+        f"{fields}text string, lengths array<int>, tokens array<int>, sums array<long>, "
         "n_tokens_before long, n_tokens long, n_edits long, n_reencoded long",
     )
 
