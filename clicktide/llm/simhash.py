@@ -22,6 +22,8 @@ DISTANCE = 2
 PARTS = (2, 3, 4)
 # Buckets up to so many rows are compared in pairs, larger ones by shared neighbours.
 PAIR_ROWS = 64
+# Neighbours are up to half of this away, 2081 of them.
+MOST_DISTANCE = 4
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -199,10 +201,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, pair_rows: int = PAIR_ROWS)
     Generalised pigeonhole: correlated bits form parts, each part gets its own threshold by the
     cost of probes and of expected candidates, and only fingerprints that meet under a part's key
     are compared. Buckets of more than `pair_rows` rows are not compared in pairs: their members
-    meet under all values one bit away from them, and those that meet are chained to the least
-    one. Two values are at most 2 bits apart exactly if they meet so, hence this loses nothing
-    and adds nothing, and works for `distance` 2 only; other distances compare all buckets.
+    meet under all values up to `far` bits away from them, where `near` + `far` is `distance` and
+    neither is more than half of it, rounded up. All that meet are chained to the least of those
+    at most `near` away. Two values are at most `distance` bits apart exactly if they meet under one
+    that is so near to one of them, hence this loses nothing and adds nothing. The number of
+    neighbours bounds `distance` to MOST_DISTANCE; others raise a ValueError.
     """
+    if not 0 <= distance <= MOST_DISTANCE:
+        raise ValueError(f"distance must be from 0 to {MOST_DISTANCE}")
     n, both = bit_statistics(fps)
     plans = []
     for m in PARTS:
@@ -221,22 +227,22 @@ def links(fps: DataFrame, distance: int = DISTANCE, pair_rows: int = PAIR_ROWS)
         rows.join(counts, (F.col("part") == F.col("_part")) & (F.col("key") == F.col("_key")))
         .select("part", "key", "fp", "own", "n")
     )
-    light = met if distance != 2 else met.filter(F.col("n") <= pair_rows)
     pairs = _verified(
-        light.groupBy(*key).agg(
+        met.filter(F.col("n") <= pair_rows).groupBy(*key).agg(
             F.collect_list(F.struct("fp", "own")).alias("x")
         ).select(F.col("x.fp").alias("fps"), F.col("x.own").alias("own")),
         distance,
     )
-    if distance != 2:
-        return pairs
+    near = distance // 2
+    far, bits = distance - near, list(range(BITS))
     crowd = met.filter(F.col("n") > pair_rows).select("fp").distinct()
-    around = crowd.select(
-        "fp", F.explode(_longs(_flips(list(range(BITS)), 1))).alias("flip")
-    ).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
-    hubs = around.groupBy("near").agg(F.min("fp").alias("a"), F.count("*").alias("n"))
-    hubs = hubs.filter("n > 1").select(F.col("near").alias("_near"), "a")
-    chained = around.join(hubs, F.col("near") == F.col("_near")).filter("fp <> a")
+    # Flips come by number of bits, so the first ones are those of up to `near`.
+    around = crowd.select("fp", F.posexplode(_longs(_flips(bits, far))).alias("flip", "bits")).select(
+        "fp", F.col("fp").bitwiseXOR(F.col("bits")).alias("hub"), (F.col("flip") < len(_flips(bits, near))).alias("own")
+    )
+    hubs = around.groupBy("hub").agg(F.min(F.when(F.col("own"), F.col("fp"))).alias("a"), F.count("*").alias("n"))
+    hubs = hubs.filter("n > 1 and a is not null").select(F.col("hub").alias("_hub"), "a")
+    chained = around.join(hubs, F.col("hub") == F.col("_hub")).filter("fp <> a")
     return pairs.unionAll(chained.select("a", F.col("fp").alias("b")))
 
 

@@ -78,6 +78,30 @@ def test_links_join_the_same_fingerprints(spark, pair_rows, n_near):
     assert [got.get(f, f) for f in fps] == expected
 
 
+@pytest.mark.parametrize("distance", [0, 1, 3, 4])
+def test_links_at_other_distances(spark, distance):
+    """Sparse values, and a crowd that shares keys: pairs and neighbours against brute force."""
+    rng = random.Random(distance)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for _ in range(4):
+        centre = rng.getrandbits(64)
+        fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(30)}
+    fps = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    near = lambda a, b: ((fps[a] ^ fps[b]) % 2**64).bit_count() <= distance
+    expected = least_reachable(fps, near)
+    for pair_rows in (4, 64):
+        got = {r.node: r.component for r in components(simhash.links(df, distance, pair_rows)).collect()}
+        assert [got.get(f, f) for f in fps] == expected
+
+
+def test_distances_without_a_bounded_way_are_refused(spark):
+    df = spark.createDataFrame([(1,)], "fp long")
+    for distance in (-1, simhash.MOST_DISTANCE + 1):
+        with pytest.raises(ValueError, match="distance"):
+            simhash.links(df, distance)
+
+
 def test_thresholds_add_up_and_follow_cost():
     rng = np.random.default_rng(0)
     bits = rng.random((2000, 64)) < 0.5
