@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SPLIT_BYTES = 1 << 27
 # Bytes of a range that are looked at together.
 CHUNK_BYTES = 1 << 23
+# Bytes read at first behind a range, for the end of its last line.
+TAIL_BYTES = 1 << 13
+# Where ranges under SPLIT_BYTES would take more tasks than this, tasks read several of them.
+TASKS = 1024
 
 NEWLINE = 10
 
@@ -67,13 +72,15 @@ def listed(path: str) -> list[pafs.FileInfo]:
 
 
 def split(files: list[pafs.FileInfo], split_bytes: int) -> list[Ranges]:
-    """Ranges of at most `split_bytes` each; small files share a partition."""
+    """Ranges of at most `split_bytes` each; small files share a partition, and so do small ranges
+    of large files, up to SPLIT_BYTES."""
     parts, held, size = [], [], 0
+    room = max(split_bytes, min(SPLIT_BYTES, -(-sum(f.size for f in files) // TASKS)))
     for number, f in enumerate(files):
         packed = _is_packed(f.path)
         for start in [0] if packed else range(0, f.size, split_bytes):
             end = f.size if packed else min(f.size, start + split_bytes)
-            if held and size + end - start > split_bytes:
+            if held and size + end - start > room:
                 parts.append(Ranges(held))
                 held, size = [], 0
             held.append(Range(number, f.path, start, end, packed))
@@ -104,7 +111,9 @@ def lines_of(stream, part: Range) -> Iterator[pa.RecordBatch]:
         place -= 1
     skip = part.start > 0
     while not done:
-        new = stream.read(CHUNK_BYTES)
+        # A range is read no further than its last line; a line that goes on takes twice as much each time.
+        left = CHUNK_BYTES if part.packed else part.end - place - len(rest)
+        new = stream.read(min(CHUNK_BYTES, max(left, len(rest), TAIL_BYTES)))
         data = rest + new
         done = not new
         if skip:
@@ -148,10 +157,14 @@ class ByteLinesReader(DataSourceReader):
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         files, _ = _opened(self.path)
-        for part in partition.ranges:
-            opened = files.open_input_stream(part.path) if part.packed else files.open_input_file(part.path)
+        for path, parts in groupby(partition.ranges, lambda part: part.path):
+            parts = list(parts)
+            opened = files.open_input_stream(path) if parts[0].packed else files.open_input_file(path)
             with opened as stream:
-                yield from lines_of(stream, part)
+                for part in parts:
+                    if not part.start and not part.packed:
+                        stream.seek(0)
+                    yield from lines_of(stream, part)
 
 
 class ByteLines(DataSource):

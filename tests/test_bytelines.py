@@ -82,3 +82,47 @@ def test_empty_and_missing_paths(spark, tmp_path):
         read_lines_by_offset(spark, str(tmp_path / "nowhere")).count()
     with pytest.raises(Exception, match="positive"):
         read_lines_by_offset(spark, str(tmp_path), 0).count()
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+def test_small_ranges_read_little_of_a_large_file():
+    data = b"some line of a log\n" * 50_000
+    stream = Counted(data)
+    got = []
+    for start in range(0, len(data), 60_001):
+        part = bl.Range(0, "x", start, min(len(data), start + 60_001), False)
+        got += [o for b in bl.lines_of(stream, part) for o in b.column(1).to_pylist()]
+    assert got == [at for at, _ in expected(data)]
+    assert stream.taken < 2 * len(data)
+
+
+def test_small_ranges_of_large_files_share_tasks():
+    class Info:
+        path, size = "x", 10_000_000_000
+
+    parts = bl.split([Info], 60_001)
+    ranges = [r for p in parts for r in p.ranges]
+    assert len(parts) <= 2 * bl.TASKS and all(r.end - r.start <= 60_001 for r in ranges)
+    assert [r.start for r in ranges] == [0] + [r.end for r in ranges[:-1]] and ranges[-1].end == Info.size
+    # Ranges as large as the default keep a task each.
+    Info.size = 10 << 40
+    assert len(bl.split([Info], bl.SPLIT_BYTES)) == (10 << 40) // bl.SPLIT_BYTES
+
+
+def test_tasks_of_several_ranges_read_all_lines(spark, log, monkeypatch):
+    whole = sorted(read_lines_by_offset(spark, str(log)).collect())
+    monkeypatch.setattr(bl, "TASKS", 3)
+    files = bl.listed(str(log))
+    reader = bl.ByteLinesReader(str(log), 17)
+    parts = reader.partitions()
+    assert len(parts) <= 7 and len({r.path for p in parts for r in p.ranges}) == sum(f.size > 0 for f in files)
+    rows = [r for p in parts for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted((f << 40 | o, v) for f, o, v in rows) == [(r.req, r.value) for r in whole]
