@@ -83,10 +83,16 @@ def q_imp_parse_offsets(spark, sf):
     return shown.groupBy(*shown.columns).agg(F.count("*").alias("n"))
 
 
+# Orders for which a log has one more file.
+FILE_ORDERS = 1_000_000
+
+
 def q_imp_parse_partitions(spark, sf):
     """A log read with a hint for the number of tasks."""
     place = _new_place(spark)
-    log_lines(impressions(spark, sf)).select("value").coalesce(1).write.text(place)
+    # A small log is one file; of a large one no task writes the whole.
+    files = 1 + table(spark, sf, "orders").count() // FILE_ORDERS
+    log_lines(impressions(spark, sf)).repartition(files, "req").select("value").write.text(place)
     shown = _show_impressions(read_impressions(spark, place, min_partitions=12)).drop("req")
     tasks = F.spark_partition_id().alias("_task")
     seen = read_lines(spark, place, 12).select(tasks).distinct().count()
