@@ -34,7 +34,7 @@ from clicktide.plans import jobs
 from clicktide.plans.cg import train_cg, train_store
 from clicktide.plans.minibatch import train_cg_minibatch
 from clicktide.plans.params import CGParams
-from clicktide.session import cached, ensure_checkpoint_dir
+from clicktide.session import cached, ensure_checkpoint_dir, materialise
 from clicktide.sources import sinks
 from clicktide.sources.blockstore import BlockStore, write_store
 from clicktide.sources.dictionary import last_wins, parse_dictionary
@@ -344,7 +344,8 @@ def q_cg_iter2_store(spark, sf):
 
 
 def _fit_metrics(examples, weights, keys=("id",)):
-    margins = jobs.margins_of(examples, weights, keys)
+    # Written once, since three measures read them.
+    margins = materialise(jobs.margins_of(examples, weights, keys).select("pos", "neg", "z"))
     one = F.lit(1).alias("one")
     rows = (
         ev.accuracy(margins)
@@ -368,7 +369,7 @@ def q_cg_fit_metrics(spark, sf):
 def q_cg_fit_clicks(spark, sf):
     with cached(_examples(spark, sf)[0]) as examples:
         weights = train_cg(examples, CGParams(max_iter=3)).weights
-    return _fit_metrics(_examples(spark, sf)[0], weights, ["req", "seg"])
+        return _fit_metrics(examples, weights, ["req", "seg"])
 
 
 def q_minibatch_sizes(spark, sf):
