@@ -87,7 +87,9 @@ def last_write_request_histogram(requests: DataFrame) -> DataFrame:
     shows(1..L). Running sums of shows and the sorted ids of a line give all of these in a time that
     grows with the line's length, whatever it repeats.
     """
-    lines = requests.filter(F.col("segs").isNotNull()).select(
+    # Behind a generator, or the optimizer would parse a line again for each use of its segments.
+    parsed = requests.select(F.explode_outer(F.array("segs")).alias("segs"))
+    lines = parsed.filter(F.col("segs").isNotNull()).select(
         shared_features(F.col("segs")).alias("common"),
         F.transform(slot_segments(F.col("segs")), lambda s: F.get(s, 0)).alias("shows"),
         F.transform(slot_segments(F.col("segs")), segment_features).alias("owned"),

@@ -25,3 +25,12 @@ def test_a_fit_on_clicks_encodes_once_and_scores_once(spark, small, monkeypatch)
     metrics = queries.q_cg_fit_clicks(spark, small)
     assert len(calls) == 1 and "l_orderkey" not in plan(metrics)
     assert metrics.count() == 1
+
+
+def test_a_histogram_of_lines_parses_them_once(spark):
+    lines = spark.createDataFrame([("9 0 11:a\t2 1 21:c\t4 0 11:c",), ("3 1 12:b",)], "value string").repartition(2)
+    requests = parse_requests(lines)
+    once = plan(requests).count("regexp_replace")
+    counts = last_write_request_histogram(requests)
+    assert once and plan(counts).count("regexp_replace") == once
+    assert {r.fid: r.n for r in counts.collect()} == {11: 4, 21: 2, 12: 3}
