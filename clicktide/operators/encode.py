@@ -117,18 +117,17 @@ def most_frequent(rows: DataFrame, dictionary: DataFrame, most: int) -> tuple[Da
 
 
 def _encode_join(rows: DataFrame, dictionary: DataFrame, head_dims: int, bloom_bits: int) -> DataFrame:
-    # Frequent features are looked up in place. Only rows that have a feature left over, which may be
-    # in the tail, are written, each under a number, and only those features are shuffled by id.
+    # Frequent features are looked up in place, and rows are written once, each under a number. Only rows
+    # that have a feature left over, which may be in the tail, and those features are shuffled.
     head, tail = most_frequent(rows, dictionary, head_dims)
     known = _sorted_entries(head.select("fid", "dim").toArrow())
     entries = tail.count() if bloom_bits else 0
     if bloom_bits and not entries:
         return _looked_up(rows, known).drop("_rest")
     rest = bloom_filter(tail, entries, bloom_bits) if bloom_bits else None
-    near = _looked_up(rows, known, rest)
-    done = near.filter(F.size("_rest") == 0).drop("_rest")
-    left = near.filter(F.size("_rest") > 0).withColumn("_row", F.monotonically_increasing_id())
-    left = Written(left).rows
+    near = Written(_looked_up(rows, known, rest).withColumn("_row", F.monotonically_increasing_id())).rows
+    done = near.filter(F.size("_rest") == 0).drop("_rest", "_row")
+    left = near.filter(F.size("_rest") > 0)
     far = (
         left.select("_row", F.explode("_rest").alias("fid"))
         .join(tail.select("fid", "dim"), "fid")

@@ -34,3 +34,22 @@ def test_a_histogram_of_lines_parses_them_once(spark):
     counts = last_write_request_histogram(requests)
     assert once and plan(counts).count("regexp_replace") == once
     assert {r.fid: r.n for r in counts.collect()} == {11: 4, 21: 2, 12: 3}
+
+
+def test_an_encoding_join_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(200).select(
+        F.col("id").alias("req"), F.lit(1).alias("seg"), F.lit(2).alias("show"), F.lit(1).alias("click"),
+        F.when(F.col("id") % 3 > 0, F.array("id", F.lit(7).cast("long"))).alias("feats"), F.array().cast("array<long>").alias("common"),
+    )
+    read = rows.mapInArrow(told, rows.schema)
+    entries = spark.range(300).select(F.col("id").alias("fid"), (F.col("id") + 1).cast("int").alias("dim"), (F.col("id") == 7).cast("long").alias("n"))
+    got = {r.req: r.idx for r in encode(read, entries, method="join", head_dims=1, bloom_bits=0).collect()}
+    assert seen.value == 200
+    assert got == {i: sorted([0, i + 1, 8]) if i % 3 else [0] for i in range(200)}
