@@ -11,7 +11,8 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clicktide.functions.scalar import (
     counted_curvature,
@@ -63,6 +64,9 @@ def collect_vector(entries: DataFrame, d: int) -> np.ndarray:
 
 # --- join form ----------------------------------------------------------------------------
 
+# Rows that a task joins and sorts, where rows meet the sums over their dimensions.
+PART_ROWS = 1 << 20
+
 
 def with_rows(examples: DataFrame) -> DataFrame:
     """`examples` with `_row`, a number of each row that is written once and so never changes."""
@@ -105,28 +109,61 @@ def margins_join(
     table = weights.select("idx", *sums).join(
         F.broadcast(hot), F.col("idx") == F.col("_hot"), "left"
     )
-    long = examples.select("_row", F.explode("idx").alias("_idx"))
-    near = long.join(F.broadcast(hot), F.col("_idx") == F.col("_hot"), "left")
-
-    def by_row(pairs: DataFrame, side: str) -> DataFrame:
-        return pairs.groupBy("_row").agg(
-            *(F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(f"_{side}_{out}") for c, out in sums.items())
-        ).withColumnRenamed("_row", f"_{side}")
-
-    common = table.filter("_hot is not null").drop("_hot")
+    near = _head_sums(examples.select(*carried, "idx"), table.filter("_hot is not null"), hot, sums)
     rare = table.filter("_hot is null").drop("_hot")
-    same = F.col("_idx") == F.col("idx")
-    h = by_row(near.filter("_hot is not null").join(F.broadcast(common), same), "h")
-    t = by_row(near.filter("_hot is null").join(rare, same), "t")
-    rows = examples.select(*carried)
-    both = rows.join(h, F.col("_row") == F.col("_h"), "left").join(t, F.col("_row") == F.col("_t"), "left")
-    zero = F.lit(0.0)
+    long = near.select("_row", F.explode("_rest").alias("_idx"))
+    # Rows meet in parts of bounded size, whatever the session's number of shuffle partitions.
+    context = examples.sparkSession.sparkContext
+    parts = max(context.defaultParallelism, -(-examples.count() // PART_ROWS))
+    t = long.join(rare, F.col("_idx") == F.col("idx")).repartition(parts, "_row").groupBy("_row").agg(
+        *(F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(f"_t_{out}") for c, out in sums.items())
+    ).withColumnRenamed("_row", "_t")
+    both = near.drop("_rest").repartition(parts, "_row").join(t, F.col("_row") == F.col("_t"), "left")
     return both.select(
         *carried,
-        *((F.coalesce(F.col(f"_h_{out}"), zero) + F.coalesce(F.col(f"_t_{out}"), zero)).alias(out) for out in sums.values()),
+        *((F.col(f"_h_{out}") + F.coalesce(F.col(f"_t_{out}"), F.lit(0.0))).alias(out) for out in sums.values()),
     )
 
 
+def _head_sums(
+    rows: DataFrame, weights: DataFrame, head: DataFrame, sums: Mapping[str, str]
+) -> DataFrame:
+    """`rows` with the sums of `weights` over the dimensions of `head` as `_h_<result>`, and their other
+    dimensions as `_rest` for `idx`. Looked up in place: no row is shuffled, nor a frequent dimension."""
+    hot = np.unique(head.toArrow().column(0).drop_null().to_numpy())
+    vectors = {out: np.zeros(len(hot) + 1) for out in sums.values()}
+    known = weights.select("idx", *sums).toArrow()
+    at = np.searchsorted(hot, known.column("idx").to_numpy())
+    for c, out in sums.items():
+        # A dimension may have several weights; NULL ones are zero.
+        np.add.at(vectors[out], at, known.column(c).cast(pa.float64()).fill_null(0.0).to_numpy())
+    shared = rows.sparkSession.sparkContext.broadcast((hot, vectors))
+    carried = [f for f in rows.schema.fields if f.name != "idx"]
+    added = [T.StructField(f"_h_{out}", T.DoubleType()) for out in sums.values()]
+    schema = T.StructType([*carried, *added, T.StructField("_rest", rows.schema["idx"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, vectors = shared.value
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("idx"))
+            n = len(lists)
+            row, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+            if flat.null_count:
+                row, flat = row[flat.is_valid().to_numpy(zero_copy_only=False)], flat.drop_null()
+            idx = flat.to_numpy()
+            at = np.searchsorted(hot, idx)
+            if len(hot):
+                at[hot[np.minimum(at, len(hot) - 1)] != idx] = len(hot)
+            rest = at == len(hot)
+            arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in carried]
+            arrays += [pa.array(np.bincount(row, weights=v[at], minlength=n), pa.float64()) for v in vectors.values()]
+            starts = np.append(0, np.cumsum(np.bincount(row[rest], minlength=n))).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(idx[rest])))
+            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
+
+
 def loss_join(margins: DataFrame) -> DataFrame:
     """One row: total log loss over `(pos, neg, z)`."""
     return margins.agg(F.sum(counted_loss(F.col("pos"), F.col("neg"), F.col("z"))).alias("loss"))

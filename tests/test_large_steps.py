@@ -53,3 +53,22 @@ def test_an_encoding_join_reads_its_rows_once(spark):
     got = {r.req: r.idx for r in encode(read, entries, method="join", head_dims=1, bloom_bits=0).collect()}
     assert seen.value == 200
     assert got == {i: sorted([0, i + 1, 8]) if i % 3 else [0] for i in range(200)}
+
+
+@pytest.mark.parametrize("head", [0, 3, 100])
+def test_rows_of_a_margin_join_meet_in_small_parts(spark, monkeypatch, head):
+    monkeypatch.setattr(ob, "PART_ROWS", 10)
+    data = [(None if i % 5 == 0 else i % 7, i, 1, 2, [] if i % 11 == 0 else None if i % 13 == 0 else [0, i % 4, i, i]) for i in range(120)]
+    rows = spark.createDataFrame(data, "req int, seg int, pos long, neg long, idx array<int>")
+    weights = spark.createDataFrame([(i, float(i), None if i == 2 else 1.0) for i in range(100)], "idx int, w double, mu double")
+    joined = ob.margins_join(rows, weights, sums={"w": "z", "mu": "xm"}, head_dims=head)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert joined.rdd.getNumPartitions() >= 12
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = {r.seg: (r.req, r.z, r.xm) for r in joined.collect()}
+    for req, seg, _, _, idx in data:
+        known = [i for i in idx or [] if i < 100]
+        assert got[seg] == (req, float(sum(known)), float(sum(i != 2 for i in known)))
+    assert len(got) == len(data)
