@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from clicktide.llm.storage import numbered, stored
-from clicktide.llm.text import LOWER, WHITE, Slice, slices
+from clicktide.llm.text import LOWER, WHITE, Slice, release, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -177,6 +177,7 @@ def encoder(path: str) -> WordEncoder | TextEncoder:
         with open(path, encoding="utf-8") as lines:
             by_word = encodes_by_word(json.load(lines))
         _encoders[path] = WordEncoder(path) if by_word else TextEncoder(path)
+        release()
     return _encoders[path]
 
 
@@ -222,6 +223,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 [doc, *longs, pa.array(parts, pa.list_(pa.int64()))], names
             )
         encode.rest()
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(

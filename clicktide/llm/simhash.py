@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clicktide.llm.components import components
 from clicktide.llm.storage import stored
-from clicktide.llm.text import Slice, measured
+from clicktide.llm.text import Slice, measured, released
 
 SHINGLE = 3
 SEED = 42
@@ -192,7 +192,7 @@ def _verified(buckets: DataFrame, distance: int) -> DataFrame:
                         [pa.array(x[k, a].view(np.int64)), pa.array(x[k, b].view(np.int64))], ["a", "b"]
                     )
 
-    return buckets.select("fps", "own").mapInArrow(compare, "a long, b long")
+    return buckets.select("fps", "own").mapInArrow(released(compare), "a long, b long")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, pair_rows: int = PAIR_ROWS) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from clicktide.llm.storage import stored
-from clicktide.llm.text import WORD_BASE, Slice, Spans, buffers, mix, slices
+from clicktide.llm.text import WORD_BASE, Slice, Spans, buffers, mix, released, slices
 
 LENGTH = 35
 GRAM = 12
@@ -162,7 +162,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 )
 
     rows = docs.select("_k1", "_k2", "text")
-    return rows.mapInArrow(run, "_k1 long, _k2 long, gram long, whole long, at int, n int, place int")
+    return rows.mapInArrow(released(run), "_k1 long, _k2 long, gram long, whole long, at int, n int, place int")
 
 
 def _excerpts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _excerpts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 )
 
     return rows.select("text", "places").mapInArrow(
-        run, "gram long, whole long, n int, place int, times long, crowded boolean, words binary"
+        released(run), "gram long, whole long, n int, place int, times long, crowded boolean, words binary"
     )
 
 
@@ -236,7 +236,7 @@ def _halved(open_ranges: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, new)], names)
 
     added = "bits long, c1 long, c2 long, r1 long, r2 long"
-    return open_ranges.mapInArrow(run, f"{OPEN}, {added}")
+    return open_ranges.mapInArrow(released(run), f"{OPEN}, {added}")
 
 
 def _by_halves(excerpts: DataFrame, length: int) -> list[DataFrame]:
@@ -355,7 +355,7 @@ def _cut(docs: DataFrame, added: list[tuple[str, str]], make, drop=("text",), le
                 [*(batch.column(i) for i in range(n_keep)), *columns], [*(f.name for f in keep), *names]
             )
 
-    return rows.mapInArrow(run, T.StructType(keep + new.fields))
+    return rows.mapInArrow(released(run), T.StructType(keep + new.fields))
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -74,3 +74,26 @@ def test_stages_leave_nothing_but_what_the_result_reads(spark, small):
     left = {n for n in names_in(spark, place) if n not in before and n.startswith(("stored-", "table-"))}
     read = {p.split("/")[-2] for p in packed.inputFiles()}
     assert packed.count() > 0 and read <= left and len(left) <= len(read) + 1
+
+
+def test_workers_give_memory_back_when_a_task_ends():
+    import os
+    import numpy as np
+    from clicktide.llm.text import released
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    before = held()
+
+    def run(batches):
+        # Small blocks on the heap, freed but for the last one, which keeps the heap from shrinking.
+        blocks = [np.ones(8000) for _ in range(3000)]
+        yield len(blocks)
+        last = blocks[-1:]
+        del blocks
+        yield last
+
+    *_, last = released(run)(iter([]))
+    assert held() - before < 100_000_000 and last
